@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from alertloom.queries import relational
+from alertloom.queries import features, relational
 from alertloom.queries.registry import Query
 
 
 def all_queries() -> dict[str, Query]:
-    return {**relational.queries()}
+    return {**relational.queries(), **features.queries()}
