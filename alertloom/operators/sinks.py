@@ -30,7 +30,7 @@ def project_storage_columns(df: DataFrame, text_nulls_to_empty: bool = True) ->
 def one_per_id(df: DataFrame) -> DataFrame:
     """One row per id. The rank filter becomes a per-task group limit below the
     shuffle, so an id with very many copies is cut to one row per task first."""
-    order = Window.partitionBy("id").orderBy(*[F.col(c) for c in df.columns if c != "id"])
+    order = Window.partitionBy("id").orderBy(*df.columns)
     return df.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 

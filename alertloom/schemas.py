@@ -97,4 +97,5 @@ def model_input_columns(available: list[str]) -> list[str]:
 
 
 def is_categorical_feature(name: str) -> bool:
+    """Named categories, segments (the same-segment flag counts as one) and services."""
     return name in CATEGORICAL_COLUMNS or name.endswith(("_segment", "_service"))
