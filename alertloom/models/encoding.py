@@ -68,6 +68,8 @@ def with_hashed(df: DataFrame, columns: tuple[str, ...], buckets: int | None) ->
 
 def scaler_stats(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation of all columns from one aggregation."""
+    if not columns:
+        return {}
     row = df.agg(
         *[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in columns],
         *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}") for c in columns],

@@ -21,7 +21,7 @@ from alertloom.storage import materialise
 _PATHS = [[repr(literal.leaf_path(n[4], n[5])) for n in tree if n[0] < 0] for tree in literal.TREES]
 
 
-def _fixed_ctes(source: str, threshold_from: str = "raw") -> str:
+def fixed_ctes(source: str, threshold_from: str = "raw") -> str:
     """Raw and normalised scores of the fixed models over `source`."""
     (t1a, t1b, t1c), (t2a, t2b, t2c) = _PATHS
     c256 = repr(literal.leaf_path(256, 0))
@@ -43,7 +43,7 @@ def _fixed_ctes(source: str, threshold_from: str = "raw") -> str:
     )
 
 
-FIXED = _fixed_ctes("alerts")
+FIXED = fixed_ctes("alerts")
 # Candidates of the baseline update.
 _UPDATE = (
     "cand_in AS (SELECT alerts.* FROM alerts, p WHERE created_at >= as_of - INTERVAL 30 DAY AND category NOT IN ('严重漏洞', '勒索软件', '数据泄露') "
@@ -51,17 +51,17 @@ _UPDATE = (
 )
 
 
-def _models() -> ModelSet:
+def fixed_models() -> ModelSet:
     return literal.literal_models()
 
 
 def _raw(v: Views, *keep: str) -> DataFrame:
     """Raw scores of the fixed models beside the asked columns."""
-    models = _models()
+    models = fixed_models()
     return add_raw_scores(models.encode(v.alerts), models).select("id", *keep, "if_raw", "km_raw", "err")
 
 
-def _with_threshold(v: Views) -> ModelSet:
+def with_threshold(v: Views) -> ModelSet:
     """The fixed models with their error threshold learnt from the whole table."""
     return literal.literal_models(thresholds.recon_threshold(_errors(v)))
 
@@ -79,15 +79,15 @@ def _normalised(v: Views, *keep: str) -> DataFrame:
 
 
 def _classified(v: Views) -> DataFrame:
-    return classify.classify_alerts(v.alerts, _models(), threshold=BASELINE_MIN_SCORE)
+    return classify.classify_alerts(v.alerts, fixed_models(), threshold=BASELINE_MIN_SCORE)
 
 
 def _detected(v: Views) -> DataFrame:
-    return detect.detect_zero_day(v.alerts, _with_threshold(v))
+    return detect.detect_zero_day(v.alerts, with_threshold(v))
 
 
 def _scored_for_sweep(v: Views) -> tuple[DataFrame, ModelSet]:
-    models = _with_threshold(v)
+    models = with_threshold(v)
     return detect.score_raw_alerts(v.alerts, models), models
 
 
@@ -244,7 +244,7 @@ def _models_queries() -> dict[str, Query]:
 
 def _classify_queries() -> dict[str, Query]:
     filled = f"{FIXED}, clf AS (SELECT cls.* REPLACE (coalesce(category, 'unknown') AS category, coalesce(event_type, 'unknown') AS event_type) FROM cls)"
-    update = _UPDATE + _fixed_ctes("cand_in")
+    update = _UPDATE + fixed_ctes("cand_in")
     stored = ", ".join(
         f"coalesce({c}, 'unknown') AS {c}"
         if c in CATEGORICAL_COLUMNS
@@ -313,7 +313,7 @@ def _classify_queries() -> dict[str, Query]:
             filled,
         ),
         "update_baseline": checked(
-            lambda v: baseline.baseline_additions(v.alerts, v.baseline, _models(), v.as_of),
+            lambda v: baseline.baseline_additions(v.alerts, v.baseline, fixed_models(), v.as_of),
             f"SELECT {stored}, (SELECT as_of FROM p) AS added_to_baseline_at FROM cls WHERE NOT anomaly",
             update,
         ),
