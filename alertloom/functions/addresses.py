@@ -49,11 +49,11 @@ PUBLIC_IPV6 = [
     ("2001:30::", 28),
 ]
 
-_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_IPV4_BODY = f"{_OCTET}([.]{_OCTET}){{3}}"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_IPV4_BODY = f"{_OCTET}(?:[.]{_OCTET}){{3}}"
 IPV4_PATTERN = f"^{_IPV4_BODY}$"
 _GROUP = "[0-9a-fA-F]{1,4}"
-IPV6_PATTERN = f"^({_GROUP}(:{_GROUP}){{7}}|({_GROUP}(:{_GROUP}){{0,6}})?::({_GROUP}(:{_GROUP}){{0,6}})?)$"
+IPV6_PATTERN = f"^(?:{_GROUP}(?::{_GROUP}){{7}}|(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:{_GROUP}(?::{_GROUP}){{0,6}})?)$"
 
 
 def _digit_prefixes(network: str, bits: int) -> list[str]:
@@ -78,11 +78,11 @@ def _octet_prefixes(network: str, bits: int) -> list[str]:
         return [head]
     first = int(octets[whole])
     values = "|".join(str(v) for v in range(first, first + 2 ** (8 - rest)))
-    return [f"{head}({values})[.]"]
+    return [f"{head}(?:{values})[.]"]
 
 
 def _any_of(networks: list[tuple[str, int]], prefixes: Callable[[str, int], list[str]]) -> str:
-    return "(" + "|".join(p for network, bits in networks for p in prefixes(network, bits)) + ")"
+    return "(?:" + "|".join(p for network, bits in networks for p in prefixes(network, bits)) + ")"
 
 
 _MAPPED = "0" * 20 + "ffff"
@@ -91,7 +91,7 @@ PRIVATE_IPV4_PATTERN = (
 )
 # A mapped IPv4 address follows the IPv4 rule.
 PRIVATE_DIGITS_PATTERN = (
-    f"^((?!{_any_of(PUBLIC_IPV6, _digit_prefixes)}){_any_of(PRIVATE_IPV6, _digit_prefixes)}"
+    f"^(?:(?!{_any_of(PUBLIC_IPV6, _digit_prefixes)}){_any_of(PRIVATE_IPV6, _digit_prefixes)}"
     f"|{_MAPPED}(?!{_any_of(PUBLIC_IPV4, _digit_prefixes)}){_any_of(PRIVATE_IPV4, _digit_prefixes)})"
 )
 

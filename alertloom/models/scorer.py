@@ -126,11 +126,13 @@ def vector_parts(df: DataFrame, column: str) -> Column:
 def dense_rows(parts: pd.DataFrame, width: int) -> np.ndarray:
     """Rows of (indices, values) as a dense block; indices None means dense already."""
     out = np.zeros((len(parts), width))
-    for i, (where, values) in enumerate(zip(parts["indices"], parts["values"], strict=True)):
-        if where is None:
-            out[i, :] = values
-        else:
-            out[i, where] = values
+    sparse = parts["indices"].notna().to_numpy()
+    if sparse.any():
+        indices, values = parts["indices"][sparse], parts["values"][sparse]
+        rows = np.repeat(np.flatnonzero(sparse), indices.map(len))
+        out[rows, np.concatenate(indices.to_list())] = np.concatenate(values.to_list())
+    if not sparse.all():
+        out[~sparse] = np.stack(parts["values"][~sparse].to_list())
     return out
 
 

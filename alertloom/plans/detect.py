@@ -13,7 +13,7 @@ from alertloom.operators import filters, sinks, topk
 from alertloom.plans.classify import batch_ranges
 from alertloom.plans.preprocess import engineer
 from alertloom.schemas import CATEGORICAL_COLUMNS, DETECTION_THRESHOLD, IP_COLUMNS, NUMERIC_COLUMNS, PORT_COLUMNS, ZERO_DAY_SCHEMA
-from alertloom.storage import materialise
+from alertloom.storage import materialise, spread
 
 # Columns that cleaning overwrites; detection reports the alert as it came in.
 _CLEANED = CATEGORICAL_COLUMNS + NUMERIC_COLUMNS + PORT_COLUMNS
@@ -22,7 +22,7 @@ _CLEANED = CATEGORICAL_COLUMNS + NUMERIC_COLUMNS + PORT_COLUMNS
 def score_raw_alerts(alerts: DataFrame, models: ModelSet, internal: DataFrame | None = None) -> DataFrame:
     """Original alert columns, internal flags and raw model scores, written once."""
     kept = [c for c in _CLEANED if c in alerts.columns]
-    carried = alerts.withColumn("_original", F.struct(*kept))
+    carried = spread(alerts).withColumn("_original", F.struct(*kept))
     encoded = models.encode(engineer(carried, internal, models.uses_frequencies))
     scored = add_raw_scores(encoded, models)
     columns = [F.col(f"_original.{c}").alias(c) if c in kept else F.col(c) for c in alerts.columns]

@@ -17,7 +17,7 @@ from alertloom.operators import aggregates as agg
 from alertloom.plans.preprocess import engineer
 from alertloom.schemas import TRAINING_DAYS
 from alertloom.sources.scans import alerts_with_baseline, scan_baseline
-from alertloom.storage import materialise
+from alertloom.storage import materialise, spread
 
 # Share of anomalies assumed in training, and the class default
 # that k-means keeps.
@@ -61,7 +61,7 @@ def train_baseline(
 ) -> Training:
     """Encoder, isolation forest, and k-means on the reduced rows."""
     rows = training_rows(alerts, baseline, as_of, days)
-    engineered = materialise(engineer(rows, internal), "engineered")
+    engineered = materialise(engineer(spread(rows), internal), "engineered")
     encoder = fit_encoder(engineered, hash_buckets, hashed)
     encoded = materialise(encoder(engineered), "encoded")
     n = encoded.count()
@@ -106,7 +106,7 @@ def train_zero_day(
     The error threshold is the 95th percentile of the training errors unless
     one is given.
     """
-    encoded = materialise(models.encode(engineer(scan_baseline(baseline), internal)), "ae-encoded")
+    encoded = materialise(models.encode(engineer(spread(scan_baseline(baseline)), internal)), "ae-encoded")
     fitted, history = ae.fit_autoencoder(encoded, models.width, encoding_dim, epochs, seed=seed)
     complete = replace(models, autoencoder=fitted)
     scored = materialise(add_raw_scores(encoded, complete), "ae-scored")

@@ -12,6 +12,7 @@ from alertloom.queries.registry import Query, checked
 from alertloom.schemas import ALERT_COLUMNS, CATEGORICAL_COLUMNS, FREQUENCY_COLUMNS, IP_COLUMNS, NUMERIC_COLUMNS, PORT_COLUMNS
 from alertloom.sources.scans import internal_ip_list
 from alertloom.sources.views import Views
+from alertloom.storage import spread
 
 _V4 = "^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])[.]){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
 
@@ -149,5 +150,5 @@ def queries() -> dict[str, Query]:
             _frequencies,
             f"SELECT id, {', '.join(FREQUENCY_COLUMNS)}, {_freq_sql()} FROM (SELECT *, {_segment_sql('src_ip')} AS src_ip_segment FROM (SELECT {_filled()} FROM alerts))",
         ),
-        "preprocess": checked(lambda v: _rounded(engineer(v.alerts)), "SELECT * FROM engineered", ENGINEERED_CTES),
+        "preprocess": checked(lambda v: _rounded(engineer(spread(v.alerts))), "SELECT * FROM engineered", ENGINEERED_CTES),
     }

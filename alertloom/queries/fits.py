@@ -17,7 +17,7 @@ from alertloom.plans.preprocess import engineer
 from alertloom.queries.registry import Query, checked, unchecked
 from alertloom.schemas import CATEGORICAL_COLUMNS
 from alertloom.sources.views import Views
-from alertloom.storage import materialise, scratch_path
+from alertloom.storage import materialise, scratch_path, spread
 
 # Segments are the wide columns; hashing them keeps the model width fixed.
 HASHED = ("src_ip_segment", "dst_ip_segment", "device_ip_segment")
@@ -26,7 +26,7 @@ EPOCHS = 3
 
 
 def _encoded(v: Views) -> tuple[DataFrame, Encoder]:
-    engineered = materialise(engineer(v.alerts), "engineered")
+    engineered = materialise(engineer(spread(v.alerts)), "engineered")
     encoder = fit_encoder(engineered, BUCKETS, HASHED)
     return materialise(encoder(engineered), "encoded"), encoder
 

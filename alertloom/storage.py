@@ -47,3 +47,22 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
 def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """True when df has at most `limit` rows; stops reading once past it."""
     return df.limit(limit + 1).agg(F.count(F.lit(1))).first()[0] <= limit
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Input size of df as the optimiser sees it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame, key: str = "id") -> DataFrame:
+    """Gives costly per-row work all cores when the input has few splits.
+
+    Only an input smaller than one split per core is reshuffled; a large table
+    already comes in enough splits and passes through untouched.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if key not in df.columns or estimated_bytes(df) >= split * cores:
+        return df
+    return df.repartition(cores, key)
