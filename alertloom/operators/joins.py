@@ -1,5 +1,9 @@
 """Lookups and set comparisons by key, safe against hot keys.
 
+Joins on the alert id keep all rows of the left side, copies included; their
+oversized partitions are split by AQE's skew handling, which covers the left
+side of anti, semi and left joins. Lookups by attribute need more:
+
 A lookup side is broadcast only after a check of its size. Beyond that size the
 join is split: the few keys that hold a large share of the rows (at most
 HOT_FRACTION of them by construction) are looked up through a broadcast of just
@@ -11,11 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.storage import BROADCAST_ROWS, fits, materialise
+from alertloom.storage import BROADCAST_ROWS, fits
 
 # A key with more than 1/HOT_FRACTION of all rows is hot; so there are fewer
 # than HOT_FRACTION hot keys, whatever the data.
 HOT_FRACTION = 1000
+_TRACKED_KEYS = 10_000
 _SPREAD = 1024
 
 
@@ -37,31 +42,35 @@ def lookup(
     if small:
         side = F.broadcast(dim.withColumnRenamed(dim_key, "_key"))
         return fact.join(side, fact[fact_key] == side["_key"], "left").drop("_key")
-    hot = _hot_keys(fact, fact_key)
-    return _split_lookup(fact, dim, hot, fact_key, dim_key, values)
+    return _split_lookup(fact, dim, fact_key, dim_key, values)
 
 
-def _hot_keys(fact: DataFrame, key: str) -> DataFrame:
-    """Keys of `fact` holding more than 1/HOT_FRACTION of its rows."""
-    counts = fact.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot_key")).agg(F.count(F.lit(1)).alias("_n"))
-    total = fact.agg(F.count(F.lit(1))).scalar()
-    return materialise(counts.where(F.col("_n") * HOT_FRACTION > total).select("_hot_key"))
+def _hot_hashes(fact: DataFrame, key: str) -> list[int]:
+    """Hashes of the keys holding more than 1/HOT_FRACTION of the rows.
 
+    One mergeable sketch per task, no shuffle of keys. The sketch may name a key
+    too many or too few; that only moves rows between two exact join paths.
+    """
+    known = fact.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h"))
+    top = F.expr(f"approx_top_k(h, {HOT_FRACTION}, {_TRACKED_KEYS})")
+    row = known.agg(F.count(F.lit(1)).alias("total"), top.alias("top")).first()
+    return [item["item"] for item in row["top"] or [] if item["count"] * HOT_FRACTION > row["total"]]
 
-def _split_lookup(
-    fact: DataFrame, dim: DataFrame, hot: DataFrame, fact_key: str, dim_key: str, values: list[str]
-) -> DataFrame:
-    hot_values = hot.join(dim, hot["_hot_key"] == dim[dim_key], "left").select(
-        "_hot_key", F.lit(True).alias("_is_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values]
-    )
-    marked = fact.join(F.broadcast(hot_values), F.col(fact_key) == F.col("_hot_key"), "left")
-    # Hot and null keys need no partner any more: they get a null key and are
+
+def _split_lookup(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, values: list[str]) -> DataFrame:
+    hot = _hot_hashes(fact, fact_key)
+    # Hot and null keys are settled here: they get a null key below and are
     # spread over the partitions by a hash of the row, which a rerun of a lost
     # task repeats. Whole-row copies share that hash; the sort-merge join asked
     # for below is the kind whose oversized partitions AQE splits.
-    settled = F.col("_is_hot").isNotNull() | F.col(fact_key).isNull()
-    marked = marked.withColumn("_cold_key", F.when(~settled, F.col(fact_key))).withColumn(
-        "_spread", F.when(settled, F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(_SPREAD))).otherwise(-1)
+    is_hot = F.coalesce(F.xxhash64(fact_key).isin(hot), F.lit(False)) & F.col(fact_key).isNotNull() if hot else F.lit(False)
+    settled = is_hot | F.col(fact_key).isNull()
+    marked = fact.withColumns(
+        {
+            "_hot_key": F.when(is_hot, F.col(fact_key)),
+            "_cold_key": F.when(~settled, F.col(fact_key)),
+            "_spread": F.when(settled, F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(_SPREAD))).otherwise(-1),
+        }
     )
     side = dim.select(
         F.col(dim_key).alias("_cold_key"),
@@ -69,8 +78,16 @@ def _split_lookup(
         *[F.col(v).alias(f"_cold_{v}") for v in values],
     ).hint("merge")
     joined = marked.join(side, ["_cold_key", "_spread"], "left")
-    found = [F.when(F.col("_is_hot"), F.col(f"_hot_{v}")).otherwise(F.col(f"_cold_{v}")).alias(v) for v in values]
-    return joined.select(*fact.columns, *found)
+    found = {v: F.col(f"_cold_{v}") for v in values}
+    if hot:
+        # The dimension has one row per key, so this side has at most
+        # HOT_FRACTION rows.
+        few = dim.where(F.xxhash64(dim_key).isin(hot)).select(
+            F.col(dim_key).alias("_hot_key"), *[F.col(v).alias(f"_hot_{v}") for v in values]
+        )
+        joined = joined.join(F.broadcast(few), "_hot_key", "left")
+        found = {v: F.coalesce(F.col(f"_hot_{v}"), c) for v, c in found.items()}
+    return joined.select(*fact.columns, *[c.alias(v) for v, c in found.items()])
 
 
 def anti_existing_ids(candidates: DataFrame, existing: DataFrame) -> DataFrame:
@@ -104,18 +121,24 @@ def intersect_ids(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def except_ids(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("id").join(b.select("id"), "id", "left_anti").distinct()
+    # Copies collapse first, so the join meets each id once; one shuffle serves both.
+    return a.select("id").distinct().join(b.select("id"), "id", "left_anti")
 
 
 def score_lookup(alerts: DataFrame, zero_day: DataFrame) -> DataFrame:
     """Alerts with the novelty score saved for their id, null where none is."""
-    return alerts.join(zero_day.select("id", "zero_day_score"), "id", "left")
+    return lookup(alerts, zero_day.select("id", "zero_day_score"), "id", "id")
 
 
 def internal_membership(
-    df: DataFrame, ip_column: str, internal: DataFrame, out: str | None = None, broadcast_rows: int = BROADCAST_ROWS
+    df: DataFrame,
+    ip_column: str,
+    internal: DataFrame,
+    out: str | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """1 where the address is in the internal list, else 0; null counts as 0."""
     flagged = internal.select(F.col("ip").alias("_ip"), F.lit(1).alias("_member"))
-    joined = lookup(df, flagged, ip_column, "_ip", broadcast_rows)
+    joined = lookup(df, flagged, ip_column, "_ip", broadcast_rows, small)
     return joined.withColumn(out or f"{ip_column}_is_internal", F.coalesce("_member", F.lit(0))).drop("_member")

@@ -91,6 +91,16 @@ def append_new(path: str, candidates: DataFrame, schema: T.StructType) -> DataFr
     return spark.createDataFrame([(int(inserted),)], "inserted long")
 
 
+def write_by_day(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Parquet partitioned by the date of event_time, so that windows skip whole days.
+
+    Rows of a day are brought together first, which keeps the files few; AQE
+    splits the days that are too large for one file.
+    """
+    dated = df.withColumn("event_date", F.to_date("event_time"))
+    dated.hint("rebalance", "event_date").write.mode(mode).partitionBy("event_date").parquet(path)
+
+
 def csv_report(df: DataFrame, path: str) -> None:
     """Whole result as CSV part files with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)

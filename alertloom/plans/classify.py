@@ -26,7 +26,7 @@ def batch_ranges(scored: DataFrame, models: ModelSet) -> dict[str, scores.BatchR
 def score_alerts(alerts: DataFrame, models: ModelSet, internal: DataFrame | None = None) -> DataFrame:
     """Engineered alerts with the raw scores of all models, written once."""
     encoded = models.encode(engineer(spread(alerts), internal, models.uses_frequencies))
-    return materialise(add_raw_scores(encoded, models), "scored")
+    return materialise(add_raw_scores(encoded, models).drop("features"), "scored")
 
 
 def classify_scored(scored: DataFrame, models: ModelSet, threshold: float = DETECTION_THRESHOLD) -> DataFrame:

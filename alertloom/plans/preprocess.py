@@ -11,7 +11,7 @@ from alertloom.functions.traffic import add_port_features, add_traffic_features,
 from alertloom.operators.frequency import add_frequency_features
 from alertloom.operators.joins import internal_membership
 from alertloom.schemas import IP_COLUMNS
-from alertloom.storage import BROADCAST_ROWS
+from alertloom.storage import BROADCAST_ROWS, fits, materialise
 
 
 def add_ip_features(df: DataFrame, internal: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -21,10 +21,14 @@ def add_ip_features(df: DataFrame, internal: DataFrame | None = None, broadcast_
     counts. With no list, or an empty one, the range rule applies.
     """
     columns = [c for c in IP_COLUMNS if c in df.columns]
-    listed = internal is not None and not internal.isEmpty()
+    listed = False
+    if internal is not None:
+        # Written once: the list is looked at three times and its size checked.
+        internal = materialise(internal, "internal")
+        listed, small = not internal.isEmpty(), fits(internal, broadcast_rows)
     for c in columns:
         if listed:
-            df = internal_membership(df, c, internal, broadcast_rows=broadcast_rows)
+            df = internal_membership(df, c, internal, small=small)
         else:
             df = df.withColumn(f"{c}_is_internal", addresses.is_internal(F.col(c)))
     df = df.withColumns({f"{c}_segment": addresses.segment(F.col(c)) for c in columns})

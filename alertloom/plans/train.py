@@ -73,10 +73,10 @@ def train_baseline(
     reduced = materialise(reduction.add_reduced(encoded.select("id", "features"), projection).select("id", "reduced"), "reduced")
     centres = clustering.kmeans_fit(reduced, k) if k else clustering.kmeans_select_k(reduced, n)[1]
     models = ModelSet(encoder, encoder.width, trees_fitted, Clusters(projection, centres))
-    raw = materialise(add_raw_scores(encoded, models), "train-scored")
-    models = replace(models, ranges={})
-    forest_score = scores.minmax_normalise(F.col("if_raw"), scores.frozen_range(*frozen_ranges(raw)["if_raw"], rows=n))
-    kmeans_score = scores.inverse_minmax(F.col("km_raw"), scores.frozen_range(*frozen_ranges(raw)["km_raw"], rows=n))
+    raw = materialise(add_raw_scores(encoded, models).drop("features"), "train-scored")
+    ranges = frozen_ranges(raw)
+    forest_score = scores.minmax_normalise(F.col("if_raw"), scores.frozen_range(*ranges["if_raw"], rows=n))
+    kmeans_score = scores.inverse_minmax(F.col("km_raw"), scores.frozen_range(*ranges["km_raw"], rows=n))
     scored = raw.withColumns({"if_score": forest_score, "km_score": kmeans_score})
     report = model_report(scored, {"isolation_forest": "if_score", "kmeans": "km_score"}, CONTAMINATION, encoder.width)
     flagged = scored.withColumn("is_anomaly", F.col("if_score") < _threshold(report, "isolation_forest"))
@@ -109,7 +109,7 @@ def train_zero_day(
     encoded = materialise(models.encode(engineer(spread(scan_baseline(baseline)), internal)), "ae-encoded")
     fitted, history = ae.fit_autoencoder(encoded, models.width, encoding_dim, epochs, seed=seed)
     complete = replace(models, autoencoder=fitted)
-    scored = materialise(add_raw_scores(encoded, complete), "ae-scored")
+    scored = materialise(add_raw_scores(encoded, complete).drop("features"), "ae-scored")
     limit = error_threshold if error_threshold is not None else recon_threshold(scored)
     complete = replace(complete, error_threshold=limit)
     losses = [(h["epoch"], float(h["loss"]), float(h["val_loss"])) for h in history]

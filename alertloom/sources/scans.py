@@ -21,13 +21,37 @@ def read_table(spark: SparkSession, source: str, fmt: str = "parquet", **options
     return reader.option("dbtable", source).load() if fmt == "jdbc" else reader.load(source)
 
 
-def day_prune(df: DataFrame, column: str, low: str, high: str | None = None) -> DataFrame:
-    """Adds the date predicate where the table is partitioned by event_date."""
-    if "event_date" not in df.columns:
-        return df
-    date_low = moment(df, column, low).cast("date")
-    df = df.where(F.col("event_date") >= date_low)
-    return df.where(F.col("event_date") <= moment(df, column, high).cast("date")) if high else df
+def jdbc_options(url: str, table: str, low: int, high: int, parts: int, key: str = "id") -> dict[str, str]:
+    """Options for `read_table(..., fmt="jdbc")` that split the read by a numeric key.
+
+    Without a split a database table arrives through a single task.
+    """
+    return {
+        "url": url,
+        "dbtable": table,
+        "partitionColumn": key,
+        "lowerBound": str(low),
+        "upperBound": str(high),
+        "numPartitions": str(parts),
+        "fetchsize": "10000",
+    }
+
+
+def in_day_window(df: DataFrame, as_of: str, days: int) -> DataFrame:
+    """Last `days` by event_time; a table partitioned by event_date skips old days."""
+    out = df.where(since(df, "event_time", as_of, days=days))
+    if "event_date" in df.columns:
+        out = out.where(F.col("event_date") >= moment(df, "event_time", as_of, f"{int(days)} DAYS").cast("date"))
+    return out
+
+
+def between_times(df: DataFrame, start: object, end: object) -> DataFrame:
+    """Closed interval on event_time, with the date predicate for partitioned tables."""
+    low, high = moment(df, "event_time", str(start)), moment(df, "event_time", str(end))
+    out = df.where(F.col("event_time").between(low, high))
+    if "event_date" in df.columns:
+        out = out.where(F.col("event_date").between(low.cast("date"), high.cast("date")))
+    return out
 
 
 def scan_recent(
@@ -41,9 +65,7 @@ def scan_recent(
     out = alerts
     if days is not None:
         now = resolve_as_of(alerts, "event_time", as_of)
-        out = out.where(since(alerts, "event_time", now, days=days))
-        if "event_date" in alerts.columns:
-            out = out.where(F.col("event_date") >= moment(alerts, "event_time", now, f"{int(days)} DAYS").cast("date"))
+        out = in_day_window(out, now, days)
     out = out.orderBy(F.desc("event_time"), F.col("id"))
     if limit:
         out = out.offset(offset).limit(limit) if offset else out.limit(limit)
@@ -52,14 +74,16 @@ def scan_recent(
 
 def scan_between(alerts: DataFrame, start: str, end: str) -> DataFrame:
     """Closed interval on event_time, newest first."""
-    bounds = F.col("event_time").between(moment(alerts, "event_time", start), moment(alerts, "event_time", end))
-    return day_prune(alerts, "event_time", start, end).where(bounds).orderBy(F.desc("event_time"), F.col("id"))
+    return between_times(alerts, start, end).orderBy(F.desc("event_time"), F.col("id"))
 
 
 def detection_window(alerts: DataFrame, hours: int, as_of: str) -> DataFrame:
     """Alerts of the last `hours` before `as_of` by event_time, in no order."""
-    bounds = since(alerts, "event_time", as_of, hours=hours)
-    return alerts.where(bounds & (F.col("event_time") <= moment(alerts, "event_time", as_of)))
+    low, high = moment(alerts, "event_time", as_of, f"{int(hours)} HOURS"), moment(alerts, "event_time", as_of)
+    out = alerts.where(F.col("event_time").between(low, high))
+    if "event_date" in alerts.columns:
+        out = out.where(F.col("event_date").between(low.cast("date"), high.cast("date")))
+    return out
 
 
 def scan_baseline(baseline: DataFrame) -> DataFrame:
@@ -89,8 +113,7 @@ def alerts_with_baseline(
     live, kept = alerts, baseline
     if days is not None:
         now = resolve_as_of(alerts, "event_time", as_of)
-        live = live.where(since(alerts, "event_time", now, days=days))
-        kept = kept.where(since(baseline, "event_time", now, days=days))
+        live, kept = in_day_window(alerts, now, days), in_day_window(baseline, now, days)
     both = live.withColumn("from_baseline", F.lit(0)).unionByName(
         kept.withColumn("from_baseline", F.lit(1)), allowMissingColumns=True
     )

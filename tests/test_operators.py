@@ -31,6 +31,16 @@ def test_lookup_with_hot_null_and_missing_keys(spark, limit):
     assert summary == {7: 10_000, 1: matched, None: 20_000 - matched}
 
 
+def test_hot_keys_are_few_and_found(spark):
+    fact = spark.range(50_000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    hot = joins._hot_hashes(fact, "k")
+    expected = spark.range(1).select(F.xxhash64(F.lit(-1).cast("bigint"))).first()[0]
+    assert hot == [expected]
+    # A hot key without a partner stays null and no row is lost.
+    got = joins.lookup(fact, spark.range(10).select("id", F.lit(1).alias("v")), "k", "id", broadcast_rows=0)
+    assert got.count() == 50_000 and got.where("v = 1").count() == 6
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_quantiles_match_numpy(spark, seed):
     rng = np.random.default_rng(seed)

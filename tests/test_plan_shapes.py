@@ -9,7 +9,7 @@ import pytest
 from alertloom.operators import aggregates as agg
 from alertloom.operators import filters, sinks, topk
 from alertloom.sources import scans
-from alertloom.storage import estimated_bytes, materialise, spread
+from alertloom.storage import estimated_bytes, materialise, scratch_path, spread
 
 
 def explain(df) -> str:
@@ -56,3 +56,30 @@ def test_only_small_inputs_are_spread(spark, table):
     wide = spark.range(10**12)
     assert estimated_bytes(wide) > 10**12
     assert spread(wide) is wide
+
+
+def test_day_partitions_are_skipped(spark, views):
+    path = scratch_path(spark, "by-day")
+    sinks.write_by_day(views.alerts, path)
+    stored = spark.read.parquet(path)
+    recent = scans.scan_recent(stored, days=3, as_of="2024-01-20 12:00:00")
+    assert "PartitionFilters: [isnotnull(event_date" in explain(recent)
+    want = scans.scan_recent(views.alerts, days=3, as_of="2024-01-20 12:00:00")
+    assert recent.count() == want.count() > 0
+    window = scans.detection_window(stored, 24, "2024-01-20 12:00:00")
+    assert window.count() == scans.detection_window(views.alerts, 24, "2024-01-20 12:00:00").count() > 0
+    assert scans.scan_between(stored, "2024-01-03", "2024-01-05").count() == scans.scan_between(views.alerts, "2024-01-03", "2024-01-05").count()
+
+
+def test_no_query_plan_gathers_or_crosses(views):
+    """No window without a key, no cartesian product, in the heavy relational plans."""
+    frames = [
+        agg.daily_comparison(views.alerts, views.baseline, views.zero_day, 7, views.as_of),
+        agg.time_heatmap(views.zero_day, 30, views.as_of),
+        agg.distinct_profile(views.alerts),
+        sinks.insert_counts(views.baseline, views.alerts),
+    ]
+    for df in frames:
+        plan = explain(df)
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+        assert "Window" not in plan or "hashpartitioning(id" in plan
