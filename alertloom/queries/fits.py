@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.functions.traffic import fill_missing
@@ -14,11 +14,22 @@ from alertloom.models.scorer import Clusters, ModelSet
 from alertloom.operators.aggregates import union_all
 from alertloom.plans import train
 from alertloom.plans.preprocess import engineer
+from alertloom.queries.features import ENGINEERED_CTES
 from alertloom.queries.registry import Query, checked, unchecked
-from alertloom.schemas import CATEGORICAL_COLUMNS
+from alertloom.schemas import CATEGORICAL_COLUMNS, FREQUENCY_COLUMNS, IP_COLUMNS, NUMERIC_COLUMNS, PORT_COLUMNS, TIME_COLUMNS, model_input_columns
 from alertloom.sources.views import Views
 from alertloom.storage import materialise, scratch_path, spread
 
+# Columns of the engineered frame that features are chosen from.
+_ENGINEERED_COLUMNS = [
+    *[f"{c}_{part}" for c in IP_COLUMNS for part in ("is_internal", "segment")],
+    *[f"{c}_{part}" for c in PORT_COLUMNS for part in ("service", "is_common")],
+    *[f"{c}_{part}" for c in TIME_COLUMNS for part in ("hour", "day", "weekday", "is_work_hour")],
+    *[f"{c}_freq" for c in FREQUENCY_COLUMNS],
+    *["same_segment", "total_bytes", "total_packets", "avg_packet_size"],
+    *CATEGORICAL_COLUMNS,
+    *NUMERIC_COLUMNS,
+]
 # Segments are the wide columns; hashing them keeps the model width fixed.
 HASHED = ("src_ip_segment", "dst_ip_segment", "device_ip_segment")
 BUCKETS = 16
@@ -31,25 +42,52 @@ def _encoded(v: Views) -> tuple[DataFrame, Encoder]:
     return materialise(encoder(engineered), "encoded"), encoder
 
 
+def _positions(encoder: Encoder) -> Column:
+    """Set positions of the one-hot part, as text per row, from `_parts`."""
+    ones = sum(len(values) for values in encoder.categories.values())
+    where, values = F.col("_parts.indices"), F.col("_parts.values")
+    sparse = F.filter(where, lambda i: i < ones)
+    dense = F.array_compact(F.transform(F.slice(values, 1, ones), lambda x, i: F.when(x != 0, i)))
+    return F.array_join(F.when(where.isNull(), dense).otherwise(sparse), ",")
+
+
+def _entry(place: int) -> Column:
+    """One entry of the vector in `_parts`."""
+    where, values = F.col("_parts.indices"), F.col("_parts.values")
+    stored = F.coalesce(F.try_element_at(F.map_from_arrays(where, values), F.lit(place)), F.lit(0.0))
+    return F.when(where.isNull(), F.get(values, F.lit(place))).otherwise(stored)
+
+
+def _with_parts(encoded: DataFrame) -> DataFrame:
+    return encoded.select("id", scorer.vector_parts(encoded, "features").alias("_parts"))
+
+
 def _onehot(v: Views) -> DataFrame:
-    """Set positions of the one-hot part, as text per row."""
     rows = fill_missing(v.alerts).select("id", *CATEGORICAL_COLUMNS)
     encoder = fit_encoder(rows)
-    vector = F.unwrap_udt("features")
-    return encoder(rows).select("id", F.array_join(vector.getField("indices"), ",").alias("positions"))
+    return _with_parts(encoder(rows)).select("id", _positions(encoder).alias("positions"))
 
 
-def _onehot_sql() -> tuple[str, str]:
-    filled = ", ".join(f"coalesce({c}, 'unknown') AS {c}" for c in CATEGORICAL_COLUMNS)
+def _ranks_sql(source: str, columns: list[str]) -> tuple[str, str]:
+    """(expression for the set positions, CTEs with the place of every value)."""
     ranks, tables, joins, offset = [], [], [], "0"
-    for c in CATEGORICAL_COLUMNS:
-        tables.append(f"t_{c} AS (SELECT {c} AS value, row_number() OVER (ORDER BY {c}) - 1 AS i FROM (SELECT DISTINCT {c} FROM f))")
-        joins.append(f"JOIN t_{c} ON t_{c}.value = f.{c}")
+    for c in columns:
+        tables.append(
+            f"t_{c} AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i FROM (SELECT DISTINCT cast({c} as varchar) AS value FROM {source}))"
+        )
+        joins.append(f"JOIN t_{c} ON t_{c}.value = cast({source}.{c} as varchar)")
         ranks.append(f"cast(t_{c}.i + {offset} as varchar)")
         offset += f" + (SELECT count(*) FROM t_{c})"
-    ctes = f"f AS (SELECT id, {filled} FROM alerts), " + ", ".join(tables)
+    tables.append(f"total AS (SELECT {offset} AS ones)")
     joined = ", ',', ".join(ranks)
-    return f"SELECT f.id, concat({joined}) AS positions FROM f {' '.join(joins)}", ctes
+    tables.append(f"placed AS (SELECT {source}.id, concat({joined}) AS positions FROM {source} {' '.join(joins)})")
+    return "SELECT id, positions FROM placed", ", ".join(tables)
+
+
+def _onehot_sql() -> tuple[str, str]:
+    filled = ", ".join(f"coalesce({c}, 'unknown') AS {c}" for c in CATEGORICAL_COLUMNS)
+    select, ctes = _ranks_sql("f", CATEGORICAL_COLUMNS)
+    return select, f"f AS (SELECT id, {filled} FROM alerts), {ctes}"
 
 
 _SCALED = ["bytes_to_server", "packets_to_server", "threat_level"]
@@ -61,9 +99,22 @@ def _standardised(v: Views) -> DataFrame:
 
 
 def _assemble(v: Views) -> DataFrame:
-    encoded, encoder = _encoded(v)
-    vector = F.unwrap_udt("features")
-    return encoded.select("id", F.lit(encoder.width).alias("width"), F.size(vector.getField("values")).alias("stored"))
+    """Width, one-hot positions and the last five scaled numbers of every vector."""
+    engineered = materialise(engineer(spread(v.alerts)), "engineered")
+    encoder = fit_encoder(engineered)
+    width = encoder.width
+    last = [F.round(_entry(width - len(NUMERIC_COLUMNS) + i), 6).alias(c) for i, c in enumerate(NUMERIC_COLUMNS)]
+    rows = _with_parts(encoder(engineered))
+    return rows.select("id", F.lit(width).alias("width"), _positions(encoder).alias("positions"), *last)
+
+
+def _assemble_sql() -> tuple[str, str]:
+    columns = [*[f"{c}_segment" for c in IP_COLUMNS], *[f"{c}_service" for c in PORT_COLUMNS], "same_segment", *CATEGORICAL_COLUMNS]
+    _, ctes = _ranks_sql("engineered", columns)
+    scaled = ", ".join(f"round((e.{c} - avg(e.{c}) OVER ()) / stddev_pop(e.{c}) OVER (), 6) AS {c}" for c in NUMERIC_COLUMNS)
+    numbers = len(model_input_columns(_ENGINEERED_COLUMNS)) - len(columns)
+    select = f"SELECT id, cast((SELECT ones FROM total) + {numbers} as int) AS width, positions, {scaled} FROM placed JOIN engineered e USING (id)"
+    return select, f"{ENGINEERED_CTES}, {ctes}"
 
 
 def _svd(v: Views) -> DataFrame:
@@ -194,7 +245,7 @@ def queries() -> dict[str, Query]:
             _standardised,
             "SELECT id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}" for c in _SCALED) + " FROM alerts",
         ),
-        "assemble": unchecked(_assemble),
+        "assemble": checked(_assemble, *_assemble_sql()),
         "truncated_svd": unchecked(_svd),
         "pca": unchecked(_pca),
         "per_tree_sample": checked(
