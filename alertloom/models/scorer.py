@@ -16,8 +16,10 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows made dense at a time inside a task.
+# Rows made dense at a time inside a task: at most CHUNK_ROWS, and fewer for wide
+# vectors so that a dense block stays near 32 MB.
 CHUNK_ROWS = 1024
+CHUNK_CELLS = 4_000_000
 EULER_GAMMA = 0.5772156649
 
 
@@ -136,6 +138,10 @@ def dense_rows(parts: pd.DataFrame, width: int) -> np.ndarray:
     return out
 
 
+def chunk_rows(width: int) -> int:
+    return max(1, min(CHUNK_ROWS, CHUNK_CELLS // max(width, 1)))
+
+
 def apply_models(df: DataFrame, column: str, width: int, schema: str, score: Callable[[np.ndarray], dict]) -> DataFrame:
     """Adds the columns of `schema`, computed block by block from the features.
 
@@ -143,14 +149,15 @@ def apply_models(df: DataFrame, column: str, width: int, schema: str, score: Cal
     by the model sizes, never by the data.
     """
     shared = df.sparkSession.sparkContext.broadcast(score)
+    rows = chunk_rows(width)
 
     @F.pandas_udf(f"struct<{schema}>")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         function = shared.value
         for batch in batches:
             blocks = [
-                pd.DataFrame(function(dense_rows(batch.iloc[i : i + CHUNK_ROWS], width)))
-                for i in range(0, len(batch), CHUNK_ROWS)
+                pd.DataFrame(function(dense_rows(batch.iloc[i : i + rows], width)))
+                for i in range(0, len(batch), rows)
             ]
             yield pd.concat(blocks, ignore_index=True)
 

@@ -6,6 +6,10 @@ and the bench only.
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Settings that matter for correctness or skew handling on any deployment.
@@ -30,3 +34,14 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, for clusters where it is not installed.
+
+    The scoring functions are pickled by reference, so tasks must be able to
+    import it. Same effect as `spark-submit --py-files`.
+    """
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{root.name}", "zip", root.parent, root.name)
+    spark.sparkContext.addPyFile(archive)
