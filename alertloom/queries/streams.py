@@ -20,8 +20,7 @@ from alertloom.streaming import jobs
 
 
 def _stream(v: Views) -> DataFrame:
-    events = jobs.file_stream(v.spark, v.sf_dir, v.events.schema, "events.parquet")
-    return alerts_from_events(events)
+    return alerts_from_events(jobs.table_stream(v.spark, f"{v.sf_dir}/events.parquet", v.events.schema))
 
 
 def _frozen(rows: DataFrame, models: ModelSet) -> ModelSet:
@@ -45,13 +44,13 @@ def _dedupe(v: Views) -> DataFrame:
     doubled = _stream(v).unionByName(_stream(v))
     out = jobs.dedupe(doubled).withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
     jobs.append_files(out, path, progress)
-    return v.spark.read.parquet(path).select("id", "event_time", "category", "src_ip")
+    return v.spark.read.schema(out.schema).parquet(path).select("id", "event_time", "category", "src_ip")
 
 
 def _counts(v: Views, label: str, counts: DataFrame) -> DataFrame:
     path, progress = _paths(v, label)
     jobs.replace_table(counts, path, progress)
-    return v.spark.read.parquet(path)
+    return v.spark.read.schema(counts.schema).parquet(path)
 
 
 def _baseline(v: Views) -> DataFrame:

@@ -36,12 +36,19 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
+_shipped: set[str] = set()
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors, for clusters where it is not installed.
+    """Sends this package to the executors, once per application.
 
     The scoring functions are pickled by reference, so tasks must be able to
-    import it. Same effect as `spark-submit --py-files`.
+    import it wherever they run. Same effect as `spark-submit --py-files`.
     """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    _shipped.add(application)
     root = Path(__file__).resolve().parent
     archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{root.name}", "zip", root.parent, root.name)
     spark.sparkContext.addPyFile(archive)

@@ -33,6 +33,15 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: st
     )
 
 
+def table_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
+    """A parquet table as a stream, be it a folder of files or a single file."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop_path).isDirectory():
+        return file_stream(spark, path, schema, files_per_batch=files_per_batch)
+    folder, _, name = path.rpartition("/")
+    return file_stream(spark, folder, schema, name, files_per_batch)
+
+
 def event_timed(stream: DataFrame, column: str = "event_time", lateness: str = LATENESS) -> DataFrame:
     """The stream with a watermark; zone-less times are read in the session zone."""
     return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, lateness)
