@@ -10,7 +10,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from alertloom.functions.scores import clamp_difference, percentage
 from alertloom.functions.timeparts import month_key
@@ -211,7 +210,3 @@ def lateness(alerts: DataFrame, hours: int) -> DataFrame:
         F.count_if(F.col("late") > hours * 3600).alias("beyond_lookback"),
         F.count_if(F.col("late") > 1800).alias("beyond_half_hour"),
     )
-
-
-def text_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]

@@ -11,13 +11,12 @@ from alertloom.operators import filters, joins, quantiles, sinks, topk
 from alertloom.operators.frequency import value_frequency
 from alertloom.plans import dashboards
 from alertloom.queries.registry import Query, checked
-from alertloom.schemas import ALERT_COLUMNS, BASELINE_DAYS, CHART_DAYS, DETECTION_HOURS
+from alertloom.schemas import ALERT_COLUMNS, CHART_DAYS, DETECTION_HOURS
 from alertloom.sources import scans
 from alertloom.sources.views import Views
 from alertloom.storage import scratch_path
 
 ALL = ", ".join(ALERT_COLUMNS)
-ALL_A = ", ".join(f"a.{c}" for c in ALERT_COLUMNS)
 
 
 def _scans() -> dict[str, Query]:
@@ -474,5 +473,3 @@ def _dashboards() -> dict[str, Query]:
 def queries() -> dict[str, Query]:
     return {**_scans(), **_sinks(), **_filters(), **_joins(), **_aggregates(), **_lists(), **_dashboards()}
 
-
-__all__ = ["ALL", "ALL_A", "BASELINE_DAYS", "DETAIL_SQL", "queries"]

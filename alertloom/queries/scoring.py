@@ -11,7 +11,7 @@ from alertloom.models.scorer import ModelSet, add_raw_scores
 from alertloom.operators import aggregates as agg
 from alertloom.operators import filters, sinks, topk
 from alertloom.plans import baseline, classify, detect, sweep
-from alertloom.queries.features import ENGINEERED_CTES, internal_sql
+from alertloom.queries.features import internal_sql
 from alertloom.queries.registry import Query, checked
 from alertloom.queries.relational import ALL, DETAIL_SQL
 from alertloom.schemas import ALERT_COLUMNS, BASELINE_MIN_SCORE, CATEGORICAL_COLUMNS, NUMERIC_COLUMNS, PORT_COLUMNS
@@ -21,7 +21,7 @@ from alertloom.storage import materialise
 _PATHS = [[repr(literal.leaf_path(n[4], n[5])) for n in tree if n[0] < 0] for tree in literal.TREES]
 
 
-def fixed_ctes(source: str, threshold_from: str = "raw") -> str:
+def fixed_ctes(source: str) -> str:
     """Raw and normalised scores of the fixed models over `source`."""
     (t1a, t1b, t1c), (t2a, t2b, t2c) = _PATHS
     c256 = repr(literal.leaf_path(256, 0))
@@ -35,7 +35,7 @@ def fixed_ctes(source: str, threshold_from: str = "raw") -> str:
         "ab AS (SELECT *, greatest(0.0e0, 0.6e0*z1+0.4e0*z2) AS ca, greatest(0.0e0, 0.9e0*z3-0.1e0*z1) AS cb FROM h), "
         f"raw AS (SELECT *, -power(2.0e0, -(h1+h2)/2/{c256}e0) AS if_raw, "
         "((z1-0.8e0*ca)*(z1-0.8e0*ca) + (z2-(0.7e0*ca+0.1e0*cb))*(z2-(0.7e0*ca+0.1e0*cb)) + (z3-0.9e0*cb)*(z3-0.9e0*cb))/3 AS err FROM ab), "
-        f"st AS (SELECT min(if_raw) AS if_lo, max(if_raw) AS if_hi, min(km_raw) AS km_lo, max(km_raw) AS km_hi, min(err) AS e_lo, max(err) AS e_hi, quantile_cont(err, 0.95) AS e95 FROM {threshold_from}), "
+        f"st AS (SELECT min(if_raw) AS if_lo, max(if_raw) AS if_hi, min(km_raw) AS km_lo, max(km_raw) AS km_hi, min(err) AS e_lo, max(err) AS e_hi, quantile_cont(err, 0.95) AS e95 FROM raw), "
         "sc AS (SELECT *, (if_raw-if_lo)/(if_hi-if_lo+1e-10) AS if_score, 1-(km_raw-km_lo)/(km_hi-km_lo+1e-10) AS km_score, (err-e_lo)/(e_hi-e_lo) AS recon FROM raw, st), "
         "fl AS (SELECT *, round(if_score,6) < 0.8 OR round(km_score,6) < 0.8 AS base, round(err,6) > round(e95,6) AS cand, 0.7e0*recon + 0.3e0*(if_score + (1-km_score))/2 AS s FROM sc), "
         "det AS (SELECT *, (base AND cand) OR src_internal = 0 AS zd, CASE WHEN src_internal = 0 THEN greatest(0.7e0, s) ELSE s END AS zs FROM fl), "
@@ -427,5 +427,3 @@ def _detect_queries() -> dict[str, Query]:
 def queries() -> dict[str, Query]:
     return {**_models_queries(), **_classify_queries(), **_detect_queries()}
 
-
-__all__ = ["ENGINEERED_CTES", "FIXED", "queries"]

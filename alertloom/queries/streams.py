@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.models.scorer import ModelSet, add_raw_scores
 from alertloom.plans.baseline import baseline_candidates
-from alertloom.plans.train import frozen_ranges
+from alertloom.plans.train import with_frozen_ranges
 from alertloom.queries import scoring
 from alertloom.queries.registry import Query, checked
 from alertloom.queries.relational import ALL
@@ -25,7 +23,7 @@ def _stream(v: Views) -> DataFrame:
 
 def _frozen(rows: DataFrame, models: ModelSet) -> ModelSet:
     raw = materialise(add_raw_scores(models.encode(rows), models).select("id", "if_raw", "km_raw", "err"), "ranges")
-    return replace(models, ranges=frozen_ranges(raw))
+    return with_frozen_ranges(models, raw)
 
 
 def _paths(v: Views, label: str) -> tuple[str, str]:

@@ -7,7 +7,7 @@ import pytest
 from alertloom.functions import scores
 from alertloom.operators import aggregates as agg
 from alertloom.operators import filters, joins, sinks, topk
-from alertloom.operators.quantiles import exact_quantiles, kth_smallest, order_statistics
+from alertloom.operators.quantiles import approx_quantiles, exact_quantiles, kth_smallest, order_statistics
 from alertloom.plans import dashboards
 from alertloom.schemas import ALERT_COLUMNS, BASELINE_SCHEMA
 from alertloom.sources import scans
@@ -170,3 +170,23 @@ def test_param_sql_binds_values(alerts, spark):
 
 def test_sink_columns_are_the_alert_columns(alerts):
     assert sinks.project_storage_columns(alerts({})).columns == ALERT_COLUMNS
+
+
+def test_one_pass_variants_agree_on_small_data(spark, views):
+    exact = agg.distinct_profile(views.alerts).first()
+    close = agg.distinct_profile(views.alerts, approximate=True).first()
+    assert all(abs(a - b) <= 0.1 * a + 1 for a, b in zip(exact, close, strict=True))
+    row = approx_quantiles(spark.range(1, 1001).selectExpr("double(id) AS x"), "x").first()
+    assert (row.min_value, row.max_value, row.q50) == (1.0, 1000.0, 500.0)
+
+
+def test_jdbc_reads_are_split():
+    options = scans.jdbc_options("jdbc:mysql://host/db", "alerts", 1, 1000, 8)
+    assert options["partitionColumn"] == "id" and options["numPartitions"] == "8" and options["upperBound"] == "1000"
+
+
+def test_files_of_other_formats(spark, alerts):
+    for fmt in ("orc", "json"):
+        path = scratch_path(spark, fmt)
+        alerts({}, {}).select("id", "category").write.format(fmt).save(path)
+        assert scans.read_table(spark, path, fmt).count() == 2

@@ -3,13 +3,12 @@ from __future__ import annotations
 import pytest
 from alertloom.models import literal
 from alertloom.plans import detect
-from alertloom.plans.train import frozen_ranges
+from alertloom.plans.train import with_frozen_ranges
 from alertloom.queries import scoring
 from alertloom.schemas import ZERO_DAY_SCHEMA
 from alertloom.sources.views import alerts_from_events
 from alertloom.storage import scratch_path
 from alertloom.streaming import jobs
-from dataclasses import replace
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +27,7 @@ def stream(spark, views, folder, files=1):
 def models(views):
     models = scoring.with_threshold(views)
     raw = detect.score_raw_alerts(views.alerts, models)
-    return replace(models, ranges=frozen_ranges(raw))
+    return with_frozen_ranges(models, raw)
 
 
 def test_detection_in_batches_equals_one_batch(spark, views, folder, models):
@@ -63,3 +62,18 @@ def test_resumed_stream_reads_only_new_files(spark, views):
     views.events.where("event_id BETWEEN 490 AND 600").write.mode("append").parquet(source)
     jobs.append_files(jobs.dedupe(stream(spark, views, source)), path, progress)
     assert first == 500 and spark.read.parquet(path).count() == 601
+
+
+def test_a_single_file_is_a_stream_too(spark, views):
+    path = scratch_path(spark, "single")
+    events = jobs.table_stream(spark, f"{views.sf_dir}/events.parquet", views.events.schema)
+    jobs.append_files(alerts_from_events(events).select("id"), path, scratch_path(spark, "progress"))
+    assert spark.read.parquet(path).count() == views.events.count()
+
+
+def test_baseline_update_logs_its_state(spark, views, folder, models):
+    path, state, progress = (scratch_path(spark, n) for n in ("base", "state", "progress"))
+    jobs.stream_baseline_update(stream(spark, views, folder), models, path, state, progress, views.as_of)
+    stored = spark.read.parquet(path)
+    assert stored.count() == stored.select("id").distinct().count() > 0
+    assert {r.config_key for r in spark.read.parquet(state).collect()} == {"last_baseline_data_update"}
