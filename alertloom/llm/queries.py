@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertloom.llm import packing, records
+from alertloom.llm import packing, records, urlfilter, warc
 from alertloom.llm.wordbpe import default_path
 from alertloom.session import ship_package
 
@@ -21,6 +21,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Fixed rules of the query: verdict, host, path.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP3_SQL = f"""
+WITH rules(verdict, host, path) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+p AS (SELECT page_id, url, row_number() OVER () AS row_no,
+        CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') ELSE '' END AS raw_host
+      FROM pages),
+h AS (SELECT page_id, row_no, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3 + length(raw_host)), '^[^?#]*') ELSE '' END AS path
+      FROM p)
+SELECT h.page_id, h.host, h.path,
+  arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+  coalesce(arg_max(r.verdict, length(r.host || r.path)), 'allow') AS verdict
+FROM h LEFT JOIN rules r
+  ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path)
+GROUP BY h.row_no, h.page_id, h.host, h.path
+"""
+
+
+def op7_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(table(spark, sf_dir, "documents"), default_path())
 
@@ -31,6 +68,8 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, tuple[Run, str | None]]:
     return {
+        "op3_url_filter": (op3_url_filter, OP3_SQL),
+        "op7_warc_packages": (op7_warc_packages, None),
         "op8_token_records": (op8_token_records, None),
         "op10_vector_packing": (op10_vector_packing, None),
     }
