@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from alertloom.llm import packing, records, urlfilter, warc
+from alertloom.llm import langid, packing, records, urlfilter, warc
 from alertloom.llm.wordbpe import default_path
 from alertloom.session import ship_package
 
@@ -21,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_remainder(parts: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
+
+
+def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    filters = langid.train(docs.where(id_remainder(4) != 2))
+    judged = langid.identify(docs.select("doc_id", "text"), filters)
+    held_out = F.coalesce(id_remainder(4) == 2, F.lit(False))
+    return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 # Fixed rules of the query: verdict, host, path.
 URL_RULES = [
     ("allow", "org", "/"),
@@ -68,6 +81,7 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, tuple[Run, str | None]]:
     return {
+        "op2_language_filters": (op2_language_filters, None),
         "op3_url_filter": (op3_url_filter, OP3_SQL),
         "op7_warc_packages": (op7_warc_packages, None),
         "op8_token_records": (op8_token_records, None),
