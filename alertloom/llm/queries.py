@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import langid, packing, pivot_search, records, urlfilter, warc
+from alertloom.llm import langid, packing, pivot_search, quality_rules, records, urlfilter, warc
 from alertloom.llm.wordbpe import default_path
 from alertloom.session import ship_package
 
@@ -87,6 +87,11 @@ GROUP BY h.row_no, h.page_id, h.host, h.path
 """
 
 
+def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_js", "word_js")
+
+
 def op7_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -104,6 +109,7 @@ def all_queries() -> dict[str, tuple[Run, str | None]]:
         "op1_pivot_search": (op1_pivot_search, OP1_SQL),
         "op2_language_filters": (op2_language_filters, None),
         "op3_url_filter": (op3_url_filter, OP3_SQL),
+        "op5_divergence_rules": (op5_divergence_rules, None),
         "op7_warc_packages": (op7_warc_packages, None),
         "op8_token_records": (op8_token_records, None),
         "op10_vector_packing": (op10_vector_packing, None),
