@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import langid, packing, pivot_search, quality_rules, records, urlfilter, warc
+from alertloom.llm import langid, neardup, packing, pivot_search, quality_rules, records, urlfilter, warc
 from alertloom.llm.wordbpe import default_path
 from alertloom.session import ship_package
 
@@ -100,6 +100,10 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(table(spark, sf_dir, "documents"), default_path())
 
 
+def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
+
+
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"), default_path())
 
@@ -112,5 +116,6 @@ def all_queries() -> dict[str, tuple[Run, str | None]]:
         "op5_divergence_rules": (op5_divergence_rules, None),
         "op7_warc_packages": (op7_warc_packages, None),
         "op8_token_records": (op8_token_records, None),
+        "op9_lsh_forest": (op9_lsh_forest, None),
         "op10_vector_packing": (op10_vector_packing, None),
     }
