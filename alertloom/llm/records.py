@@ -3,9 +3,12 @@
 File format (that of the common training-record files): a record is its payload
 length (unsigned 64 bit), the masked CRC-32C of that length, the payload, and the
 masked CRC-32C of the payload, all little-endian. Payload: a flag word (1: the
-document has an id), the document id (64 bit), the token ids (32 bit each).
-The index of a file is the byte offset of each record and of the end, 64 bit each,
-so that any record is found by number without reading those before it.
+document has an id; 2: ids of 32 bit), the document id (64 bit), the number of
+token ids, and the ids, of 16 bit each where the vocabulary allows it and else of
+32, filled up with zeros to whole words.
+The index of a file has two 64-bit numbers for each record and for the end: the
+byte offset and the ids before it, so that any record is found by number without
+reading those before it.
 """
 
 from __future__ import annotations
@@ -20,68 +23,74 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alertloom.llm.bytetext import sub_batches
+from alertloom.llm.bytetext import ragged, sub_batches
 from alertloom.llm.checksums import crc32c, masked
 from alertloom.llm.files import RangeReader, create
-from alertloom.llm.wordbpe import END_ID, encode_with_end
+from alertloom.llm.wordbpe import END_ID, encode_with_end, encoder
 from alertloom.storage import materialise, scratch_path
 
 HEAD = 3  # words before the payload
-META = 3  # words of the payload before the ids
+META = 4  # words of the payload before the ids
 RECORDS_PER_READ = 2048
 
 MANIFEST = "part int, path string, index_path string, records long, tokens long, bytes long"
 FOUND = "doc_id long, start long, n_tokens long, ids_crc32 long, path string, byte_offset long"
 
 
-def frame_records(ids: np.ndarray, bounds: np.ndarray, doc_ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _without(words: int, first: np.ndarray, lead: int, last: np.ndarray) -> np.ndarray:
+    """Mask of all words but the `lead` first and the last of each record."""
+    mask = np.ones(words, bool)
+    for k in range(lead):
+        mask[first + k] = False
+    mask[last] = False
+    return mask
+
+
+def _halves(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    number = number.astype(np.uint64)
+    return (number & np.uint64(0xFFFFFFFF)).astype(np.uint32), (number >> np.uint64(32)).astype(np.uint32)
+
+
+def frame_records(ids: np.ndarray, bounds: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, wide: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Framed records as 32-bit words, and the word offset of each and of the end."""
     sizes = np.diff(bounds)
-    total = HEAD + META + sizes + 1
-    at = np.concatenate([[0], np.cumsum(total)]).astype(np.int64)
+    room = sizes if wide else (sizes + 1) // 2
+    at = np.concatenate([[0], np.cumsum(HEAD + META + room + 1)]).astype(np.int64)
     words = np.zeros(int(at[-1]), "<u4")
-    first, payload = at[:-1], sizes + META
-    length = (payload * 4).astype(np.uint64)
-    words[first] = (length & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    words[first + 1] = (length >> np.uint64(32)).astype(np.uint32)
+    first, last = at[:-1], at[1:] - 1
+    words[first], words[first + 1] = _halves((room + META) * 4)
     heads = np.stack([words[first], words[first + 1]], axis=1).ravel()
     words[first + 2] = masked(crc32c(heads, np.arange(0, len(heads) + 1, 2)))
-    words[first + 3] = known
-    number = doc_ids.astype(np.int64).view(np.uint64)
-    words[first + 4] = (number & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    words[first + 5] = (number >> np.uint64(32)).astype(np.uint32)
-    inside = np.ones(len(words), bool)
-    for k in range(HEAD + META):
-        inside[first + k] = False
-    inside[at[1:] - 1] = False
-    words[inside] = ids
-    body = np.ones(len(words), bool)
-    for k in range(HEAD):
-        body[first + k] = False
-    body[at[1:] - 1] = False
-    words[at[1:] - 1] = masked(crc32c(words[body], np.concatenate([[0], np.cumsum(payload)])))
+    words[first + 3] = known + 2 * wide
+    words[first + 4], words[first + 5] = _halves(doc_ids.astype(np.int64).view(np.uint64))
+    words[first + 6] = sizes
+    place = ragged((first + HEAD + META) * (1 if wide else 2), sizes)
+    words.view("<u4" if wide else "<u2")[place] = ids
+    body = _without(len(words), first, HEAD, last)
+    words[last] = masked(crc32c(words[body], np.concatenate([[0], np.cumsum(room + META)])))
     return words, at
 
 
 def parse_records(words: np.ndarray, offsets: np.ndarray) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Document ids, all token ids and row bounds; raises if a checksum does not hold."""
+    """Document ids, all token ids (32 bit) and row bounds; raises if a checksum does not hold.
+
+    The records must be of one width, as those of one file are.
+    """
     first, last = offsets[:-1], offsets[1:] - 1
     payload = np.diff(offsets) - HEAD - 1
     heads = np.stack([words[first], words[first + 1]], axis=1).ravel()
-    body = np.ones(len(words), bool)
-    for k in range(HEAD):
-        body[first + k] = False
-    body[last] = False
+    body = _without(len(words), first, HEAD, last)
     good = words[first + 2] == masked(crc32c(heads, np.arange(0, len(heads) + 1, 2)))
     good &= words[first].astype(np.int64) + (words[first + 1].astype(np.int64) << 32) == payload * 4
     good &= words[last] == masked(crc32c(words[body], np.concatenate([[0], np.cumsum(payload)])))
     if not good.all():
         raise ValueError(f"{int((~good).sum())} records are damaged")
-    for k in range(META):
-        body[first + HEAD + k] = False
     number = (words[first + 4].astype(np.uint64) | (words[first + 5].astype(np.uint64) << np.uint64(32))).view(np.int64)
-    doc_ids = [int(n) if known else None for n, known in zip(number, words[first + 3], strict=True)]
-    return doc_ids, words[body], np.concatenate([[0], np.cumsum(payload - META)]).astype(np.int64)
+    doc_ids = [int(n) if flag & 1 else None for n, flag in zip(number, words[first + 3], strict=True)]
+    wide = bool(len(first) and words[first[0] + 3] & 2)
+    sizes = words[first + 6].astype(np.int64)
+    ids = words.view("<u4" if wide else "<u2")[ragged((first + HEAD + META) * (1 if wide else 2), sizes)]
+    return doc_ids, ids.astype("<u4"), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 def write_records(docs: DataFrame, root: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,22 +103,22 @@ def write_records(docs: DataFrame, root: str, tokenizer: str, end_id: int = END_
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         path = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.rec"
-        out, offsets, at, tokens = None, [np.zeros(1, np.int64)], 0, 0
+        out, index, at, tokens = None, [np.zeros((1, 2), np.int64)], 0, 0
+        wide = max(end_id, encoder(tokenizer).tokenizer.get_vocab_size() - 1) > 0xFFFF
         for batch in sub_batches(batches, 1):
             out = out or create(path)
             ids, bounds = encode_with_end(batch.column(1), tokenizer, end_id)
             numbers = batch.column(0)
-            words, where = frame_records(ids, bounds, numbers.fill_null(0).to_numpy(zero_copy_only=False), numbers.is_valid().to_numpy(zero_copy_only=False))
+            words, where = frame_records(ids, bounds, numbers.fill_null(0).to_numpy(zero_copy_only=False), numbers.is_valid().to_numpy(zero_copy_only=False), wide)
             out.write(words)
-            offsets.append(at + where[1:] * 4)
+            index.append(np.stack([at + where[1:] * 4, tokens + bounds[1:]], axis=1))
             at, tokens = at + len(words) * 4, tokens + len(ids)
         if out is None:
             return
         out.close()
-        index = np.concatenate(offsets).astype("<u8")
         with create(path + ".idx") as file:
-            file.write(index)
-        row = [[part], [path], [path + ".idx"], [len(index) - 1], [tokens], [at]]
+            file.write(np.concatenate(index).astype("<u8"))
+        row = [[part], [path], [path + ".idx"], [sum(map(len, index)) - 1], [tokens], [at]]
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["part", "path", "index_path", "records", "tokens", "bytes"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -128,14 +137,14 @@ def read_records(spark: SparkSession, manifest: DataFrame, records_per_read: int
         for batch in batches:
             for row in batch.to_pylist():
                 with RangeReader(row["index_path"]) as file:
-                    index = np.frombuffer(file.at(row["first"] * 8, (row["count"] + 1) * 8), "<u8").astype(np.int64)
+                    index = np.frombuffer(file.at(row["first"] * 16, (row["count"] + 1) * 16), "<u8").astype(np.int64).reshape(-1, 2)
+                at, before = index[:, 0], index[:-1, 1]
                 with RangeReader(row["path"]) as file:
-                    words = np.frombuffer(file.at(int(index[0]), int(index[-1] - index[0])), "<u4")
-                doc_ids, ids, bounds = parse_records(words, (index - index[0]) // 4)
-                before = index[:-1] // 4 - (HEAD + META + 1) * (row["first"] + np.arange(row["count"]))
+                    words = np.frombuffer(file.at(int(at[0]), int(at[-1] - at[0])), "<u4")
+                doc_ids, ids, bounds = parse_records(words, (at - at[0]) // 4)
                 raw = memoryview(np.ascontiguousarray(ids)).cast("B")
                 crcs = [zlib.crc32(raw[a * 4 : b * 4]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                columns = [pa.array(doc_ids, pa.int64()), pa.array(row["base"] + before, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(crcs, pa.int64()), pa.array([row["path"]] * row["count"]), pa.array(index[:-1], pa.int64())]
+                columns = [pa.array(doc_ids, pa.int64()), pa.array(row["base"] + before, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(crcs, pa.int64()), pa.array([row["path"]] * row["count"]), pa.array(at[:-1], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "path", "byte_offset"])
 
     # The manifest has one row per file, so a window over all of it stays small.
