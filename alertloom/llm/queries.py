@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import langid, neardup, packing, pivot_search, quality_rules, records, urlfilter, warc
+from alertloom.llm import langid, neardup, packing, pivot_search, quality_model, quality_rules, records, urlfilter, warc
 from alertloom.llm.wordbpe import default_path
 from alertloom.session import ship_package
 
@@ -92,6 +92,15 @@ def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_js", "word_js")
 
 
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(id_remainder(5) != 0)
+    scored = quality_model.score_quality(docs, quality_model.train(docs, labels))
+    held_out = F.coalesce(id_remainder(5) == 0, F.lit(False))
+    score = F.col("quality_score")
+    return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -114,6 +123,7 @@ def all_queries() -> dict[str, tuple[Run, str | None]]:
         "op2_language_filters": (op2_language_filters, None),
         "op3_url_filter": (op3_url_filter, OP3_SQL),
         "op5_divergence_rules": (op5_divergence_rules, None),
+        "op6_rule_ensemble": (op6_rule_ensemble, None),
         "op7_warc_packages": (op7_warc_packages, None),
         "op8_token_records": (op8_token_records, None),
         "op9_lsh_forest": (op9_lsh_forest, None),
