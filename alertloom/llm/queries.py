@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import langid, neardup, packing, pivot_search, quality_model, quality_rules, records, urlfilter, warc
+from alertloom.llm import langid, mixing, neardup, packing, pivot_search, quality_model, quality_rules, records, urlfilter, warc
 from alertloom.llm.wordbpe import default_path
 from alertloom.session import ship_package
 
@@ -87,6 +87,59 @@ GROUP BY h.row_no, h.page_id, h.host, h.path
 """
 
 
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uses = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return uses.select("doc_id", "source", "epoch", "n_tokens", "stream_start", "block")
+
+
+# The exponent is bisected as in the operator: by entropy, else by repetition.
+OP4_SQL = """
+WITH RECURSIVE sizes AS (
+  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS n_tokens
+  FROM documents
+), sums AS (
+  SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM sizes GROUP BY source HAVING sum(n_tokens) > 0
+), total AS (SELECT CAST(sum(tokens) AS DOUBLE) AS t FROM sums),
+shares AS (SELECT source, tokens, ln(tokens / t) AS x FROM sums, total),
+goal AS (SELECT -sum(exp(x) * x) + 0.5 * greatest(0, ln(count(*)) + sum(exp(x) * x)) AS h FROM shares),
+entropy(step, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT step + 1, CASE WHEN good THEN middle ELSE low END, CASE WHEN good THEN high ELSE middle END
+  FROM (SELECT step, low, high, (low + high) / 2 AS middle,
+          (SELECT ln(sum(exp((low + high) / 2 * x))) - (low + high) / 2 * sum(exp((low + high) / 2 * x) * x) / sum(exp((low + high) / 2 * x)) FROM shares) >= (SELECT h FROM goal) AS good
+        FROM entropy WHERE step < 40)
+), by_entropy AS (SELECT floor(low * 1000000) / 1000000 AS a FROM entropy WHERE step = 40),
+repeats(step, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT step + 1, CASE WHEN good THEN low ELSE middle END, CASE WHEN good THEN middle ELSE high END
+  FROM (SELECT step, low, high, (low + high) / 2 AS middle,
+          (SELECT max(exp(((low + high) / 2 - 1) * x)) / sum(exp((low + high) / 2 * x)) FROM shares) <= 4 AS good
+        FROM repeats WHERE step < 40)
+), chosen AS (
+  SELECT CASE WHEN (SELECT max(exp((a - 1) * x)) / sum(exp(a * x)) FROM shares) <= 4 THEN a
+              ELSE (SELECT least(1.0, ceil(high * 1000000) / 1000000) FROM repeats WHERE step = 40) END AS a
+  FROM by_entropy
+), plan AS (
+  SELECT source, tokens, CAST(floor(exp(a * x) / (SELECT sum(exp(a * x)) FROM shares) * t) AS BIGINT) AS budget
+  FROM shares, chosen, total
+), uses AS (
+  SELECT s.doc_id, s.source, s.n_tokens, p.tokens, p.budget, CAST(e.epoch AS INTEGER) AS epoch,
+    md5(concat('1:', e.epoch, ':', coalesce(CAST(s.doc_id AS VARCHAR), ''))) AS order_key
+  FROM sizes s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source,
+    LATERAL (SELECT unnest(range(CAST(ceil(p.budget / p.tokens) AS BIGINT))) AS epoch) e
+), placed AS (
+  SELECT *, CAST(epoch * tokens + coalesce(sum(n_tokens) OVER (
+    PARTITION BY source, epoch ORDER BY order_key, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS stream_start
+  FROM uses
+)
+SELECT doc_id, source, epoch, n_tokens, stream_start,
+  CAST(stream_start * greatest(1, CAST(ceil((SELECT t FROM total) / 1000000) AS BIGINT)) // budget AS BIGINT) AS block
+FROM placed WHERE stream_start < budget
+"""
+
+
 def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_js", "word_js")
@@ -122,6 +175,7 @@ def all_queries() -> dict[str, tuple[Run, str | None]]:
         "op1_pivot_search": (op1_pivot_search, OP1_SQL),
         "op2_language_filters": (op2_language_filters, None),
         "op3_url_filter": (op3_url_filter, OP3_SQL),
+        "op4_temperature_mixing": (op4_temperature_mixing, OP4_SQL),
         "op5_divergence_rules": (op5_divergence_rules, None),
         "op6_rule_ensemble": (op6_rule_ensemble, None),
         "op7_warc_packages": (op7_warc_packages, None),
