@@ -15,7 +15,7 @@ import pyarrow as pa
 
 # A slice of a batch is worked on at a time, so that temporary arrays stay small
 # whatever the length of the texts.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -20,7 +20,7 @@ import pyarrow as pa
 from alertloom.llm.bytetext import SLICE_BYTES, mix64, ragged, row_slices, span_hashes, text_bytes
 
 END_ID = 1
-MEMORY = 1 << 21  # pieces remembered by one worker before it starts afresh
+MEMORY = 1 << 19  # pieces remembered by one worker before it starts afresh
 
 _SPACES, _LETTER, _NUMBER, _OTHER, _ODD = range(5)
 
@@ -71,9 +71,9 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.size = 1 << 16
         self.key = np.zeros(self.size, np.uint64)
-        self.at = np.full(self.size, -1, np.int64)
-        self.start = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
+        self.at = np.full(self.size, -1, np.int32)
+        self.start = np.zeros(0, np.int32)
+        self.length = np.zeros(0, np.int32)
         self.hashes = np.zeros(0, np.uint64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -206,18 +206,18 @@ class PieceEncoder:
                 self._forget()
                 return self._look_up(low, begin, end)
             rows = [self._piece(low[b:e].tobytes()) for b, e in zip(begin[lost[first]], end[lost[first]], strict=True)]
-            sizes = np.array([len(r) for r in rows], np.int64)
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
+            sizes = np.array([len(r) for r in rows], np.int32)
+            self.start = np.concatenate([self.start, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)])
             self.length = np.concatenate([self.length, sizes])
             self.ids = np.concatenate([self.ids, np.fromiter((x for r in rows for x in r), np.uint32, int(sizes.sum()))])
             known = len(self.hashes)
             self.hashes = np.concatenate([self.hashes, fresh])
             if len(self.hashes) * 2 > self.size:
                 while len(self.hashes) * 2 > self.size:
-                    self.size *= 4
-                self.key, self.at = np.zeros(self.size, np.uint64), np.full(self.size, -1, np.int64)
+                    self.size *= 2
+                self.key, self.at = np.zeros(self.size, np.uint64), np.full(self.size, -1, np.int32)
                 known = 0
-            self._insert(self.hashes[known:], np.arange(known, len(self.hashes)))
+            self._insert(self.hashes[known:], np.arange(known, len(self.hashes), dtype=np.int32))
             found[lost] = self._find(hashes[lost])
         return found
 
