@@ -164,17 +164,17 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     return LanguageFilters(languages, planes)
 
 
-def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score; columns of those names are replaced.
+def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
+    """docs with a language and a score; columns of those two names are replaced.
 
     `und` with score 0: the text is null or has no letter, or nothing was learned.
     A text none of whose n-grams is known gets the most frequent language, score 0.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(filters)
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "lang_score")]
+    kept = [f for f in docs.schema.fields if f.name not in (pred_col, score_col)]
     names = [f.name for f in kept]
-    schema = StructType([*kept, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("has_letter", BooleanType())])
+    schema = StructType([*kept, StructField(pred_col, StringType()), StructField(score_col, DoubleType()), StructField("has_letter_", BooleanType())])
     place = names.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,12 +186,8 @@ def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text")
             best, share = model.decide(data, bounds) if model.languages else (np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows))
             void = ~letters.to_numpy(zero_copy_only=False).astype(bool)
             best, share = np.where(void, len(model.languages), best), np.where(void, 0.0, share)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], known.take(pa.array(best)), pa.array(share), letters], [*names, "lang_pred", "lang_score", "has_letter"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], known.take(pa.array(best)), pa.array(share), letters], [*names, pred_col, score_col, "has_letter_"])
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*names, letter.alias("has_letter")).mapInArrow(judge, schema).drop("has_letter")
+    return docs.select(*names, letter.alias("has_letter_")).mapInArrow(judge, schema).drop("has_letter_")
 
-
-def accepted(score_col: str = "lang_score", lang_col: str = "lang_pred", least: float = 0.0) -> object:
-    """Documents whose language is known with at least this score."""
-    return (F.col(lang_col) != UNKNOWN) & (F.col(score_col) >= least)

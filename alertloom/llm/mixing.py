@@ -154,12 +154,13 @@ def mix_sources(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
 def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     """The chosen documents with their own columns, written in block order.
 
-    For mixes that use a document once at most (max_repeats up to 1).
+    For mixes that use a document once at most (max_repeats up to 1). Rows that
+    repeat an id come along if one of them is chosen.
     """
     if mix.max_repeats > 1:
         raise ValueError("documents would repeat")
-    chosen = mix_sources(docs, mix).select(F.col("doc_id").alias("chosen_id"), F.col("block").alias("chosen_block"), F.col("order_key").alias("chosen_key"))
-    chosen = materialise(chosen.distinct(), "chosen")
+    chosen = mix_sources(docs, mix).groupBy(F.col("doc_id").alias("chosen_id")).agg(F.min("block").alias("chosen_block"), F.min("order_key").alias("chosen_key"))
+    chosen = materialise(chosen, "chosen")
     joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen_id"]))
     ordered = joined.repartitionByRange("chosen_block", "chosen_key").sortWithinPartitions("chosen_block", "chosen_key")
     return ordered.select(*docs.columns)

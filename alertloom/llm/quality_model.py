@@ -30,8 +30,8 @@ Test = tuple[int, bool, float]  # feature, True for <=, threshold
 FEATURES = ["words_log", "mean_word", "distinct_words", "dup_lines", "words_per_line", "symbols", *[f"share_{c}" for c in CLASSES]]
 
 
-def add_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the statistics that rules test (struct column `stats`); text stays.
+def add_features(docs: DataFrame, text: str = "text", stats_col: str = "stats") -> DataFrame:
+    """docs with the statistics that rules test, as a struct column of a name of its own.
 
     Shares of nothing are 0; a null text counts as empty. Columns of docs keep their
     names and values: the work is done beside them.
@@ -48,7 +48,7 @@ def add_features(docs: DataFrame, text: str = "text") -> DataFrame:
         "words_per_line": over("n_words", "n_lines"),
         "symbols": over("n_symbols", "word_chars"),
     } | {f"share_{c}": over(f"c_{c}", "n_chars") for c in CLASSES}
-    return rows.select("row.*", F.struct(*[stats[name].alias(name) for name in FEATURES]).alias("stats"))
+    return rows.select("row.*", F.struct(*[stats[name].alias(name) for name in FEATURES]).alias(stats_col))
 
 
 @dataclass(frozen=True)
@@ -134,13 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> RuleMod
     return fit(materialise(add_features(known).select("label", "stats").coalesce(4), "labelled-stats"))
 
 
-def score_quality(docs: DataFrame, model: RuleModel, text: str = "text") -> DataFrame:
-    """docs with `quality_score` (0 to 1, higher is better); a column of that name is replaced."""
-    kept = docs.drop("quality_score")
-    return add_features(kept, text).withColumn("quality_score", model.score()).drop("stats") if "stats" not in kept.columns else _beside(kept, model, text)
-
-
-def _beside(docs: DataFrame, model: RuleModel, text: str) -> DataFrame:
-    """As score_quality where docs has a column of its own named stats."""
-    held = docs.withColumnRenamed("stats", "own_stats_")
-    return add_features(held, text).withColumn("quality_score", model.score()).drop("stats").withColumnRenamed("own_stats_", "stats").select(*docs.columns, "quality_score")
+def score_quality(docs: DataFrame, model: RuleModel, text: str = "text", score_col: str = "quality_score") -> DataFrame:
+    """docs with a score (0 to 1, higher is better); a column of that name is replaced."""
+    kept = docs.drop(score_col)
+    return add_features(kept, text, "stats_").withColumn(score_col, model.score("stats_")).drop("stats_")
