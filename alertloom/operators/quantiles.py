@@ -1,10 +1,11 @@
 """Exact order statistics without sorting the table or gathering it anywhere.
 
-The built-in exact percentile keeps every distinct value of a group in one
-task. Here each pass counts rows per value range (at most RANGES ranges around
-every wanted rank) and narrows to the range that holds the rank, until the
-range is a single value. A pass is one partial aggregation over one column; a
-few passes suffice, and copies of a value cost nothing extra.
+The built-in exact percentile keeps every distinct value of a group in one task.
+Here a mergeable summary names three values around each wanted rank, one counting
+pass tells on which side of them the rank lies, and the search goes on between
+two of them. A pass leaves out the values it counted, so the search always ends;
+usually a few passes do, whatever the spread of the values. NaN and the
+infinities are counted first and never enter the search; NaN is the greatest.
 """
 
 from __future__ import annotations
@@ -13,96 +14,110 @@ import math
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-RANGES = 4096
+ACCURACY = 10_000
 
 
 @dataclass(frozen=True)
 class _Span:
-    """Values low..high, with `below` smaller rows in the table."""
+    """Values between two bounds (exclusive, None: open); `below` rows precede them."""
 
     low: Any
     high: Any
     below: int
+    rows: int
+
+    def holds(self, x: Column) -> Column:
+        out = F.lit(True)
+        if self.low is not None:
+            out = out & (x > F.lit(self.low))
+        return out if self.high is None else out & (x < F.lit(self.high))
 
 
 def order_statistics(df: DataFrame, column: str, ranks: list[int]) -> dict[int, Any]:
     """Value at each 0-based rank among the non-null values of `column`."""
-    data = df.select(F.col(column).alias("x")).where(F.col("x").isNotNull())
-    low, high = data.agg(F.min("x"), F.max("x")).first()
-    return _narrow(data, low, high, ranks)
+    return _find(df, column, lambda n: ranks)[1]
 
 
-def _narrow(data: DataFrame, low: Any, high: Any, ranks: list[int]) -> dict[int, Any]:
-    spans = {rank: _Span(low, high, 0) for rank in ranks}
-    found = {rank: low for rank in ranks if low == high}
+def _find(df: DataFrame, column: str, ranks_of: Any) -> tuple[int, dict[int, Any]]:
+    """Number of non-null values, and the values at the ranks that `ranks_of` asks of it."""
+    data = df.select(F.col(column).alias("x")).where(F.col("x").isNotNull())
+    x, inf = F.col("x"), float("inf")
+    if isinstance(data.schema["x"].dataType, T.FractionalType) and not isinstance(data.schema["x"].dataType, T.DecimalType):
+        counts = [F.count_if(x == F.lit(v)) for v in (-inf, inf, float("nan"))]
+    else:
+        counts = [F.lit(0)] * 3
+    n, least, most, odd = data.agg(F.count("x"), *counts).first()
+    finite = data if not least + most + odd else data.where((x > F.lit(-inf)) & (x < F.lit(inf)))
+    inside = n - least - most - odd
+    found, open_ranks = {}, []
+    for rank in ranks_of(n):
+        if not 0 <= rank < n:
+            raise ValueError(f"rank {rank} is beyond the {n} values of the column")
+        if rank < least:
+            found[rank] = -inf
+        elif rank < least + inside:
+            open_ranks.append(rank)
+        else:
+            found[rank] = inf if rank < least + inside + most else float("nan")
+    found |= {r + least: v for r, v in _narrow(finite, [r - least for r in open_ranks], inside).items()}
+    return n, found
+
+
+def _narrow(data: DataFrame, ranks: list[int], n: int) -> dict[int, Any]:
+    spans = dict.fromkeys(ranks, _Span(None, None, 0, n))
+    found: dict[int, Any] = {}
     while len(found) < len(spans):
-        open_spans = list(dict.fromkeys(s for r, s in spans.items() if r not in found))
-        histogram = _histogram(data, open_spans)
-        for rank, span in spans.items():
-            if rank in found:
-                continue
-            below = span.below
-            for n, least, most in histogram[open_spans.index(span)]:
-                if rank < below + n:
-                    spans[rank] = _Span(least, most, below)
-                    if least == most:
-                        found[rank] = least
+        wanted = [r for r in spans if r not in found]
+        x, named = F.col("x"), []
+        for k, rank in enumerate(wanted):
+            span = spans[rank]
+            at = (rank - span.below + 1) / span.rows
+            fractions = [min(1.0, max(0.0, at + d / ACCURACY)) for d in (-2, 0, 2)]
+            named.append(F.percentile_approx(F.when(span.holds(x), x), fractions, ACCURACY).alias(f"p{k}"))
+        pivots = [sorted(set(values)) for values in data.agg(*named).first()]
+        tallies = [F.count_if(spans[rank].holds(x) & test).alias(f"n{k}_{i}_{j}") for k, rank in enumerate(wanted) for i, p in enumerate(pivots[k]) for j, test in enumerate((x < F.lit(p), x == F.lit(p)))]
+        counted = data.agg(*tallies).first()
+        for k, rank in enumerate(wanted):
+            span, before, low = spans[rank], 0, spans[rank].low
+            for i, pivot in enumerate(pivots[k]):
+                less, equal = counted[f"n{k}_{i}_0"], counted[f"n{k}_{i}_1"]
+                if rank < span.below + less:
+                    spans[rank] = _Span(low, pivot, span.below + before, less - before)
                     break
-                below += n
+                if rank < span.below + less + equal:
+                    found[rank] = pivot
+                    break
+                before, low = less + equal, pivot
             else:
-                raise ValueError(f"rank {rank} is beyond the {below} values of the column")
+                spans[rank] = _Span(low, span.high, span.below + before, span.rows - before)
     return found
 
 
-def _histogram(data: DataFrame, spans: list[_Span]) -> dict[int, list[tuple[int, Any, Any]]]:
-    """(rows, least, most) per non-empty range of each span, in value order."""
-    x = F.col("x")
-    place = F.lit(None)
-    for i, s in enumerate(spans):
-        share = (x - F.lit(s.low)).cast("double") / float(s.high - s.low)
-        slot = F.least(F.floor(share * RANGES).cast("int"), F.lit(RANGES - 1))
-        here = F.struct(F.lit(i).alias("span"), slot.alias("slot"))
-        condition = x.between(s.low, s.high)
-        place = F.when(condition, here) if i == 0 else place.when(condition, here)
-    inside = x.between(min(s.low for s in spans), max(s.high for s in spans))
-    rows = (
-        data.where(inside)
-        .select("x", place.alias("place"))
-        .where(F.col("place").isNotNull())
-        .groupBy("place.span", "place.slot")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
-        .collect()
-    )
-    out: dict[int, list[tuple[int, Any, Any]]] = {i: [] for i in range(len(spans))}
-    for r in sorted(rows, key=lambda r: (r["span"], r["slot"])):
-        out[r["span"]].append((r["n"], r["least"], r["most"]))
-    return out
-
-
 def exact_quantiles(df: DataFrame, column: str, fractions: list[float]) -> dict[float, float | None]:
     """Quantiles with linear interpolation between neighbouring values."""
-    data = df.select(F.col(column).alias("x")).where(F.col("x").isNotNull())
-    n, low, high = data.agg(F.count("x"), F.min("x"), F.max("x")).first()
+
+    def ranks(n: int) -> list[int]:
+        return sorted({r for f in fractions for r in (math.floor(f * (n - 1)), math.ceil(f * (n - 1)))}) if n else []
+
+    n, at = _find(df, column, ranks)
     if n == 0:
         return dict.fromkeys(fractions)
-    places = {f: f * (n - 1) for f in fractions}
-    ranks = sorted({r for p in places.values() for r in (math.floor(p), math.ceil(p))})
-    at = _narrow(data, low, high, ranks)
     out: dict[float, float | None] = {}
-    for f, p in places.items():
-        a, b = at[math.floor(p)], at[math.ceil(p)]
-        out[f] = float(a) + (float(b) - float(a)) * (p - math.floor(p))
+    for f in fractions:
+        place = f * (n - 1)
+        a, b = float(at[math.floor(place)]), float(at[math.ceil(place)])
+        out[f] = a if a == b else a + (b - a) * (place - math.floor(place))
     return out
 
 
 def kth_smallest(df: DataFrame, column: str, fraction: float) -> Any:
     """Value at rank int(n * fraction), counted from 0."""
-    n = df.agg(F.count(column)).first()[0]
-    rank = min(int(n * fraction), n - 1)
-    return order_statistics(df, column, [rank])[rank] if n else None
+    _, found = _find(df, column, lambda n: [min(int(n * fraction), n - 1)] if n else [])
+    return next(iter(found.values()), None)
 
 
 def error_quantiles(df: DataFrame, column: str) -> DataFrame:
