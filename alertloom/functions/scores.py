@@ -44,20 +44,27 @@ def minmax_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[x for pair in parts for x in pair])
 
 
+def _within_unit(x: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+
+
 def minmax_normalise(x: Column, r: BatchRange) -> Column:
-    """To [0, 1], greater stays greater; a batch of one row gets 0.5."""
-    return F.when(r.rows > 1, (x - r.low) / (r.high - r.low + EPSILON)).otherwise(F.lit(0.5))
+    """To [0, 1], greater stays greater; a batch of one row gets 0.5.
+
+    Values outside a frozen range get its nearer end.
+    """
+    return F.when(r.rows > 1, _within_unit((x - r.low) / (r.high - r.low + EPSILON))).otherwise(F.lit(0.5))
 
 
 def inverse_minmax(x: Column, r: BatchRange) -> Column:
     """To [0, 1] turned round; one row or a constant gets 0.5."""
-    return F.when((r.rows > 1) & (r.high > r.low), 1 - (x - r.low) / (r.high - r.low + EPSILON)).otherwise(F.lit(0.5))
+    return F.when((r.rows > 1) & (r.high > r.low), _within_unit(1 - (x - r.low) / (r.high - r.low + EPSILON))).otherwise(F.lit(0.5))
 
 
 def recon_normalise(x: Column, r: BatchRange, threshold: Column) -> Column:
     """Reconstruction error to [0, 1]; constant 0; one row is judged by the threshold."""
     single = F.when(x > threshold, F.lit(1.0)).otherwise(x / threshold)
-    return F.when(r.rows == 1, single).when(r.high > r.low, (x - r.low) / (r.high - r.low)).otherwise(F.lit(0.0))
+    return F.when(r.rows == 1, single).when(r.high > r.low, _within_unit((x - r.low) / (r.high - r.low))).otherwise(F.lit(0.0))
 
 
 def anomaly_score(forest: Column, kmeans: Column) -> Column:

@@ -115,6 +115,13 @@ class ModelSet:
     error_threshold: float | None = None
     ranges: dict[str, tuple[float, float]] = field(default_factory=dict)
     uses_frequencies: bool = True
+    # Frequencies fixed at training time; None: each batch has its own.
+    frequencies: DataFrame | None = None
+
+    @property
+    def frozen(self) -> bool:
+        """Whether a row's scores do not depend on the rows beside it."""
+        return bool(self.ranges) and (self.frequencies is not None or not self.uses_frequencies)
 
 
 def vector_parts(df: DataFrame, column: str) -> Column:

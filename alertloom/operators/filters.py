@@ -70,7 +70,7 @@ def _detail_fields(df: DataFrame) -> dict[str, Column]:
     have = set(df.columns)
     out: dict[str, Column] = {"id": F.col("id"), "event_time": F.date_format("event_time", FULL_FORMAT)}
     for name in _TEXT_FIELDS:
-        out[name] = F.coalesce(F.col(name), F.lit("Unknown")) if name in have else F.lit("Unknown")
+        out[name] = F.col(name) if name in have else F.lit("Unknown")
     for name in ("src_port", "dst_port"):
         out[name] = F.col(name).cast("int") if name in have else F.lit(None).cast("int")
     for name in _TRAFFIC_FIELDS:
@@ -81,7 +81,7 @@ def _detail_fields(df: DataFrame) -> dict[str, Column]:
 
 
 def zero_day_detail(df: DataFrame) -> DataFrame:
-    """Record shown for one novel attack: texts filled, times formatted."""
+    """Record shown for one novel attack: absent text columns named so, times formatted."""
     return df.select(*[c.alias(n) for n, c in _detail_fields(df).items()])
 
 

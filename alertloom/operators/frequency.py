@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.operators.joins import lookup
+from alertloom.operators.joins import HOT_FRACTION, lookup
 from alertloom.schemas import FREQUENCY_COLUMNS
 from alertloom.storage import BROADCAST_ROWS, materialise
 
@@ -33,21 +33,27 @@ def value_frequency(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def add_frequency_features(df: DataFrame, columns: list[str] | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def add_frequency_features(
+    df: DataFrame, columns: list[str] | None = None, broadcast_rows: int = BROADCAST_ROWS, frozen: DataFrame | None = None
+) -> DataFrame:
     """`<column>_freq` per row: share of the row's value among non-null values.
 
     The frequency table is written once; its size per column decides between a
     broadcast and the skew-safe shuffle lookup. A null value has frequency 0.
+    `frozen` is a table of value_frequency to look values up in instead of this
+    batch's own; values it lacks have frequency 0.
     """
     wanted = [c for c in (columns or FREQUENCY_COLUMNS) if c in df.columns]
     if not wanted:
         return df
-    table = materialise(value_frequency(df, wanted))
+    table = materialise(value_frequency(df, wanted)) if frozen is None else frozen
     sizes = {r["column_name"]: r["n"] for r in table.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = df
     for column in wanted:
         name = f"{column}_freq"
         part = table.where(F.col("column_name") == column).select(F.col("value").alias("_value"), F.col("freq").alias(name))
-        out = lookup(out, part, column, "_value", small=sizes.get(column, 0) <= broadcast_rows)
+        # The table has the exact shares, so the hot values need no further scan.
+        hot = part.where(F.col(name) > 1 / HOT_FRACTION).select("_value")
+        out = lookup(out, part, column, "_value", small=sizes.get(column, 0) <= broadcast_rows, hot_keys=hot)
         out = out.withColumn(name, F.coalesce(name, F.lit(0.0)))
     return out

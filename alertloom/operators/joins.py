@@ -21,7 +21,7 @@ from alertloom.storage import BROADCAST_ROWS, fits
 # than HOT_FRACTION hot keys, whatever the data.
 HOT_FRACTION = 1000
 _TRACKED_KEYS = 10_000
-_SPREAD = 1024
+_LEAST_SPREAD = 1024
 
 
 def lookup(
@@ -31,10 +31,12 @@ def lookup(
     dim_key: str,
     broadcast_rows: int = BROADCAST_ROWS,
     small: bool | None = None,
+    hot_keys: DataFrame | None = None,
 ) -> DataFrame:
     """Left join of `fact` to `dim`, whose key is unique; adds dim's other columns.
 
-    `small` skips the size check where the caller has already made it.
+    `small` skips the size check where the caller has already made it; `hot_keys`
+    (one column, fewer than HOT_FRACTION rows) the search for hot keys.
     """
     values = [c for c in dim.columns if c != dim_key]
     if small is None:
@@ -42,7 +44,11 @@ def lookup(
     if small:
         side = F.broadcast(dim.withColumnRenamed(dim_key, "_key"))
         return fact.join(side, fact[fact_key] == side["_key"], "left").drop("_key")
-    return _split_lookup(fact, dim, fact_key, dim_key, values)
+    if hot_keys is None:
+        hot = _hot_hashes(fact, fact_key)
+    else:
+        hot = [r[0] for r in hot_keys.select(F.xxhash64(hot_keys.columns[0])).limit(HOT_FRACTION).collect()]
+    return _split_lookup(fact, dim, fact_key, dim_key, values, hot)
 
 
 def _hot_hashes(fact: DataFrame, key: str) -> list[int]:
@@ -57,8 +63,10 @@ def _hot_hashes(fact: DataFrame, key: str) -> list[int]:
     return [item["item"] for item in row["top"] or [] if item["count"] * HOT_FRACTION > row["total"]]
 
 
-def _split_lookup(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, values: list[str]) -> DataFrame:
-    hot = _hot_hashes(fact, fact_key)
+def _split_lookup(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, values: list[str], hot: list[int]) -> DataFrame:
+    # As many salts as a shuffle has partitions, so their share of the rows does
+    # not grow with the cluster's work.
+    salts = max(_LEAST_SPREAD, int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Hot and null keys are settled here: they get a null key below and are
     # spread over the partitions by a hash of the row, which a rerun of a lost
     # task repeats. Whole-row copies share that hash; the sort-merge join asked
@@ -69,7 +77,7 @@ def _split_lookup(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
         {
             "_hot_key": F.when(is_hot, F.col(fact_key)),
             "_cold_key": F.when(~settled, F.col(fact_key)),
-            "_spread": F.when(settled, F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(_SPREAD))).otherwise(-1),
+            "_spread": F.when(settled, F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(salts))).otherwise(-1),
         }
     )
     side = dim.select(
@@ -126,8 +134,12 @@ def except_ids(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def score_lookup(alerts: DataFrame, zero_day: DataFrame) -> DataFrame:
-    """Alerts with the novelty score saved for their id, null where none is."""
-    return lookup(alerts, zero_day.select("id", "zero_day_score"), "id", "id")
+    """Alerts with the novelty score saved for their id, null where none is.
+
+    An id that was saved several times has one score here, its highest.
+    """
+    saved = zero_day.groupBy("id").agg(F.max("zero_day_score").alias("zero_day_score"))
+    return lookup(alerts, saved, "id", "id")
 
 
 def internal_membership(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from alertloom.schemas import ALERT_SCHEMA
+from alertloom.schemas import ALERT_SCHEMA, STATE_SCHEMA
 
 
 def project_storage_columns(df: DataFrame, text_nulls_to_empty: bool = True) -> DataFrame:
@@ -106,6 +106,12 @@ def csv_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def log_state(spark: SparkSession, path: str, key: str, moment: str) -> None:
+    """One entry in the append-only state log."""
+    row = spark.createDataFrame([(key, moment[:19])], "config_key string, config_value string")
+    row.withColumn("last_updated", F.lit(moment).cast("timestamp_ntz")).select(*STATE_SCHEMA.fieldNames()).write.mode("append").parquet(path)
+
+
 def state_latest(log: DataFrame) -> DataFrame:
     """Current value per key of an append-only state log."""
     order = F.struct("last_updated", "entry_id") if "entry_id" in log.columns else F.col("last_updated")

@@ -12,7 +12,7 @@ from alertloom.operators import aggregates as agg
 from alertloom.operators import topk
 from alertloom.plans.preprocess import engineer
 from alertloom.schemas import DETECTION_THRESHOLD
-from alertloom.storage import materialise, spread
+from alertloom.storage import materialise
 
 
 def batch_ranges(scored: DataFrame, models: ModelSet) -> dict[str, scores.BatchRange]:
@@ -25,7 +25,7 @@ def batch_ranges(scored: DataFrame, models: ModelSet) -> dict[str, scores.BatchR
 
 def score_alerts(alerts: DataFrame, models: ModelSet, internal: DataFrame | None = None) -> DataFrame:
     """Engineered alerts with the raw scores of all models, written once."""
-    encoded = models.encode(engineer(spread(alerts), internal, models.uses_frequencies))
+    encoded = models.encode(engineer(alerts, internal, models.uses_frequencies, frozen=models.frequencies))
     return materialise(add_raw_scores(encoded, models).drop("features"), "scored")
 
 

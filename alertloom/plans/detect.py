@@ -13,7 +13,8 @@ from alertloom.operators import filters, sinks, topk
 from alertloom.plans.classify import batch_ranges
 from alertloom.plans.preprocess import engineer
 from alertloom.schemas import CATEGORICAL_COLUMNS, DETECTION_THRESHOLD, IP_COLUMNS, NUMERIC_COLUMNS, PORT_COLUMNS, ZERO_DAY_SCHEMA
-from alertloom.storage import materialise, spread
+from alertloom.sources.scans import detection_window
+from alertloom.storage import materialise
 
 # Columns that cleaning overwrites; detection reports the alert as it came in.
 _CLEANED = CATEGORICAL_COLUMNS + NUMERIC_COLUMNS + PORT_COLUMNS
@@ -22,8 +23,8 @@ _CLEANED = CATEGORICAL_COLUMNS + NUMERIC_COLUMNS + PORT_COLUMNS
 def score_raw_alerts(alerts: DataFrame, models: ModelSet, internal: DataFrame | None = None) -> DataFrame:
     """Original alert columns, internal flags and raw model scores, written once."""
     kept = [c for c in _CLEANED if c in alerts.columns]
-    carried = spread(alerts).withColumn("_original", F.struct(*kept))
-    encoded = models.encode(engineer(carried, internal, models.uses_frequencies))
+    carried = alerts.withColumn("_original", F.struct(*kept))
+    encoded = models.encode(engineer(carried, internal, models.uses_frequencies, frozen=models.frequencies))
     scored = add_raw_scores(encoded, models)
     columns = [F.col(f"_original.{c}").alias(c) if c in kept else F.col(c) for c in alerts.columns]
     flags = [f"{c}_is_internal" for c in IP_COLUMNS if c in alerts.columns]
@@ -105,3 +106,19 @@ def detection_summary(detected: DataFrame, stored: DataFrame) -> DataFrame:
 
 def detection_details(detected: DataFrame) -> DataFrame:
     return filters.zero_day_detail(detected.where("is_zero_day"))
+
+
+def run_detection(
+    alerts: DataFrame, models: ModelSet, path: str, state_path: str, as_of: str, hours: int = 24, internal: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The whole job: recent alerts, detection, saving, state entry; summary and details.
+
+    The run is recorded also when it finds nothing. Running it again saves nothing
+    twice.
+    """
+    spark = alerts.sparkSession
+    stored = materialise(sinks.read_or_empty(spark, path, ZERO_DAY_SCHEMA).select("id"), "stored-ids")
+    detected = materialise(detect_zero_day(detection_window(alerts, hours, as_of), models, internal), "detected")
+    save_zero_day(detected, path)
+    sinks.log_state(spark, state_path, "last_zero_day_detection_update", as_of)
+    return detection_summary(detected, stored), detection_details(detected)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from alertloom.functions import addresses
 from alertloom.functions.timeparts import add_time_features
 from alertloom.functions.traffic import add_port_features, add_traffic_features, coerce_numeric, fill_missing
-from alertloom.operators.frequency import add_frequency_features
+from alertloom.operators.frequency import add_frequency_features, value_frequency
 from alertloom.operators.joins import internal_membership
-from alertloom.schemas import IP_COLUMNS
+from alertloom.schemas import FREQUENCY_COLUMNS, IP_COLUMNS
 from alertloom.storage import BROADCAST_ROWS, fits, materialise
 
 
@@ -42,15 +42,23 @@ def engineer(
     internal: DataFrame | None = None,
     frequencies: bool = True,
     broadcast_rows: int = BROADCAST_ROWS,
+    frozen: DataFrame | None = None,
 ) -> DataFrame:
     """Cleaned alerts with all time, address, port, frequency and traffic features.
 
-    Frequencies are those of this batch, at fit time and at scoring time alike.
+    Frequencies are those of this batch, at fit time and at scoring time alike,
+    unless a frozen frequency table is given.
     """
     df = coerce_numeric(fill_missing(alerts))
     df = add_time_features(df)
     df = add_ip_features(df, internal, broadcast_rows)
     df = add_port_features(df)
     if frequencies:
-        df = add_frequency_features(df, broadcast_rows=broadcast_rows)
+        df = add_frequency_features(df, broadcast_rows=broadcast_rows, frozen=frozen)
     return add_traffic_features(df)
+
+
+def frequency_table(alerts: DataFrame) -> DataFrame:
+    """Frequencies of the cleaned values of these alerts, to be kept with a model."""
+    wanted = [c for c in FREQUENCY_COLUMNS if c in alerts.columns]
+    return materialise(value_frequency(coerce_numeric(fill_missing(alerts)), wanted), "frequencies")

@@ -12,12 +12,14 @@ from alertloom.models import autoencoder as ae
 from alertloom.models import clustering, forest, reduction
 from alertloom.models.encoding import fit_encoder
 from alertloom.models.scorer import Clusters, ModelSet, add_raw_scores, reconstruction_sample
+from alertloom.models.store import save_models
 from alertloom.models.thresholds import model_report, recon_threshold
 from alertloom.operators import aggregates as agg
-from alertloom.plans.preprocess import engineer
+from alertloom.operators.sinks import log_state
+from alertloom.plans.preprocess import engineer, frequency_table
 from alertloom.schemas import TRAINING_DAYS
 from alertloom.sources.scans import alerts_with_baseline, scan_baseline
-from alertloom.storage import materialise, spread
+from alertloom.storage import materialise
 
 # Share of anomalies assumed in training, and the class default
 # that k-means keeps.
@@ -61,7 +63,7 @@ def train_baseline(
 ) -> Training:
     """Encoder, isolation forest, and k-means on the reduced rows."""
     rows = training_rows(alerts, baseline, as_of, days)
-    engineered = materialise(engineer(spread(rows), internal), "engineered")
+    engineered = materialise(engineer(rows, internal), "engineered")
     encoder = fit_encoder(engineered, hash_buckets, hashed)
     encoded = materialise(encoder(engineered), "encoded")
     n = encoded.count()
@@ -106,7 +108,7 @@ def train_zero_day(
     The error threshold is the 95th percentile of the training errors unless
     one is given.
     """
-    encoded = materialise(models.encode(engineer(spread(scan_baseline(baseline)), internal)), "ae-encoded")
+    encoded = materialise(models.encode(engineer(scan_baseline(baseline), internal)), "ae-encoded")
     fitted, history = ae.fit_autoencoder(encoded, models.width, encoding_dim, epochs, seed=seed)
     complete = replace(models, autoencoder=fitted)
     scored = materialise(add_raw_scores(encoded, complete).drop("features"), "ae-scored")
@@ -120,6 +122,29 @@ def train_zero_day(
     return Training(complete, scored, reports)
 
 
+def run_baseline_training(alerts: DataFrame, baseline: DataFrame | None, path: str, state_path: str, as_of: str, internal: DataFrame | None = None, **options: object) -> Training:
+    """Trains the baseline models, stores them fit for streams, and records the run."""
+    done = train_baseline(alerts, baseline, internal, as_of, **options)
+    models = replace(done.models, ranges=frozen_ranges(done.scored))
+    save_models(alerts.sparkSession, models, path)
+    log_state(alerts.sparkSession, state_path, "last_baseline_model_update", as_of)
+    return replace(done, models=models)
+
+
+def run_zero_day_training(baseline: DataFrame, models: ModelSet, path: str, state_path: str, as_of: str, internal: DataFrame | None = None, **options: object) -> Training:
+    """Trains the novelty model, stores the completed set, and records the run."""
+    done = train_zero_day(baseline, models, internal, **options)
+    complete = replace(done.models, ranges=models.ranges | frozen_ranges(done.scored.select("err")))
+    save_models(baseline.sparkSession, complete, path)
+    log_state(baseline.sparkSession, state_path, "last_zero_day_model_update", as_of)
+    return replace(done, models=complete)
+
+
+def with_frozen_frequencies(models: ModelSet, alerts: DataFrame) -> ModelSet:
+    """Models that look frequencies up in a table of these alerts; streams need them."""
+    return replace(models, frequencies=frequency_table(alerts))
+
+
 def with_frozen_ranges(models: ModelSet, scored: DataFrame) -> ModelSet:
     """Models that normalise by the ranges of `scored` instead of each batch's."""
     return replace(models, ranges=frozen_ranges(scored))

@@ -176,7 +176,7 @@ def _sinks() -> dict[str, Query]:
 _DETAIL_TEXT = ["category", "src_ip", "dst_ip", "signature", "protocol", "device_name", "device_ip", "attack_function", "attack_step", "src_mac", "dst_mac"]
 DETAIL_SQL = (
     "id, strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time, "
-    + ", ".join(f"coalesce({c}, 'Unknown') AS {c}" for c in _DETAIL_TEXT)
+    + ", ".join(_DETAIL_TEXT)
     + ", src_port, dst_port, "
     + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("packets_to_server", "packets_to_client", "bytes_to_server", "bytes_to_client"))
     + ", coalesce(zero_day_score, 0) AS zero_day_score"

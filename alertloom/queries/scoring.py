@@ -14,9 +14,10 @@ from alertloom.plans import baseline, classify, detect, sweep
 from alertloom.queries.features import internal_sql
 from alertloom.queries.registry import Query, checked
 from alertloom.queries.relational import ALL, DETAIL_SQL
-from alertloom.schemas import ALERT_COLUMNS, BASELINE_MIN_SCORE, CATEGORICAL_COLUMNS, NUMERIC_COLUMNS, PORT_COLUMNS
+from alertloom.schemas import ALERT_COLUMNS, BASELINE_MIN_SCORE, CATEGORICAL_COLUMNS, NUMERIC_COLUMNS, PORT_COLUMNS, STATE_SCHEMA, ZERO_DAY_SCHEMA
+from alertloom.sources.scans import detection_window
 from alertloom.sources.views import Views
-from alertloom.storage import materialise
+from alertloom.storage import materialise, scratch_path
 
 _PATHS = [[repr(literal.leaf_path(n[4], n[5])) for n in tree if n[0] < 0] for tree in literal.TREES]
 
@@ -86,6 +87,25 @@ def _detected(v: Views) -> DataFrame:
     return detect.detect_zero_day(v.alerts, with_threshold(v))
 
 
+# Rows of the last day, as the detection job takes them.
+_DAY = "win AS (SELECT alerts.* FROM alerts, p WHERE event_time BETWEEN as_of_event - INTERVAL 24 HOUR AND as_of_event), " + fixed_ctes("win")
+
+
+def _run_detection(v: Views) -> DataFrame:
+    """The detection job, run twice: summary of the first run, and what is stored after both."""
+    path, state = scratch_path(v.spark, "job-out"), scratch_path(v.spark, "job-state")
+    window = detection_window(v.alerts, 24, v.as_of_event)
+    errors = materialise(add_raw_scores(fixed_models().encode(window), fixed_models()).select("id", "err"), "errors")
+    models = literal.literal_models(thresholds.recon_threshold(errors))
+    summary, _ = detect.run_detection(v.alerts, models, path, state, v.as_of_event)
+    summary = materialise(summary, "summary")
+    detect.run_detection(v.alerts, models, path, state, v.as_of_event)
+    stored = v.spark.read.schema(ZERO_DAY_SCHEMA).parquet(path).agg(F.count(F.lit(1))).scalar()
+    log = v.spark.read.schema(STATE_SCHEMA).parquet(state)
+    last = sinks.state_latest(log).where("config_key = 'last_zero_day_detection_update'").agg(F.max("config_value")).scalar()
+    return summary.withColumns({"stored": stored, "last_update": last})
+
+
 def _scored_for_sweep(v: Views) -> tuple[DataFrame, ModelSet]:
     models = with_threshold(v)
     return detect.score_raw_alerts(v.alerts, models), models
@@ -399,6 +419,12 @@ def _detect_queries() -> dict[str, Query]:
             "SELECT count(*) AS total_alerts, count(*) FILTER (base) AS anomaly_count, count(*) FILTER (zd) AS zero_day_count, count(*) FILTER (zd AND id NOT IN (SELECT id FROM zero_day_alerts)) AS saved_count FROM det",
             FIXED,
         ),
+        "run_detection": checked(
+            _run_detection,
+            "SELECT count(*) AS total_alerts, count(*) FILTER (base) AS anomaly_count, count(*) FILTER (zd) AS zero_day_count, count(*) FILTER (zd) AS saved_count, "
+            "count(*) FILTER (zd) AS stored, (SELECT strftime(as_of_event, '%Y-%m-%d %H:%M:%S') FROM p) AS last_update FROM det",
+            _DAY,
+        ),
         "detection_details": checked(
             lambda v: detect.detection_details(r(_detected(v))),
             f"SELECT {DETAIL_SQL} FROM (SELECT *, round(zs, 6) AS zero_day_score FROM det WHERE zd)",

@@ -45,10 +45,10 @@ def _dedupe(v: Views) -> DataFrame:
     return v.spark.read.schema(out.schema).parquet(path).select("id", "event_time", "category", "src_ip")
 
 
-def _counts(v: Views, label: str, counts: DataFrame) -> DataFrame:
+def _counts(v: Views, label: str, counts: DataFrame, *keys: str) -> DataFrame:
     path, progress = _paths(v, label)
-    jobs.replace_table(counts, path, progress)
-    return v.spark.read.schema(counts.schema).parquet(path)
+    jobs.follow_counts(counts, path, progress)
+    return jobs.current_counts(v.spark, path, counts.schema, list(keys))
 
 
 def _baseline(v: Views) -> DataFrame:
@@ -67,10 +67,10 @@ def queries() -> dict[str, Query]:
         "stream_detect": checked(_detect, f"SELECT {ALL}, round(zs, 6) AS zero_day_score FROM det WHERE zd", scoring.FIXED),
         "stream_dedupe": checked(_dedupe, "SELECT DISTINCT id, event_time, category, src_ip FROM alerts"),
         "stream_daily_counts": checked(
-            lambda v: _counts(v, "stream-daily", jobs.daily_counts(_stream(v))), "SELECT cast(event_time as date) AS date, count(*) AS n FROM alerts GROUP BY 1"
+            lambda v: _counts(v, "stream-daily", jobs.daily_counts(_stream(v)), "date"), "SELECT cast(event_time as date) AS date, count(*) AS n FROM alerts GROUP BY 1"
         ),
         "stream_sliding_24h": checked(
-            lambda v: _counts(v, "stream-sliding", jobs.sliding_counts(_stream(v))),
+            lambda v: _counts(v, "stream-sliding", jobs.sliding_counts(_stream(v)), "window_start", "window_end"),
             "SELECT s AS window_start, s + INTERVAL 24 HOUR AS window_end, count(*) AS n FROM (SELECT unnest(list_transform(range(12), lambda i: time_bucket(INTERVAL 2 HOUR, event_time) - to_hours(2 * i))) AS s FROM alerts) GROUP BY s",
         ),
         "stream_baseline_update": checked(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,13 +123,19 @@ def alerts_with_baseline(
     return both.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 
+def _question_marks(text: str) -> str:
+    """%s as ?, but not inside quoted text."""
+    quoted = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`"""
+    return re.sub(rf"({quoted})|%s", lambda m: m[1] or "?", text)
+
+
 def param_sql(spark: SparkSession, text: str, args: dict | list | None = None, **tables: DataFrame) -> DataFrame:
     """SQL with bound values: `:name` with a dict, `?` or `%s` with a list.
 
     Frames given by keyword are usable in the text as {name}.
     """
     if isinstance(args, list | tuple):
-        return spark.sql(text.replace("%s", "?"), args=list(args), **tables)
+        return spark.sql(_question_marks(text), args=list(args), **tables)
     return spark.sql(text, args=args or {}, **tables)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +14,23 @@ from pyspark.sql import functions as F
 # shuffle path is taken.
 BROADCAST_ROWS = 200_000
 
+# Folders written by materialise, in turn, for `scratch` to remove.
+_made: list[str] = []
+
 
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is made and remembered in the session settings.
+    Only where the session names none and everything runs on one machine (tests) a
+    temporary folder is made and remembered in the session settings; elsewhere
+    executors could not see each other's files there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("alertloom.scratch", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="alertloom-")
         spark.conf.set("alertloom.scratch", root)
     return root.rstrip("/")
@@ -40,6 +48,7 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     blocks, and later passes read only the columns they need.
     """
     path = scratch_path(df.sparkSession, label)
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -49,20 +58,18 @@ def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).agg(F.count(F.lit(1))).first()[0] <= limit
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Input size of df as the optimiser sees it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread(df: DataFrame, key: str = "id") -> DataFrame:
-    """Gives costly per-row work all cores when the input has few splits.
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the copies made inside the block when it ends.
 
-    Only an input smaller than one split per core is reshuffled; a large table
-    already comes in enough splits and passes through untouched.
+    For jobs whose results are stored elsewhere; a frame that still reads a copy
+    must not leave the block.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    if key not in df.columns or estimated_bytes(df) >= split * cores:
-        return df
-    return df.repartition(cores, key)
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        del _made[before:]

@@ -15,11 +15,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from alertloom.models.scorer import ModelSet
+from alertloom.operators.sinks import log_state
 from alertloom.plans.baseline import update_baseline
 from alertloom.plans.detect import detect_zero_day, save_zero_day
-from alertloom.schemas import STATE_SCHEMA
+from alertloom.storage import materialise
 
-# Longest delay between event and creation that is still counted.
+# Longest delay between event and creation that is still counted, unless a job
+# names another. Rows later than that are left out and counted by run_available.
 LATENESS = "2 days"
 
 
@@ -47,74 +49,89 @@ def event_timed(stream: DataFrame, column: str = "event_time", lateness: str = L
     return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, lateness)
 
 
-def dedupe(stream: DataFrame) -> DataFrame:
+def dedupe(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """One row per id among rows that arrive within the watermark delay."""
-    return event_timed(stream).dropDuplicatesWithinWatermark(["id"])
+    return event_timed(stream, lateness=lateness).dropDuplicatesWithinWatermark(["id"])
 
 
-def daily_counts(stream: DataFrame) -> DataFrame:
+def daily_counts(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Alerts per day of event time."""
     day = F.window("event_time", "1 day")
-    return event_timed(stream).groupBy(day).agg(F.count(F.lit(1)).alias("n")).select(
+    return event_timed(stream, lateness=lateness).groupBy(day).agg(F.count(F.lit(1)).alias("n")).select(
         F.to_date("window.start").alias("date"), "n"
     )
 
 
-def sliding_counts(stream: DataFrame, length: str = "24 hours", step: str = "2 hours") -> DataFrame:
+def sliding_counts(stream: DataFrame, length: str = "24 hours", step: str = "2 hours", lateness: str = LATENESS) -> DataFrame:
     """Alerts per sliding window of event time."""
     span = F.window("event_time", length, step)
-    return event_timed(stream).groupBy(span).agg(F.count(F.lit(1)).alias("n")).select(
+    return event_timed(stream, lateness=lateness).groupBy(span).agg(F.count(F.lit(1)).alias("n")).select(
         F.col("window.start").cast("timestamp_ntz").alias("window_start"),
         F.col("window.end").cast("timestamp_ntz").alias("window_end"),
         "n",
     )
 
 
-def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
-    """Processes what is there now, then stops; a scheduler calls it again."""
+def run_available(writer: DataStreamWriter, checkpoint: str) -> int:
+    """Processes what is there now, then stops; a scheduler calls it again.
+
+    Returns the rows that came too late for the watermark and were left out.
+    """
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
+        return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
     finally:
         query.stop()
 
 
-def append_files(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Stream rows into a parquet folder, each exactly once."""
-    run_available(stream.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint)
+def append_files(stream: DataFrame, path: str, checkpoint: str) -> int:
+    """Stream rows into a parquet folder, each exactly once; returns the late rows."""
+    return run_available(stream.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint)
+
+
+def follow_counts(stream: DataFrame, path: str, checkpoint: str) -> int:
+    """Adds the windows that changed in each batch to `path`; returns the late rows.
+
+    State of windows behind the watermark is dropped. A batch has its own partition,
+    which a replay overwrites, so readers never meet a missing table.
+    """
 
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def replace_table(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Keeps `path` at the current state of an aggregation."""
+    return run_available(stream.writeStream.outputMode("update").foreachBatch(store), checkpoint)
 
-    def store(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
 
-    run_available(stream.writeStream.outputMode("complete").foreachBatch(store), checkpoint)
+def current_counts(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The latest row of every window that follow_counts has written."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in schema.fieldNames() if c not in keys]), "batch").alias("_last"))
+    return last.select(*keys, "_last.*").select(*schema.fieldNames())
 
 
 def each_batch(stream: DataFrame, work: Callable[[DataFrame], None], checkpoint: str) -> None:
     def handle(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            work(batch)
+        # Written once: the work has several actions, each of which would read the source again.
+        rows = materialise(batch, "micro-batch")
+        if not rows.isEmpty():
+            work(rows)
 
     run_available(stream.writeStream.foreachBatch(handle), checkpoint)
 
 
-def log_state(spark: SparkSession, path: str, key: str, moment: str) -> None:
-    """One entry in the append-only state log."""
-    row = spark.createDataFrame([(key, moment[:19])], "config_key string, config_value string")
-    row.withColumn("last_updated", F.lit(moment).cast("timestamp_ntz")).select(*STATE_SCHEMA.fieldNames()).write.mode("append").parquet(path)
+def _need_frozen(models: ModelSet) -> None:
+    if not models.frozen:
+        raise ValueError("streaming needs models with frozen score ranges and frequencies")
 
 
 def stream_detect(stream: DataFrame, models: ModelSet, path: str, checkpoint: str, internal: DataFrame | None = None) -> None:
     """Scores alerts as they arrive and saves new novel attacks once.
 
-    The models must carry frozen score ranges: those of a micro-batch would
-    depend on how the stream happens to be cut.
+    The models must carry frozen score ranges and, if they use them, frozen
+    frequencies: those of a micro-batch would depend on how the stream is cut.
     """
-    if not models.ranges:
-        raise ValueError("streaming detection needs models with frozen score ranges")
+    _need_frozen(models)
     each_batch(stream, lambda batch: save_zero_day(detect_zero_day(batch, models, internal), path) and None, checkpoint)
 
 
@@ -122,8 +139,7 @@ def stream_baseline_update(
     stream: DataFrame, models: ModelSet, path: str, state_path: str, checkpoint: str, as_of: str, **options: object
 ) -> None:
     """Adds normal alerts to the baseline as they arrive and logs the update."""
-    if not models.ranges:
-        raise ValueError("streaming baseline upkeep needs models with frozen score ranges")
+    _need_frozen(models)
 
     def work(batch: DataFrame) -> None:
         added = update_baseline(batch, path, models, as_of, **options).first()["inserted"]

@@ -190,3 +190,68 @@ def test_files_of_other_formats(spark, alerts):
         path = scratch_path(spark, fmt)
         alerts({}, {}).select("id", "category").write.format(fmt).save(path)
         assert scans.read_table(spark, path, fmt).count() == 2
+
+
+def test_quantiles_of_odd_values_end(spark):
+    nan, inf = float("nan"), float("inf")
+    values = [nan, inf, -inf, -inf, 1e308, -1e308, 0.0, 1e-300, 5.0, 5.0, 5.0, nan]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    order = [-inf, -inf, -1e308, 0.0, 1e-300, 5.0, 5.0, 5.0, 1e308, inf, nan, nan]
+    got = order_statistics(df, "x", list(range(12)))
+    assert [got[k] for k in range(10)] == order[:10] and all(np.isnan(got[k]) for k in (10, 11))
+    assert exact_quantiles(df.where("x in (5)"), "x", [0.0, 0.5, 1.0]) == {0.0: 5.0, 0.5: 5.0, 1.0: 5.0}
+    assert kth_smallest(df.limit(0), "x", 0.5) is None
+
+
+def test_quantiles_of_skewed_values_take_few_passes(spark, monkeypatch):
+    df = spark.range(20_000).select(F.exp(F.col("id") / 30.0).alias("x"))
+    passes = []
+    real = type(df).agg
+    monkeypatch.setattr(type(df), "agg", lambda self, *a: passes.append(1) or real(self, *a))
+    assert order_statistics(df, "x", [10_000])[10_000] == pytest.approx(float(np.exp(10_000 / 30.0)))
+    assert len(passes) <= 9
+
+
+def test_frozen_ranges_keep_scores_within_bounds(spark):
+    df = spark.createDataFrame([(-5.0,), (0.5,), (20.0,)], "x double")
+    r = scores.frozen_range(0.0, 1.0)
+    rows_ = df.select(scores.minmax_normalise(F.col("x"), r), scores.inverse_minmax(F.col("x"), r), scores.recon_normalise(F.col("x"), r, F.lit(1.0))).collect()
+    assert all(0 <= v <= 1 for row in rows_ for v in row)
+
+
+def test_copies_of_a_saved_score_do_not_multiply_alerts(spark):
+    alerts_ = spark.createDataFrame([(1,), (2,)], "id long")
+    saved = spark.createDataFrame([(1, 0.5), (1, 0.9)], "id long, zero_day_score double")
+    assert sorted(rows(joins.score_lookup(alerts_, saved)), key=lambda r: r[0]) == [(1, 0.9), (2, None)]
+
+
+def test_percent_marks_inside_quotes_stay(spark):
+    got = scans.param_sql(spark, "SELECT '%s' AS a, %s AS b, \"x%s\" AS c", [7]).first()
+    assert tuple(got) == ("%s", 7, "x%s")
+
+
+def test_shared_folder_is_needed_off_one_machine(spark, monkeypatch):
+    from alertloom import storage
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "yarn"})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_root(Session())
+
+
+def test_scratch_copies_go_when_a_job_ends(spark):
+    from pathlib import Path
+
+    from alertloom import storage
+
+    with storage.scratch(spark):
+        kept = storage.materialise(spark.range(5), "gone")
+        folder = Path(kept.inputFiles()[0].removeprefix("file://")).parent
+        assert folder.exists()
+    assert not folder.exists()

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from alertloom.models import literal
 from alertloom.plans import detect
+from alertloom.plans.preprocess import engineer, frequency_table
 from alertloom.plans.train import with_frozen_ranges
 from alertloom.queries import scoring
 from alertloom.schemas import ZERO_DAY_SCHEMA
@@ -47,13 +48,39 @@ def test_streams_need_frozen_ranges(spark, views, folder):
 
 
 def test_counts_over_several_batches(spark, views, folder):
-    path = scratch_path(spark, "daily")
-    jobs.replace_table(jobs.daily_counts(stream(spark, views, folder)), path, scratch_path(spark, "progress"))
-    got = {r.date: r.n for r in spark.read.parquet(path).collect()}
+    path, counts = scratch_path(spark, "daily"), jobs.daily_counts(stream(spark, views, folder), lateness="60 days")
+    assert jobs.follow_counts(counts, path, scratch_path(spark, "progress")) == 0
+    got = {r.date: r.n for r in jobs.current_counts(spark, path, counts.schema, ["date"]).collect()}
     want = {r.date: r["count"] for r in views.alerts.selectExpr("to_date(event_time) AS date").groupBy("date").count().collect()}
     assert got == want
 
 
+def test_late_rows_are_left_out_and_counted(spark, views):
+    source, path, progress = (scratch_path(spark, n) for n in ("source", "daily", "progress"))
+    late, rest = "ts < '2024-01-10'", "ts >= '2024-01-20'"
+    views.events.where(rest).write.parquet(source)
+    counts = jobs.daily_counts(stream(spark, views, source), lateness="2 days")
+    jobs.follow_counts(counts, path, progress)
+    views.events.where(late).write.mode("append").parquet(source)
+    views.events.where(rest).limit(1).write.mode("append").parquet(source)
+    lost = jobs.follow_counts(jobs.daily_counts(stream(spark, views, source, files=100), lateness="2 days"), path, progress)
+    days = {r.date.isoformat() for r in jobs.current_counts(spark, path, counts.schema, ["date"]).collect()}
+    assert lost > 0 and min(days) >= "2024-01-20"
+
+
+def test_scores_with_frequencies_do_not_depend_on_batches(spark, views, folder):
+    """A model that reads a frequency and nothing else: batch and stream agree, cut as they may."""
+    frequencies = frequency_table(views.alerts)
+
+    def columns(alerts):
+        return {r.id: r.src_ip_freq for r in engineer(alerts, frozen=frequencies).collect()}
+
+    whole = columns(views.alerts)
+    parts = [columns(views.alerts.where(f"id % 5 = {k}")) for k in range(5)]
+    assert {i: x for part in parts for i, x in part.items()} == whole
+    assert whole == {r.id: r.src_ip_freq for r in engineer(views.alerts).collect()}
+
+
 def test_resumed_stream_reads_only_new_files(spark, views):
     source, path, progress = (scratch_path(spark, n) for n in ("source", "dedupe", "progress"))
     views.events.where("event_id < 500").write.parquet(source)
