@@ -4,47 +4,47 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertloom.operators.joins import HOT_FRACTION, lookup
 from alertloom.schemas import is_categorical_feature, model_input_columns
-
-# Most categories over all columns together. Wider models are refused unless
-# the wide columns are hashed, since every model grows with the width.
-MAX_CATEGORIES = 50_000
+from alertloom.storage import BROADCAST_ROWS, materialise
 
 
 @dataclass(frozen=True)
 class Encoder:
-    """Fitted categories (in text order) and population mean and deviation."""
+    """Fitted categories and population mean and deviation.
+
+    The categories stay a table (column_name, value, place, share), however many
+    they are; place counts the column's values in text order.
+    """
 
-    categories: dict[str, list[str]]
+    table: DataFrame | None
+    sizes: dict[str, int]
     scaler: dict[str, tuple[float, float]]
-    hash_buckets: int | None = None
-    hashed: tuple[str, ...] = ()
 
     @property
     def width(self) -> int:
-        return sum(len(v) for v in self.categories.values()) + len(self.scaler)
-
-    def __call__(self, engineered: DataFrame) -> DataFrame:
-        """Adds the sparse vector `features`; an unseen category is all zeros."""
-        kept = engineered.columns
-        cats = list(self.categories)
-        df = with_hashed(engineered, self.hashed, self.hash_buckets)
-        inputs = [_source(c, self.hashed) for c in cats]
-        if cats:
-            index = [f"_idx_{c}" for c in cats]
-            for source, name, column in zip(inputs, index, cats, strict=True):
-                labels = self.categories[column]
-                df = StringIndexerModel.from_labels(labels, source, name, handleInvalid="keep").transform(df)
-            # The last index stands for unseen values and is the one dropped.
-            onehot = OneHotEncoder(inputCols=index, outputCols=[f"_hot_{c}" for c in cats], dropLast=True)
-            df = onehot.fit(df).transform(df)
-        df = df.withColumns({f"_num_{c}": standardise(c, *stats) for c, stats in self.scaler.items()})
-        parts = [f"_hot_{c}" for c in cats] + [f"_num_{c}" for c in self.scaler]
-        return VectorAssembler(inputCols=parts, outputCol="features").transform(df).select(*kept, "features")
+        return sum(self.sizes.values()) + len(self.scaler)
+
+    def __call__(self, engineered: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+        """Adds the sparse vector `features` (size, indices, values); an unseen category is all zeros."""
+        df = engineered.withColumns({f"_cat_{c}": F.col(c).cast("string") for c in self.sizes})
+        places, offset = [], 0
+        for column, size in self.sizes.items():
+            part = self.table.where(F.col("column_name") == column)
+            side = part.select(F.col("value").alias("_value"), F.col("place").alias(f"_at_{column}"))
+            hot = part.where(F.col("share") > 1 / HOT_FRACTION).select("value")
+            df = lookup(df, side, f"_cat_{column}", "_value", small=size <= broadcast_rows, hot_keys=hot)
+            places.append((F.col(f"_at_{column}") + offset).cast("int"))
+            offset += size
+        ones = F.array_compact(F.array(*places)) if places else F.array().cast("array<int>")
+        numbers = [standardise(c, *stats) for c, stats in self.scaler.items()]
+        indices = F.concat(ones, F.array(*[F.lit(offset + k) for k in range(len(numbers))]).cast("array<int>"))
+        values = F.concat(F.array_repeat(F.lit(1.0), F.size(ones)), F.array(*numbers).cast("array<double>"))
+        vector = F.struct(F.lit(self.width).alias("size"), indices.alias("indices"), values.alias("values"))
+        return df.select(*engineered.columns, vector.alias("features"))
 
 
 def standardise(column: str, mean: float, deviation: float) -> Column:
@@ -53,19 +53,6 @@ def standardise(column: str, mean: float, deviation: float) -> Column:
     return F.coalesce(z, F.lit(0.0))
 
 
-def _source(column: str, hashed: tuple[str, ...]) -> str:
-    return f"_bucket_{column}" if column in hashed else column
-
-
-def with_hashed(df: DataFrame, columns: tuple[str, ...], buckets: int | None) -> DataFrame:
-    """Adds a bounded bucket name per wide category column."""
-    if not buckets or not columns:
-        return df
-    return df.withColumns(
-        {f"_bucket_{c}": F.format_string("b%05d", F.pmod(F.xxhash64(c), F.lit(buckets))) for c in columns}
-    )
-
-
 def scaler_stats(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation of all columns from one aggregation."""
     if not columns:
@@ -77,33 +64,31 @@ def scaler_stats(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, fl
     return {c: (row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 0.0) for c in columns}
 
 
-def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, value) pairs that occur, combined per task before the shuffle."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns]))
-    return df.select(pairs.alias("_p")).select("_p.*").where("value IS NOT NULL").distinct()
-
+def category_places(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, value, place, share) of every non-null value of the columns.
 
-def fit_encoder(
-    engineered: DataFrame,
-    hash_buckets: int | None = None,
-    hashed: tuple[str, ...] = (),
-    max_categories: int = MAX_CATEGORIES,
-) -> Encoder:
+    Values are range-partitioned in order and numbered within each partition; what
+    precedes a partition is added afterwards, so no task sees all of a column.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns]))
+    counts = df.select(pairs.alias("_p")).select("_p.*").where("value IS NOT NULL").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    ordered = materialise(counts.repartitionByRange("column_name", "value").withColumn("part", F.spark_partition_id()), "categories")
+    inside = F.row_number().over(Window.partitionBy("part", "column_name").orderBy("value"))
+    # One row per column and partition.
+    parts = ordered.groupBy("part", "column_name").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("rows"))
+    before = Window.partitionBy("column_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"before": F.coalesce(F.sum("values").over(before), F.lit(0)), "total": F.sum("rows").over(Window.partitionBy("column_name"))})
+    placed = ordered.withColumn("inside", inside).join(parts.drop("values", "rows"), ["part", "column_name"])
+    return placed.select("column_name", "value", (F.col("before") + F.col("inside") - 1).alias("place"), (F.col("n") / F.col("total")).alias("share"))
+
+
+def fit_encoder(engineered: DataFrame) -> Encoder:
     features = model_input_columns(engineered.columns)
     cats = [c for c in features if is_categorical_feature(c)]
     numbers = [c for c in features if c not in cats]
-    wide = tuple(c for c in hashed if c in cats) if hash_buckets else ()
-    source = with_hashed(engineered, wide, hash_buckets)
-    found = distinct_values(source, [_source(c, wide) for c in cats])
-    # The bound is checked before anything reaches the driver.
-    rows = found.limit(max_categories + 1).collect()
-    if len(rows) > max_categories:
-        raise ValueError(
-            f"more than {max_categories} categories; hash the wide columns (hash_buckets, hashed) or raise max_categories"
-        )
-    values: dict[str, list[str]] = {c: [] for c in cats}
-    names = {_source(c, wide): c for c in cats}
-    for row in rows:
-        values[names[row["column_name"]]].append(row["value"])
-    categories = {c: sorted(v) for c, v in values.items() if v}
-    return Encoder(categories, scaler_stats(engineered, numbers), hash_buckets if wide else None, wide)
+    table, sizes = None, {}
+    if cats:
+        table = materialise(category_places(engineered, cats), "category-places")
+        found = {r["column_name"]: r["n"] for r in table.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+        sizes = {c: found[c] for c in cats if c in found}
+    return Encoder(table, sizes, scaler_stats(engineered, numbers))

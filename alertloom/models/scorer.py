@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from alertloom.storage import scratch_path
 
 # Rows made dense at a time inside a task: at most CHUNK_ROWS, and fewer for wide
 # vectors so that a dense block stays near 32 MB.
@@ -126,12 +129,28 @@ class ModelSet:
 
 def vector_parts(df: DataFrame, column: str) -> Column:
     """The feature column in a form that crosses to Python without copying zeros."""
+    if isinstance(df.schema[column].dataType, StructType):
+        return F.struct(F.col(column)["indices"].alias("indices"), F.col(column)["values"].alias("values"))
     if isinstance(df.schema[column].dataType, VectorUDT):
         raw = F.unwrap_udt(F.col(column))
         return F.struct(raw.getField("indices").alias("indices"), raw.getField("values").alias("values"))
     return F.struct(F.lit(None).cast("array<int>").alias("indices"), F.col(column).cast("array<double>").alias("values"))
 
 
+def as_vectors(df: DataFrame, column: str = "features") -> DataFrame:
+    """Only the feature column, as the vector type of the ML library.
+
+    That type is stored as a struct of just these fields, so a copy that is written
+    as structs is read back as vectors.
+    """
+    if not isinstance(df.schema[column].dataType, StructType):
+        return df.select(column)
+    part, path = F.col(column), scratch_path(df.sparkSession, "vectors")
+    stored = F.struct(F.lit(0).cast("byte").alias("type"), part["size"].alias("size"), part["indices"].alias("indices"), part["values"].alias("values"))
+    df.select(stored.alias(column)).write.parquet(path)
+    return df.sparkSession.read.schema(StructType([StructField(column, VectorUDT())])).parquet(path)
+
+
 def dense_rows(parts: pd.DataFrame, width: int) -> np.ndarray:
     """Rows of (indices, values) as a dense block; indices None means dense already."""
     out = np.zeros((len(parts), width))

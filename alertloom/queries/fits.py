@@ -30,21 +30,16 @@ _ENGINEERED_COLUMNS = [
     *CATEGORICAL_COLUMNS,
     *NUMERIC_COLUMNS,
 ]
-# Segments are the wide columns; hashing them keeps the model width fixed.
-HASHED = ("src_ip_segment", "dst_ip_segment", "device_ip_segment")
-BUCKETS = 16
-EPOCHS = 3
-
 
 def _encoded(v: Views) -> tuple[DataFrame, Encoder]:
     engineered = materialise(engineer(v.alerts), "engineered")
-    encoder = fit_encoder(engineered, BUCKETS, HASHED)
+    encoder = fit_encoder(engineered)
     return materialise(encoder(engineered), "encoded"), encoder
 
 
 def _positions(encoder: Encoder) -> Column:
     """Set positions of the one-hot part, as text per row, from `_parts`."""
-    ones = sum(len(values) for values in encoder.categories.values())
+    ones = sum(encoder.sizes.values())
     where, values = F.col("_parts.indices"), F.col("_parts.values")
     sparse = F.filter(where, lambda i: i < ones)
     dense = F.array_compact(F.transform(F.slice(values, 1, ones), lambda x, i: F.when(x != 0, i)))
@@ -163,14 +158,14 @@ def _select_k(v: Views) -> DataFrame:
 
 def _autoencoder(v: Views) -> DataFrame:
     encoded, encoder = _encoded(v)
-    _, history = ae.fit_autoencoder(encoded, encoder.width, epochs=EPOCHS)
+    _, history = ae.fit_autoencoder(encoded, encoder.width)
     rows = [(h["epoch"], float(h["loss"]), float(h["val_loss"])) for h in history]
     return v.spark.createDataFrame(rows, "epoch int, loss double, val_loss double")
 
 
 def _small_autoencoder(v: Views) -> tuple[DataFrame, ModelSet]:
     encoded, encoder = _encoded(v)
-    fitted, _ = ae.fit_autoencoder(encoded, encoder.width, epochs=1)
+    fitted, _ = ae.fit_autoencoder(encoded, encoder.width)
     return encoded, ModelSet(encoder, encoder.width, autoencoder=fitted)
 
 
@@ -193,13 +188,13 @@ def _plane(v: Views) -> DataFrame:
 
 
 def _train_baseline(v: Views) -> DataFrame:
-    done = train.train_baseline(v.alerts, v.baseline, as_of=v.as_of_event, k=clustering.DEFAULT_K, hash_buckets=BUCKETS, hashed=HASHED)
+    done = train.train_baseline(v.alerts, v.baseline, as_of=v.as_of_event)
     return done.reports["models"]
 
 
 def _train_zero_day(v: Views) -> DataFrame:
     encoded, encoder = _encoded(v)
-    done = train.train_zero_day(v.baseline, ModelSet(encoder, encoder.width), epochs=EPOCHS)
+    done = train.train_zero_day(v.baseline, ModelSet(encoder, encoder.width))
     return done.reports["losses"].withColumn("threshold", F.lit(done.models.error_threshold))
 
 

@@ -97,7 +97,7 @@ def test_presets_are_effective(detected, medium):
 
 
 def test_training_end_to_end(spark, views):
-    done = train.train_baseline(views.alerts, views.baseline, as_of=views.as_of_event, trees=20, k=3, hash_buckets=8, hashed=("src_ip_segment", "dst_ip_segment", "device_ip_segment"))
+    done = train.train_baseline(views.alerts, views.baseline, as_of=views.as_of_event, trees=20, k=3)
     report = {r.model: r for r in done.reports["models"].collect()}
     n = views.alerts.count()
     assert report["isolation_forest"].data_count == n and report["isolation_forest"].anomaly_count == int(n * 0.05)

@@ -7,7 +7,7 @@ import pytest
 from alertloom.models import autoencoder as ae
 from alertloom.models import clustering, density, forest, literal, reduction, store, thresholds
 from alertloom.models.encoding import fit_encoder
-from alertloom.models.scorer import ModelSet, add_raw_scores, average_path, dense_rows
+from alertloom.models.scorer import as_vectors, ModelSet, add_raw_scores, average_path, dense_rows
 from alertloom.operators.frequency import FREQUENCY_COLUMNS
 from alertloom.plans.preprocess import engineer
 from alertloom.schemas import is_categorical_feature, model_input_columns
@@ -87,9 +87,8 @@ def test_svd_and_pca_match_numpy(points):
     assert np.allclose(np.mean([r.r for r in reduced], axis=0), 0, atol=1e-9)
 
 
-def test_wide_svd_uses_the_distributed_solver(points, monkeypatch):
+def test_two_components_of_four(points):
     df, x = points
-    monkeypatch.setattr(reduction, "GRAM_WIDTH", 1)
     v = reduction.truncated_svd(df.withColumn("features", array_to_vector("features")), 4, k=2)
     _, _, vt = np.linalg.svd(x, full_matrices=False)
     assert np.allclose(np.abs(v.T @ vt[:2].T), np.eye(2), atol=1e-4)
@@ -186,30 +185,35 @@ def test_dense_rows_mix_sparse_and_dense():
 def test_unseen_category_is_all_zero(spark):
     seen = spark.createDataFrame([("a", 1), ("b", 3)], "protocol string, threat_level int")
     encoder = fit_encoder(seen)
-    got = [r[0] for r in encoder(spark.createDataFrame([("b", 2), ("new", None)], seen.schema)).select(vector_to_array("features")).collect()]
-    assert encoder.categories == {"protocol": ["a", "b"]} and encoder.scaler == {"threat_level": (2.0, 1.0)}
-    assert got == [[0.0, 1.0, 0.0], [0.0, 0.0, 0.0]]
+    encoded = encoder(spark.createDataFrame([("b", 2), ("new", None)], seen.schema))
+    got = [r[0] for r in as_vectors(encoded).select(vector_to_array("features")).collect()]
+    places = {(r.column_name, r.value): (r.place, r.share) for r in encoder.table.collect()}
+    assert places == {("protocol", "a"): (0, 0.5), ("protocol", "b"): (1, 0.5)} and encoder.scaler == {"threat_level": (2.0, 1.0)}
+    assert sorted(got) == [[0.0, 0.0, 0.0], [0.0, 1.0, 0.0]]
 
 
-def test_too_many_categories_are_refused_or_hashed(spark):
-    df = spark.range(100).select(F.col("id").cast("string").alias("src_ip_segment"))
-    with pytest.raises(ValueError, match="hash"):
-        fit_encoder(df, max_categories=50)
-    hashed = fit_encoder(df, hash_buckets=8, hashed=("src_ip_segment",), max_categories=50)
-    assert hashed.width == 8
-    assert hashed(df).select(F.sum(F.size(F.unwrap_udt("features").getField("values")))).first()[0] > 0
+@pytest.mark.parametrize("broadcast_rows", [0, 200_000])
+def test_very_many_categories(spark, broadcast_rows):
+    """More than 50,000 values keep their places in text order, by either way of looking them up."""
+    df = spark.range(60_000).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("src_ip_segment")).union(spark.range(500).select(F.lit("s7")))
+    encoder = fit_encoder(df)
+    assert encoder.width == 60_000
+    got = {r.v: r.i for r in encoder(df, broadcast_rows).select(F.col("src_ip_segment").alias("v"), F.col("features.indices").getItem(0).alias("i")).collect()}
+    assert got == {v: i for i, v in enumerate(sorted(f"s{k}" for k in range(60_000)))}
 
 
 def test_models_survive_storage(spark, views):
     engineered = engineer(views.alerts)
-    encoder = fit_encoder(engineered, 4, ("src_ip_segment",))
+    encoder = fit_encoder(engineered)
     fixed = literal.literal_models(0.5)
     models = replace(fixed, encode=encoder, width=encoder.width, ranges={"err": (0.0, 2.0)})
     path = scratch_path(spark, "store")
     store.save_models(spark, models, path)
     loaded = store.load_models(spark, path, need=("encoder", "forest", "clusters", "autoencoder"))
     x = np.random.default_rng(1).uniform(0, 12, (20, 3))
-    assert loaded.encode == encoder and loaded.ranges == models.ranges and loaded.error_threshold == 0.5
+    assert (loaded.encode.sizes, loaded.encode.scaler) == (encoder.sizes, encoder.scaler)
+    assert sorted(loaded.encode.table.collect()) == sorted(encoder.table.collect())
+    assert loaded.ranges == models.ranges and loaded.error_threshold == 0.5
     assert np.array_equal(loaded.forest.raw_score(x), fixed.forest.raw_score(x))
     assert np.allclose(loaded.clusters.distance(x), fixed.clusters.distance(x))
     assert np.allclose(loaded.autoencoder.error(x), fixed.autoencoder.error(x))
