@@ -8,12 +8,13 @@
    MIN_DEPTH values; where it holds more than REGION rows it is deepened value by
    value, so depth follows density. Regions that stay larger at full depth, near
    copies of each other throughout, are compared within a window of half a REGION.
-3. Within a region, pairs that the sketches put at SURE or more are joined into a
-   spanning forest, of which only the edges are kept; pairs from MAYBE to SURE are
-   kept unless that forest joins them already. So a group of n near copies gives
-   about n pairs, not n squared.
-4. The pairs kept are confirmed on the full sets. Where a spanning edge fails, the
-   groups that it held together are searched again without the forest.
+3. Within a region, the sketches of all rows are compared, and of the pairs that
+   they put at MAYBE or more only a maximum spanning forest is kept. So a group of
+   n near copies gives fewer than n pairs, the likeliest ones, not n squared.
+4. The pairs kept are confirmed on the full sets: first the likeliest of each class,
+   then those between parts that these do not link. Where one fails, the groups
+   that the forest held together are searched again: then every pair of AGAIN or
+   more between parts that are not linked yet is confirmed.
 5. Confirmed pairs and class members are joined into components.
 """
 
@@ -36,8 +37,11 @@ HASHES = 128
 TREES = 12
 MIN_DEPTH = 3
 DEPTH = 16
-REGION = 1_000
-SURE, MAYBE = 0.88, 0.68  # sketch similarity; its standard error at 0.8 is 0.035
+REGION = 500
+# Sketch similarity (its standard error at 0.8 is 0.035) from which pairs are taken
+# into the forest, and into the second search.
+MAYBE, AGAIN = 0.68, 0.73
+WALK_ROWS = 2_000  # rows that a task compares at a time
 SHARE = (80, 100)  # linked: 100 * intersection >= 80 * union
 ID_BYTES = 5  # of each shingle hash in the sets that are compared
 
@@ -165,59 +169,82 @@ class Region:
             cut |= crowded & (prefix < depth)
         return np.cumsum(cut)
 
-    def pairs(self, forest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Candidate pairs (row numbers) and whether each is an edge of the spanning forest."""
-        n, number = len(self), self.regions()
-        crowded = (np.bincount(number) > REGION)[number]
-        parent = np.arange(n)
-        group = np.unique(self.component, return_inverse=True)[1] if not forest else parent.copy()
-        edges: list[tuple[int, int]] = []
-        maybe: list[np.ndarray] = []
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+    def alike(self, forest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs of MAYBE or more within regions (row numbers) and their likeness.
 
-        live = np.arange(n)
-        for k in range(1, n):
-            live = live[live < n - k]
+        Without forest, only those between different components.
+        """
+        number = self.regions()
+        crowded = (np.bincount(number) > REGION)[number]
+        live, found = np.arange(len(self)), []
+        for k in range(1, len(self)):
+            live = live[live < len(self) - k]
             live = live[number[live] == number[live + k]]
             if k > REGION // 2:
                 live = live[~crowded[live]]
             if not len(live):
                 break
-            left = live[group[live] != group[live + k]]
+            left = live if forest else live[self.component[live] != self.component[live + k]]
             small, large = self.sizes[left], self.sizes[left + k]
             left = left[SHARE[1] * np.minimum(small, large) >= SHARE[0] * np.maximum(small, large)]
-            alike = np.concatenate([(self.sketch[c] == self.sketch[c + k]).mean(axis=1) for c in np.array_split(left, -(-len(left) // 4096))]) if len(left) else np.zeros(0)
-            maybe.append(np.stack([left, left + k])[:, (alike >= MAYBE) & ((alike < SURE) | (not forest))])
-            if forest and (sure := left[alike >= SURE]).size:
-                for a in sure.tolist():
-                    x, y = root(a), root(a + k)
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-                        edges.append((a, a + k))
-                group = parent.copy()
-                while (group != parent[group]).any():
-                    group = parent[group]
-        found = np.concatenate(maybe, axis=1) if maybe else np.zeros((2, 0), np.int64)
-        found = found[:, group[found[0]] != group[found[1]]]
-        sure_pairs = np.array(edges, np.int64).reshape(-1, 2).T
-        both = np.concatenate([sure_pairs, found], axis=1)
-        return both[0], both[1], np.arange(both.shape[1]) < sure_pairs.shape[1]
-
-
-PAIRS = "a long, b long, sure boolean, part int, head boolean, tree int, label binary, doc_id long, n_shingles long, sketch binary, component long"
+            for some in np.array_split(left, -(-len(left) // 4096)) if len(left) else []:
+                same = (self.sketch[some] == self.sketch[some + k]).sum(axis=1, dtype=np.int64)
+                keep = same >= (MAYBE if forest else AGAIN) * HASHES
+                found.append(np.stack([some[keep], some[keep] + k, same[keep]]))
+        both = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        return both[0], both[1], both[2]
+
+    def pairs(self, forest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs to confirm (row numbers) and their likeness."""
+        a, b, same = self.alike(forest)
+        if not forest or not len(a):
+            return a, b, same
+        keep = spanning_forest(len(self), a, b, same)
+        return a[keep], b[keep], same[keep]
+
+
+def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Numbers of the edges (a, b) of a maximum spanning forest of n nodes.
+
+    Every group takes its heaviest edge to another group, and groups that are so
+    connected become one, until no edge leads out of a group.
+    """
+    kept, group = [], np.arange(n)
+    rank = np.empty(len(a), np.int64)
+    rank[np.lexsort((np.arange(len(a)), weight))] = np.arange(len(a))  # no two alike, so no loops
+    edges = np.arange(len(a))
+    while True:
+        edges = edges[group[a[edges]] != group[b[edges]]]
+        if not len(edges):
+            return np.concatenate(kept) if kept else edges
+        best = np.full(n, -1, np.int64)
+        np.maximum.at(best, group[a[edges]], rank[edges])
+        np.maximum.at(best, group[b[edges]], rank[edges])
+        taken = edges[(best[group[a[edges]]] == rank[edges]) | (best[group[b[edges]]] == rank[edges])]
+        kept.append(taken)
+        parent = np.arange(n)
+        for x, y in zip(group[a[taken]].tolist(), group[b[taken]].tolist(), strict=True):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            while parent[y] != y:
+                parent[y] = parent[parent[y]]
+                y = parent[y]
+            parent[max(x, y)] = min(x, y)
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        group = parent[group]
+
+
+PAIRS = "a long, b long, same long, part int, head boolean, tree int, label binary, doc_id long, n_shingles long, sketch binary, component long"
 
 
 def _pair_batch(region: Region, forest: bool) -> pa.RecordBatch | None:
-    a, b, sure = region.pairs(forest)
+    a, b, same = region.pairs(forest)
     if not len(a):
         return None
     low, high = np.minimum(region.ids[a], region.ids[b]), np.maximum(region.ids[a], region.ids[b])
-    return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(sure)], ["a", "b", "sure"])
+    return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(same)], ["a", "b", "same"])
 
 
 def _wide(batch: pa.RecordBatch | None, part: int, head: bool, rows: Region | None) -> Iterator[pa.RecordBatch]:
@@ -229,13 +256,13 @@ def _wide(batch: pa.RecordBatch | None, part: int, head: bool, rows: Region | No
             yield pa.RecordBatch.from_arrays([*batch.columns, *void], [c.split()[0] for c in PAIRS.split(", ")])
         return
     n = len(rows)
-    first = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array([part] * n, pa.int32()), pa.array([head] * n)]
+    first = [pa.nulls(n, pa.int64())] * 3 + [pa.array([part] * n, pa.int32()), pa.array([head] * n)]
     own = [pa.array(rows.tree), pa.array([r.tobytes() for r in rows.label.astype(">u2")], pa.binary()), pa.array(rows.ids), pa.array(rows.sizes), pa.array([r.tobytes() for r in rows.sketch], pa.binary()), pa.array(rows.component)]
     yield pa.RecordBatch.from_arrays([*first, *own], [c.split()[0] for c in PAIRS.split(", ")])
 
 
 def candidate_pairs(classes: DataFrame, forest: bool = True) -> DataFrame:
-    """Distinct pairs (a < b, sure) of ids. classes: doc_id, n_shingles, signature, component.
+    """Distinct pairs (a < b, same) of ids. classes: doc_id, n_shingles, signature, component.
 
     The rows of all trees are range-partitioned by their place in the order, so a
     crowded region is dealt over many tasks. A region that a border cuts is
@@ -244,9 +271,7 @@ def candidate_pairs(classes: DataFrame, forest: bool = True) -> DataFrame:
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, first = TaskContext.get().partitionId(), None, True
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, WALK_ROWS) for b in batches for at in range(0, b.num_rows, WALK_ROWS)):
             rows = Region.of(batch)
             if first:
                 yield from _wide(None, part, True, rows.part(slice(0, REGION // 2)))
@@ -256,9 +281,9 @@ def candidate_pairs(classes: DataFrame, forest: bool = True) -> DataFrame:
             if cuts[-1] > 0:  # what stands before the last cut is whole
                 yield from _wide(_pair_batch(held.part(slice(0, int(cuts[-1]))), forest), part, False, None)
                 held = held.part(slice(int(cuts[-1]), len(held)))
-            elif len(held) > 20 * REGION:  # one region throughout: it goes on from a window's overlap
+            elif len(held) > WALK_ROWS:  # one region throughout: it goes on from a window's overlap
                 yield from _wide(_pair_batch(held, forest), part, False, None)
-                held = held.part(slice(len(held) - REGION, len(held)))
+                held = held.part(slice(len(held) - REGION // 2, len(held)))
         if held is not None:
             yield from _wide(_pair_batch(held, forest), part, False, None)
             yield from _wide(None, part, False, held.part(slice(max(0, len(held) - REGION // 2), len(held))))
@@ -273,13 +298,12 @@ def candidate_pairs(classes: DataFrame, forest: bool = True) -> DataFrame:
     sides = border.join(F.broadcast(follow), "part").withColumn("border", F.when(F.col("head"), F.col("place") - 1).otherwise(F.col("place")))
 
     def finish(group: pa.Table) -> pa.Table:
-        kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
+        kinds = pa.schema([(n, pa.int64()) for n in ("a", "b", "same")])
         made = _pair_batch(Region.of(group.sort_by([("tree", "ascending"), ("label", "ascending"), ("doc_id", "ascending")])), forest)
         return pa.Table.from_batches([made] if made is not None else [], kinds)
 
-    finished = sides.select("border", "tree", "label", "doc_id", "n_shingles", "sketch", "component").groupBy("border").applyInArrow(finish, "a long, b long, sure boolean")
-    pairs = walked.where("part is null").select("a", "b", "sure").union(finished)
-    return pairs.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    finished = sides.select("border", "tree", "label", "doc_id", "n_shingles", "sketch", "component").groupBy("border").applyInArrow(finish, "a long, b long, same long")
+    return walked.where("part is null").select("a", "b", "same").union(finished).groupBy("a", "b").agg(F.max("same").alias("same"))
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -302,19 +326,27 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column(3), batch.column(4), strict=True):
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = x.as_py(), y.as_py()
                 both = _shared(a, b)
                 linked.append(SHARE[1] * both >= SHARE[0] * ((len(a) + len(b)) // ID_BYTES - both))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(linked, pa.bool_())], ["a", "b", "sure", "linked"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     elements = materialise(docs.join(asked, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, elements binary"), "shingle-sets")
     first = pairs.join(elements.select(F.col("id").alias("a"), F.col("elements").alias("left")), "a")
     both = first.join(elements.select(F.col("id").alias("b"), F.col("elements").alias("right")), "b")
-    checked = both.select("a", "b", "sure", "left", "right").mapInArrow(compare, "a long, b long, sure boolean, linked boolean")
+    checked = both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long, linked boolean")
     # Rows that repeat an id give several sets: one that is linked is enough.
-    return checked.groupBy("a", "b").agg(F.max("sure").alias("sure"), F.max("linked").alias("linked"))
+    return checked.groupBy("a", "b").agg(F.max("linked").alias("linked"))
+
+
+def between_parts(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends lie in different components (node, component)."""
+    parts = materialise(parts, "parts")
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,18 +366,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_
 
     nodes = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "signature", F.col("rep").alias("component"))
     pairs = materialise(candidate_pairs(nodes), "pairs")
-    checked = materialise(confirm(pairs, rows, shingle_words), "checked-pairs")
+    likeliest = F.max(F.struct("same", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("p")
+    ends = pairs.select("a", "b", "same", F.col("a").alias("end")).union(pairs.select("a", "b", "same", F.col("b").alias("end")))
+    best = materialise(ends.groupBy("end").agg(likeliest).select((-F.col("p.a")).alias("a"), (-F.col("p.b")).alias("b")).distinct(), "likeliest")
+    first = materialise(confirm(best, rows, shingle_words), "checked-likeliest")
+    rest = between_parts(pairs.join(best, ["a", "b"], "left_anti"), components(first.where("linked")))
+    second = materialise(confirm(materialise(rest, "other-pairs"), rows, shingle_words), "checked-others")
+    checked = first.union(second)
     linked = checked.where("linked").select("a", "b")
-    if checked.where("sure and not linked").limit(1).count():
-        # Groups that a failed edge held together are searched again, pair by pair.
-        held = materialise(components(checked.where("sure").select("a", "b")), "held-together")
-        broken = checked.where("sure and not linked").select(F.col("a").alias("node")).join(held, "node").select("component").distinct()
+    if checked.where("not linked").limit(1).count():
+        # Groups that a failed pair held together are searched again, pair by pair.
+        held = materialise(components(pairs), "held-together")
+        broken = checked.where("not linked").select(F.col("a").alias("node")).join(held, "node").select("component").distinct()
         again = held.join(broken, "component", "left_semi").select(F.col("node").alias("doc_id"))
         known = components(linked).select(F.col("node").alias("doc_id"), F.col("component").alias("known"))
         open_nodes = nodes.drop("component").join(again, "doc_id", "left_semi").join(known, "doc_id", "left").withColumn("component", F.coalesce("known", "doc_id")).drop("known")
         more = candidate_pairs(materialise(open_nodes, "open-classes"), forest=False).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        rest = materialise(confirm(materialise(more, "more-pairs"), rows, shingle_words), "more-checked")
-        linked = linked.union(rest.where("linked").select("a", "b"))
+        third = materialise(confirm(materialise(more, "more-pairs"), rows, shingle_words), "checked-again")
+        linked = linked.union(third.where("linked").select("a", "b"))
     joined = materialise(components(linked.union(members)), "components")
     out = signed.select("doc_id", "n_shingles").join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
