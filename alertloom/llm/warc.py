@@ -184,8 +184,9 @@ def central_directory(file: RangeReader) -> list[Member]:
     tail = min(file.size, 22 + 0xFFFF + 20)
     data = file.at(file.size - tail, tail)
     end = data.rfind(b"PK\x05\x06")
-    while end >= 0 and len(data) - end - 22 != struct.unpack_from("<H", data, end + 20)[0]:
-        end = data.rfind(b"PK\x05\x06", 0, end)
+    # The mark may also stand in the comment; the real one states the comment's length.
+    while end >= 0 and data[end + 20 : end + 22] != (len(data) - end - 22).to_bytes(2, "little", signed=len(data) < end + 22):
+        end = data.rfind(b"PK\x05\x06", 0, end + 3)
     if end < 0:
         raise ValueError("no ZIP directory")
     count, size, start = struct.unpack_from("<HII", data, end + 10)
