@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from alertloom.schemas import ALERT_SCHEMA, STATE_SCHEMA
+from alertloom.storage import materialise
 
 
 def project_storage_columns(df: DataFrame, text_nulls_to_empty: bool = True) -> DataFrame:
@@ -71,24 +72,37 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     exists = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
     if not exists:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+
+
+def _stored_ids(spark: SparkSession, path: str, days: DataFrame, schema: T.StructType) -> DataFrame:
+    """Ids in the day partitions that `days` (event_date) names."""
+    if read_or_empty(spark, path, schema).isEmpty():
+        return spark.createDataFrame([], "id long")
+    dated = spark.read.schema(T.StructType([schema["id"], T.StructField("event_date", T.DateType())])).parquet(path)
+    # A batch has few days; the join prunes the partitions of all others.
+    return dated.join(days, dated["event_date"].eqNullSafe(days["event_date"]), "left_semi").select("id")
 
 
 def append_new(path: str, candidates: DataFrame, schema: T.StructType) -> DataFrame:
     """Appends the candidates whose id is not stored yet; returns the counts.
 
     Running it again with the same rows adds nothing, so a job may be repeated
-    after a failure. One writer per table is assumed.
+    after a failure. One writer per table is assumed. The table is partitioned by
+    the day of event_time; an alert keeps its event time, so its id can only be
+    stored under its own day and the other days are not read.
     """
     spark = candidates.sparkSession
-    existing = read_or_empty(spark, path, schema)
+    existing = _stored_ids(spark, path, candidates.select(F.to_date("event_time").alias("event_date")).distinct(), schema)
     rows = new_rows(existing, candidates)
     stored = [F.col(f.name) if f.name in rows.columns else F.lit(None) for f in schema.fields]
     rows = rows.select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(stored, schema.fields, strict=True)])
-    written = Observation()
-    rows.observe(written, F.count(F.lit(1)).alias("inserted")).write.mode("append").parquet(path)
-    inserted = written.get.get("inserted", 0)
-    return spark.createDataFrame([(int(inserted),)], "inserted long")
+    # Decided once and written down: counting and storing see the same rows.
+    rows = materialise(rows, "insert")
+    inserted = rows.count()
+    if inserted:
+        write_by_day(rows, path)
+    return spark.createDataFrame([(inserted,)], "inserted long")
 
 
 def write_by_day(df: DataFrame, path: str, mode: str = "append") -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from alertloom.functions import scores, timeparts, traffic
 from alertloom.operators import aggregates as agg
@@ -11,7 +12,7 @@ from alertloom.operators import filters, joins, quantiles, sinks, topk
 from alertloom.operators.frequency import value_frequency
 from alertloom.plans import dashboards
 from alertloom.queries.registry import Query, checked
-from alertloom.schemas import ALERT_COLUMNS, CHART_DAYS, DETECTION_HOURS
+from alertloom.schemas import ALERT_COLUMNS, BASELINE_SCHEMA, CHART_DAYS, DETECTION_HOURS, ZERO_DAY_SCHEMA
 from alertloom.sources import scans
 from alertloom.sources.views import Views
 from alertloom.storage import scratch_path
@@ -100,6 +101,14 @@ _CANDIDATES = (
 )
 
 
+def _inserted(v: Views, stored: DataFrame, candidates: DataFrame, schema: T.StructType) -> DataFrame:
+    """The table as it stands after the stored rows and, twice, the candidates were added to it."""
+    path = scratch_path(v.spark, "insert")
+    for rows in (stored, candidates, candidates):
+        sinks.append_new(path, rows, schema)
+    return sinks.read_or_empty(v.spark, path, schema)
+
+
 def _zero_day_candidates(v: Views) -> DataFrame:
     return sinks.zero_day_rows(v.alerts.where("threat_level = 40").withColumn("zero_day_score", F.round(F.col("bytes_to_client") / 10000, 6)))
 
@@ -136,7 +145,7 @@ def _sinks() -> dict[str, Query]:
             lambda v: sinks.project_storage_columns(v.zero_day), f"SELECT {_stored()} FROM zero_day_alerts"
         ),
         "baseline_insert_new": checked(
-            lambda v: v.baseline.unionByName(sinks.new_rows(v.baseline, _baseline_candidates(v))),
+            lambda v: _inserted(v, v.baseline, _baseline_candidates(v), BASELINE_SCHEMA),
             f"SELECT {ALL}, added_to_baseline_at FROM baseline_alerts UNION ALL SELECT {ALL}, added_to_baseline_at FROM cand WHERE id NOT IN (SELECT id FROM baseline_alerts)",
             _CANDIDATES,
         ),
@@ -146,7 +155,7 @@ def _sinks() -> dict[str, Query]:
             _CANDIDATES,
         ),
         "zeroday_insert_new": checked(
-            lambda v: v.zero_day.unionByName(sinks.new_rows(v.zero_day, _zero_day_candidates(v))),
+            lambda v: _inserted(v, v.zero_day, _zero_day_candidates(v), ZERO_DAY_SCHEMA),
             f"SELECT {ALL}, zero_day_score FROM zero_day_alerts UNION ALL SELECT {ALL}, zero_day_score FROM cand WHERE id NOT IN (SELECT id FROM zero_day_alerts)",
             _ZD_CANDIDATES,
         ),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.models.scorer import ModelSet, add_raw_scores
+from alertloom.operators.sinks import read_or_empty
 from alertloom.plans.baseline import baseline_candidates
 from alertloom.plans.train import with_frozen_ranges
 from alertloom.queries import scoring
@@ -34,7 +35,7 @@ def _detect(v: Views) -> DataFrame:
     path, progress = _paths(v, "stream-detect")
     models = _frozen(v.alerts, scoring.with_threshold(v))
     jobs.stream_detect(_stream(v), models, path, progress)
-    return v.spark.read.schema(ZERO_DAY_SCHEMA).parquet(path).withColumn("zero_day_score", F.round("zero_day_score", 6))
+    return read_or_empty(v.spark, path, ZERO_DAY_SCHEMA).withColumn("zero_day_score", F.round("zero_day_score", 6))
 
 
 def _dedupe(v: Views) -> DataFrame:
