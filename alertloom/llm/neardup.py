@@ -38,7 +38,7 @@ TREES = 12
 MIN_DEPTH = 3
 DEPTH = 16
 REGION = 500
-# Sketch similarity (its standard error at 0.8 is 0.035) from which pairs are taken
+# Sketch similarity (its standard error at 0.8 is 0.037) from which pairs are taken
 # into the forest, and into the second search.
 MAYBE, AGAIN = 0.68, 0.73
 WALK_ROWS = 2_000  # rows that a task compares at a time
@@ -111,7 +111,10 @@ def _orders() -> np.ndarray:
 
 
 def forest_rows(classes: DataFrame) -> DataFrame:
-    """A row per class and tree: its label in that tree and a one-byte sketch."""
+    """A row per class and tree: its label in that tree and the sketch.
+
+    A sketch has four bits of every MinHash value, two values to a byte.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = _orders()
@@ -120,7 +123,7 @@ def forest_rows(classes: DataFrame) -> DataFrame:
                 part = batch.slice(start, 1000)
                 signed = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u2").reshape(-1, HASHES)
                 labels = [r.tobytes() for order in orders for r in signed[:, order].astype(">u2")]
-                sketches = pa.array([r.tobytes() for r in (signed & 0xFF).astype(np.uint8)], pa.binary())
+                sketches = pa.array([r.tobytes() for r in ((signed[:, ::2] & 15) | ((signed[:, 1::2] & 15) << 4)).astype(np.uint8)], pa.binary())
                 again = pa.array(np.tile(np.arange(part.num_rows), TREES))
                 tree = pa.array(np.repeat(np.arange(TREES, dtype=np.int32), part.num_rows))
                 columns = [part.column(k).take(again) for k in (0, 1, 3)]
@@ -129,6 +132,12 @@ def forest_rows(classes: DataFrame) -> DataFrame:
     return classes.select("doc_id", "n_shingles", "signature", "component").mapInArrow(work, ROWS)
 
 
+def _unpack(packed: np.ndarray) -> np.ndarray:
+    out = np.empty((len(packed), HASHES), np.uint8)
+    out[:, ::2], out[:, 1::2] = packed & 15, packed >> 4
+    return out
+
+
 class Region:
     """Sorted rows of one or several whole regions."""
 
@@ -139,7 +148,7 @@ class Region:
     def of(cls, table: pa.Table | pa.RecordBatch) -> Region:
         flat = lambda name, kind, width: np.frombuffer(b"".join(table.column(name).to_pylist()), kind).reshape(-1, width)
         number = lambda name: np.asarray(table.column(name).to_numpy())
-        return cls(number("tree"), flat("label", ">u2", DEPTH).astype(np.uint16), number("doc_id"), number("n_shingles"), flat("sketch", np.uint8, HASHES), number("component"))
+        return cls(number("tree"), flat("label", ">u2", DEPTH).astype(np.uint16), number("doc_id"), number("n_shingles"), _unpack(flat("sketch", np.uint8, HASHES // 2)), number("component"))
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -174,6 +183,8 @@ class Region:
 
         Without forest, only those between different components.
         """
+        share = MAYBE if forest else AGAIN
+        least = (share + (1 - share) / 16) * HASHES  # one in 16 values agrees by chance
         number = self.regions()
         crowded = (np.bincount(number) > REGION)[number]
         live, found = np.arange(len(self)), []
@@ -189,7 +200,7 @@ class Region:
             left = left[SHARE[1] * np.minimum(small, large) >= SHARE[0] * np.maximum(small, large)]
             for some in np.array_split(left, -(-len(left) // 4096)) if len(left) else []:
                 same = (self.sketch[some] == self.sketch[some + k]).sum(axis=1, dtype=np.int64)
-                keep = same >= (MAYBE if forest else AGAIN) * HASHES
+                keep = same >= least
                 found.append(np.stack([some[keep], some[keep] + k, same[keep]]))
         both = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
         return both[0], both[1], both[2]
@@ -257,7 +268,7 @@ def _wide(batch: pa.RecordBatch | None, part: int, head: bool, rows: Region | No
         return
     n = len(rows)
     first = [pa.nulls(n, pa.int64())] * 3 + [pa.array([part] * n, pa.int32()), pa.array([head] * n)]
-    own = [pa.array(rows.tree), pa.array([r.tobytes() for r in rows.label.astype(">u2")], pa.binary()), pa.array(rows.ids), pa.array(rows.sizes), pa.array([r.tobytes() for r in rows.sketch], pa.binary()), pa.array(rows.component)]
+    own = [pa.array(rows.tree), pa.array([r.tobytes() for r in rows.label.astype(">u2")], pa.binary()), pa.array(rows.ids), pa.array(rows.sizes), pa.array([r.tobytes() for r in rows.sketch[:, ::2] | (rows.sketch[:, 1::2] << 4)], pa.binary()), pa.array(rows.component)]
     yield pa.RecordBatch.from_arrays([*first, *own], [c.split()[0] for c in PAIRS.split(", ")])
 
 
