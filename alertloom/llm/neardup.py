@@ -8,6 +8,7 @@
    MIN_DEPTH values; where it holds more than REGION rows it is deepened value by
    value, so depth follows density. Regions that stay larger at full depth, near
    copies of each other throughout, are compared within a window of half a REGION.
+   What a deepening parts is not lost: see 5.
 3. Within a region, the sketches of all rows are compared, and of the pairs that
    they put at MAYBE or more only a maximum spanning forest is kept. So a group of
    n near copies gives fewer than n pairs, the likeliest ones, not n squared.
@@ -15,7 +16,10 @@
    then those between parts that these do not link. Where one fails, the groups
    that the forest held together are searched again: then every pair of AGAIN or
    more between parts that are not linked yet is confirmed.
-5. Confirmed pairs and class members are joined into components.
+5. A cell is all rows of a tree with the same MIN_DEPTH values. In cells of more than
+   REGION rows, the rows of different parts are then compared throughout, at whatever
+   depth they left each other.
+6. Confirmed pairs and class members are joined into components.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from alertloom.llm.bytetext import lower_ascii, mix64, row_slices, span_hashes, sub_batches, text_bytes, word_spans
 from alertloom.llm.components import components
-from alertloom.storage import materialise
+from alertloom.storage import fits, materialise
 
 HASHES = 128
 TREES = 12
@@ -42,6 +46,8 @@ REGION = 500
 # into the forest, and into the second search.
 MAYBE, AGAIN = 0.68, 0.73
 WALK_ROWS = 2_000  # rows that a task compares at a time
+BLOCK = 2_000  # rows of a crowded cell that are compared with as many others at a time
+ROUNDS = (8, None)  # pairs of two parts that are confirmed where the likeliest ones fail, in turn; None: all
 SHARE = (80, 100)  # linked: 100 * intersection >= 80 * union
 ID_BYTES = 5  # of each shingle hash in the sets that are compared
 
@@ -317,6 +323,86 @@ def candidate_pairs(classes: DataFrame, forest: bool = True) -> DataFrame:
     return walked.where("part is null").select("a", "b", "same").union(finished).groupBy("a", "b").agg(F.max("same").alias("same"))
 
 
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Values that each row of a shares with each row of b, of sketches in 64-bit words."""
+    unlike = np.zeros((len(a), len(b)), np.uint8)
+    for k in range(a.shape[1]):
+        bits = a[:, k, None] ^ b[None, :, k]
+        bits |= bits >> np.uint64(2)
+        bits |= bits >> np.uint64(1)
+        unlike += np.bitwise_count(bits & np.uint64(0x1111111111111111))
+    return HASHES - unlike
+
+
+def likeliest_between(x: np.ndarray, y: np.ndarray, same: np.ndarray, most: int | None) -> np.ndarray:
+    """Numbers of the pairs between parts x and y to confirm: a spanning forest of the
+    parts if most is 0, else the likeliest `most` of any two parts, or all."""
+    if most is None or not len(x):
+        return np.arange(len(x))
+    names, number = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = number[: len(x)], number[len(x) :]
+    if most == 0:
+        return spanning_forest(len(names), x, y, same)
+    both = np.minimum(x, y) * len(names) + np.maximum(x, y)
+    order = np.lexsort((-same, both))
+    begins = np.flatnonzero(np.diff(both[order], prepend=-1))
+    place = np.arange(len(order)) - np.repeat(begins, np.diff(begins, append=len(order)))
+    return order[place < most]
+
+
+def _across(group: pa.Table, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and likeness of the pairs to confirm between two blocks, or within one."""
+    number = lambda name: group.column(name).to_numpy()
+    ids, sizes, part, block = number("doc_id"), number("n_shingles"), number("component"), number("block")
+    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u8").reshape(len(ids), -1)
+    order = np.argsort(sizes, kind="stable")
+    left, right = order[block[order] == group.column("x")[0].as_py()], order[block[order] == group.column("y")[0].as_py()]
+    least = (MAYBE + (1 - MAYBE) / 16) * HASHES
+    found = [np.zeros((3, 0), np.int64)]
+    for at in range(0, len(left), 64):
+        some = left[at : at + 64]
+        # Sizes ascend: what no row here can be similar enough to stands before or after.
+        low = np.searchsorted(SHARE[1] * sizes[right], SHARE[0] * sizes[some[0]])
+        high = np.searchsorted(SHARE[0] * sizes[right], SHARE[1] * sizes[some[-1]], "right")
+        with_ = right[low:high]
+        same = agreeing(sketch[some], sketch[with_])
+        small, large = np.minimum.outer(sizes[some], sizes[with_]), np.maximum.outer(sizes[some], sizes[with_])
+        i, j = np.nonzero((same >= least) & (part[some][:, None] != part[with_]) & (SHARE[1] * small >= SHARE[0] * large))
+        found.append(np.stack([some[i], with_[j], same[i, j].astype(np.int64)]))
+    a, b, same = np.concatenate(found, axis=1)
+    keep = likeliest_between(part[a], part[b], same, most)
+    return ids[a[keep]], ids[b[keep]], same[keep]
+
+
+def crowded_pairs(classes: DataFrame, most: int | None) -> DataFrame:
+    """Distinct pairs (a < b) between different components within crowded cells.
+
+    The rows of a cell are dealt into blocks, those of its largest component apart
+    from the others. Every two blocks are compared in a task of their own, save two
+    of the largest component: so a large group of near copies costs its size times
+    the rows around it.
+    """
+    rows = forest_rows(classes).withColumn("cell", F.substring("label", 1, 2 * MIN_DEPTH)).drop("label")
+    sizes = rows.groupBy("tree", "cell", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("tree", "cell").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    crowded = sizes.where((F.col("n") > REGION) & (F.col("n") > F.col("top.n")))
+    crowded = materialise(crowded.select("tree", "cell", F.col("top.component").alias("top"), blocks(F.col("n") - F.col("top.n")).alias("others"), blocks(F.col("top.n")).alias("tops")), "crowded-cells")
+    placed = rows.join(F.broadcast(crowded) if fits(crowded) else crowded, ["tree", "cell"])
+    by_hash = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    placed = placed.withColumn("block", F.when(F.col("component") == F.col("top"), F.col("others") + by_hash("tops")).otherwise(by_hash("others")))
+    meets = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    block, none = F.col("block"), F.array().cast("array<struct<x:int,y:int>>")
+    first = F.when(block < F.col("others"), F.transform(F.sequence(block, F.col("others") + F.col("tops") - 1), lambda y: meets(block, y))).otherwise(none)
+    second = F.when(block > 0, F.transform(F.sequence(F.lit(0), F.least(block, F.col("others")) - 1), lambda x: meets(x, block))).otherwise(none)
+    dealt = placed.select("tree", "cell", "block", "doc_id", "n_shingles", "sketch", "component", F.inline(F.concat(first, second)).alias("x", "y"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        a, b, same = _across(group, most)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return dealt.groupBy("tree", "cell", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+
+
 def _shared(a: bytes, b: bytes) -> int:
     """Elements in both of two sorted sets of ID_BYTES-byte numbers."""
     both = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, ID_BYTES) for x in (a, b)])
@@ -384,17 +470,28 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_
     rest = between_parts(pairs.join(best, ["a", "b"], "left_anti"), components(first.where("linked")))
     second = materialise(confirm(materialise(rest, "other-pairs"), rows, shingle_words), "checked-others")
     checked = first.union(second)
-    linked = checked.where("linked").select("a", "b")
-    if checked.where("not linked").limit(1).count():
-        # Groups that a failed pair held together are searched again, pair by pair.
-        held = materialise(components(pairs), "held-together")
-        broken = checked.where("not linked").select(F.col("a").alias("node")).join(held, "node").select("component").distinct()
+
+    def labelled(some: DataFrame) -> DataFrame:
+        known = components(checked.where("linked")).select(F.col("node").alias("doc_id"), F.col("component").alias("known"))
+        return materialise(some.drop("component").join(known, "doc_id", "left").withColumn("component", F.coalesce("known", "doc_id")).drop("known"), "open-classes")
+
+    def with_more(found: DataFrame) -> DataFrame:
+        more = materialise(found.select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more-pairs")
+        return checked.union(materialise(confirm(more, rows, shingle_words), "checked-again"))
+
+    checked = with_more(crowded_pairs(labelled(nodes), 0))
+    for k, most in enumerate(ROUNDS):
+        # Groups that a failed pair held together are searched again, between their parts.
+        failed = materialise(between_parts(checked.where("not linked"), components(checked.where("linked"))), "failed")
+        if not failed.limit(1).count():
+            break
+        held = materialise(components(checked), "held-together")
+        broken = failed.select(F.col("a").alias("node")).join(held, "node").select("component").distinct()
         again = held.join(broken, "component", "left_semi").select(F.col("node").alias("doc_id"))
-        known = components(linked).select(F.col("node").alias("doc_id"), F.col("component").alias("known"))
-        open_nodes = nodes.drop("component").join(again, "doc_id", "left_semi").join(known, "doc_id", "left").withColumn("component", F.coalesce("known", "doc_id")).drop("known")
-        more = candidate_pairs(materialise(open_nodes, "open-classes"), forest=False).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        third = materialise(confirm(materialise(more, "more-pairs"), rows, shingle_words), "checked-again")
-        linked = linked.union(third.where("linked").select("a", "b"))
+        open_nodes = labelled(nodes.join(again, "doc_id", "left_semi"))
+        found = crowded_pairs(open_nodes, most)
+        checked = with_more(found.union(candidate_pairs(open_nodes, forest=False).select("a", "b")) if k == 0 else found)
+    linked = checked.where("linked").select("a", "b")
     joined = materialise(components(linked.union(members)), "components")
     out = signed.select("doc_id", "n_shingles").join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")

@@ -312,6 +312,19 @@ def test_a_crowded_region_and_its_borders(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_texts_at_the_rim_of_a_crowded_region_join_it(spark):
+    """Texts of similarity 0.81 to a group of more than REGION that differs in one place only, whatever depth parts them."""
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join([*base[:5], f"id{k}", *base[6:]])) for k in range(1200)]
+    for k in range(60):
+        text = list(base)
+        for at in np.random.default_rng(k).choice(np.arange(8, 198, 2), 9, replace=False):
+            text[at] = f"x{k}-{at}"
+        rows.append((2000 + k, " ".join(text)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {0}
+
+
 def test_a_failed_edge_is_searched_again(spark, documents, monkeypatch):
     """With a threshold that holds much together that is not linked, the second search repairs the result."""
     monkeypatch.setattr(neardup, "MAYBE", 0.30)
