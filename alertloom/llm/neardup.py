@@ -14,8 +14,8 @@
    n near copies gives fewer than n pairs, the likeliest ones, not n squared.
 4. The pairs kept are confirmed on the full sets: first the likeliest of each class,
    then those between parts that these do not link. Where one fails, the groups
-   that the forest held together are searched again: then every pair of AGAIN or
-   more between parts that are not linked yet is confirmed.
+   that the forest held together are searched again: then the likeliest 8 pairs of
+   any two parts that are not linked yet are confirmed, and at last all of them.
 5. A cell is all rows of a tree with the same MIN_DEPTH values. In cells of more than
    REGION rows, the rows of different parts are then compared throughout, at whatever
    depth they left each other.
@@ -42,9 +42,7 @@ TREES = 12
 MIN_DEPTH = 3
 DEPTH = 16
 REGION = 500
-# Sketch similarity (its standard error at 0.8 is 0.037) from which pairs are taken
-# into the forest, and into the second search.
-MAYBE, AGAIN = 0.68, 0.73
+MAYBE = 0.68  # sketch similarity (its standard error at 0.8 is 0.037) from which pairs are taken
 WALK_ROWS = 2_000  # rows that a task compares at a time
 BLOCK = 2_000  # rows of a crowded cell that are compared with as many others at a time
 ROUNDS = (8, None)  # pairs of two parts that are confirmed where the likeliest ones fail, in turn; None: all
@@ -184,13 +182,9 @@ class Region:
             cut |= crowded & (prefix < depth)
         return np.cumsum(cut)
 
-    def alike(self, forest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All pairs of MAYBE or more within regions (row numbers) and their likeness.
-
-        Without forest, only those between different components.
-        """
-        share = MAYBE if forest else AGAIN
-        least = (share + (1 - share) / 16) * HASHES  # one in 16 values agrees by chance
+    def alike(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs of MAYBE or more between components within regions (row numbers) and their likeness."""
+        least = (MAYBE + (1 - MAYBE) / 16) * HASHES  # one in 16 values agrees by chance
         number = self.regions()
         crowded = (np.bincount(number) > REGION)[number]
         live, found = np.arange(len(self)), []
@@ -201,7 +195,7 @@ class Region:
                 live = live[~crowded[live]]
             if not len(live):
                 break
-            left = live if forest else live[self.component[live] != self.component[live + k]]
+            left = live[self.component[live] != self.component[live + k]]
             small, large = self.sizes[left], self.sizes[left + k]
             left = left[SHARE[1] * np.minimum(small, large) >= SHARE[0] * np.maximum(small, large)]
             for some in np.array_split(left, -(-len(left) // 4096)) if len(left) else []:
@@ -211,12 +205,10 @@ class Region:
         both = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
         return both[0], both[1], both[2]
 
-    def pairs(self, forest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs to confirm (row numbers) and their likeness."""
-        a, b, same = self.alike(forest)
-        if not forest or not len(a):
-            return a, b, same
-        keep = spanning_forest(len(self), a, b, same)
+    def pairs(self, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs to confirm (row numbers) and their likeness; see likeliest_between."""
+        a, b, same = self.alike()
+        keep = likeliest_between(self.component[a], self.component[b], same, most)
         return a[keep], b[keep], same[keep]
 
 
@@ -256,8 +248,8 @@ def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) ->
 PAIRS = "a long, b long, same long, part int, head boolean, tree int, label binary, doc_id long, n_shingles long, sketch binary, component long"
 
 
-def _pair_batch(region: Region, forest: bool) -> pa.RecordBatch | None:
-    a, b, same = region.pairs(forest)
+def _pair_batch(region: Region, most: int | None) -> pa.RecordBatch | None:
+    a, b, same = region.pairs(most)
     if not len(a):
         return None
     low, high = np.minimum(region.ids[a], region.ids[b]), np.maximum(region.ids[a], region.ids[b])
@@ -278,7 +270,7 @@ def _wide(batch: pa.RecordBatch | None, part: int, head: bool, rows: Region | No
     yield pa.RecordBatch.from_arrays([*first, *own], [c.split()[0] for c in PAIRS.split(", ")])
 
 
-def candidate_pairs(classes: DataFrame, forest: bool = True) -> DataFrame:
+def candidate_pairs(classes: DataFrame, most: int | None = 0) -> DataFrame:
     """Distinct pairs (a < b, same) of ids. classes: doc_id, n_shingles, signature, component.
 
     The rows of all trees are range-partitioned by their place in the order, so a
@@ -296,13 +288,13 @@ def candidate_pairs(classes: DataFrame, forest: bool = True) -> DataFrame:
             held = rows if held is None else Region.join([held, rows])
             cuts = np.flatnonzero(held.prefixes() < MIN_DEPTH)
             if cuts[-1] > 0:  # what stands before the last cut is whole
-                yield from _wide(_pair_batch(held.part(slice(0, int(cuts[-1]))), forest), part, False, None)
+                yield from _wide(_pair_batch(held.part(slice(0, int(cuts[-1]))), most), part, False, None)
                 held = held.part(slice(int(cuts[-1]), len(held)))
             elif len(held) > WALK_ROWS:  # one region throughout: it goes on from a window's overlap
-                yield from _wide(_pair_batch(held, forest), part, False, None)
+                yield from _wide(_pair_batch(held, most), part, False, None)
                 held = held.part(slice(len(held) - REGION // 2, len(held)))
         if held is not None:
-            yield from _wide(_pair_batch(held, forest), part, False, None)
+            yield from _wide(_pair_batch(held, most), part, False, None)
             yield from _wide(None, part, False, held.part(slice(max(0, len(held) - REGION // 2), len(held))))
 
     ordered = forest_rows(classes).repartitionByRange("tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id")
@@ -316,7 +308,7 @@ def candidate_pairs(classes: DataFrame, forest: bool = True) -> DataFrame:
 
     def finish(group: pa.Table) -> pa.Table:
         kinds = pa.schema([(n, pa.int64()) for n in ("a", "b", "same")])
-        made = _pair_batch(Region.of(group.sort_by([("tree", "ascending"), ("label", "ascending"), ("doc_id", "ascending")])), forest)
+        made = _pair_batch(Region.of(group.sort_by([("tree", "ascending"), ("label", "ascending"), ("doc_id", "ascending")])), most)
         return pa.Table.from_batches([made] if made is not None else [], kinds)
 
     finished = sides.select("border", "tree", "label", "doc_id", "n_shingles", "sketch", "component").groupBy("border").applyInArrow(finish, "a long, b long, same long")
@@ -480,7 +472,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_
         return checked.union(materialise(confirm(more, rows, shingle_words), "checked-again"))
 
     checked = with_more(crowded_pairs(labelled(nodes), 0))
-    for k, most in enumerate(ROUNDS):
+    for most in ROUNDS:
         # Groups that a failed pair held together are searched again, between their parts.
         failed = materialise(between_parts(checked.where("not linked"), components(checked.where("linked"))), "failed")
         if not failed.limit(1).count():
@@ -489,8 +481,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_
         broken = failed.select(F.col("a").alias("node")).join(held, "node").select("component").distinct()
         again = held.join(broken, "component", "left_semi").select(F.col("node").alias("doc_id"))
         open_nodes = labelled(nodes.join(again, "doc_id", "left_semi"))
-        found = crowded_pairs(open_nodes, most)
-        checked = with_more(found.union(candidate_pairs(open_nodes, forest=False).select("a", "b")) if k == 0 else found)
+        checked = with_more(crowded_pairs(open_nodes, most).union(candidate_pairs(open_nodes, most).select("a", "b")))
     linked = checked.where("linked").select("a", "b")
     joined = materialise(components(linked.union(members)), "components")
     out = signed.select("doc_id", "n_shingles").join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")

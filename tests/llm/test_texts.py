@@ -325,6 +325,25 @@ def test_texts_at_the_rim_of_a_crowded_region_join_it(spark):
     assert len(got) == len(rows) and {r.component_id for r in got} == {0}
 
 
+def test_the_second_search_takes_what_the_first_takes():
+    """A pair of similarity 0.80 may look like 0.70; the search after a failed edge must not ask for more."""
+    sketch = np.zeros((2, neardup.HASHES), np.uint8)
+    sketch[1, :36] = 1  # 92 of 128 values agree
+    one = np.ones(2, np.int64)
+    region = neardup.Region(one, np.zeros((2, neardup.DEPTH), np.uint16), np.array([1, 2]), 100 * one, sketch, np.array([1, 2]))
+    assert [x.tolist() for x in region.pairs(None)] == [[0], [1], [92]]
+
+
+def test_likeliest_pairs_of_two_parts():
+    draw = np.random.default_rng(9)
+    x, y, same = draw.integers(0, 4, 300), draw.integers(4, 8, 300), draw.integers(90, 128, 300)
+    kept = neardup.likeliest_between(x, y, same, 8)
+    by_parts = lambda rows: {(p, q): sorted((same[k] for k in rows if (x[k], y[k]) == (p, q)), reverse=True) for p in range(4) for q in range(4, 8)}
+    assert by_parts(kept) == {key: found[:8] for key, found in by_parts(range(300)).items()}
+    assert len(neardup.likeliest_between(x, y, same, 0)) == 7
+    assert len(neardup.likeliest_between(x, y, same, None)) == 300
+
+
 def test_a_failed_edge_is_searched_again(spark, documents, monkeypatch):
     """With a threshold that holds much together that is not linked, the second search repairs the result."""
     monkeypatch.setattr(neardup, "MAYBE", 0.30)
