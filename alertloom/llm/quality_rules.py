@@ -19,8 +19,6 @@ from alertloom.llm.textstats import CLASSES, add_classes, add_lines, add_repeats
 from alertloom.storage import materialise
 
 COMMON = 32  # common words of a reference
-CANDIDATES = 64  # words per language that are counted over all texts to find them
-SAMPLE_DOCS = 5_000  # texts that candidates are looked for in, about
 
 
 @dataclass(frozen=True)
@@ -47,14 +45,12 @@ def distance(pairs: Column) -> Column:
     return F.sqrt(F.greatest(total, F.lit(0.0)))
 
 
-def candidate_words(docs: DataFrame, text: str, lang: str, doc_id: str, sample_docs: int, per_language: int) -> list[str]:
-    """Words that may be common: the most frequent of a sample by id hash, per language."""
+def candidate_words(docs: DataFrame, text: str, lang: str, common: int = COMMON) -> list[str]:
+    """The most frequent words of each language, counted over all its texts."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    share = min(1.0, sample_docs / max(1, rows.count()))
-    drawn = F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    words = add_words(rows.where(drawn < share).select(F.col(lang).alias("lang"), F.col(text).alias("text")), "text").select("lang", F.explode("words").alias("word"))
+    words = add_words(rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")), "text").select("lang", F.explode("words").alias("word"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).withColumn("place", place).where(F.col("place") <= per_language)
+    top = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).withColumn("place", place).where(F.col("place") <= common)
     return sorted(r["word"] for r in top.select("word").distinct().collect())
 
 
@@ -122,7 +118,7 @@ def judge(figures: DataFrame, made: list[dict], bounds: Bounds) -> DataFrame:
     return df.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd_classes, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False)))
 
 
-def quality_rules(docs: DataFrame, bounds: Bounds | None = None, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def quality_rules(docs: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text, lang; other columns are not read).
 
     A null text counts as empty and fails the base rules. Rows with a null language
@@ -130,6 +126,6 @@ def quality_rules(docs: DataFrame, bounds: Bounds | None = None, sample_docs: in
     each. Without any reference only the base rules decide.
     """
     bounds = bounds or Bounds()
-    candidates = candidate_words(docs, "text", "lang", "doc_id", sample_docs, CANDIDATES)
+    candidates = candidate_words(docs, "text", "lang")
     figures = materialise(measure(docs, candidates), "text-figures")
     return judge(figures, references(figures, bounds), bounds)

@@ -141,6 +141,16 @@ def test_quality_rules_equal_brute_force(spark, documents):
     assert any(not w[-1] and not w[-2] for w in want)
 
 
+def test_a_small_language_of_a_large_table_has_its_common_words(spark):
+    """Two long texts are the whole of a language beside 20,000 texts of another."""
+    rows = [(k, "the cat sat on mats", "en") for k in range(20_000)]
+    rows += [(k, " ".join(f"zw{j % 40}" for j in range(1200)), "zz") for k in (30000, 30003)]
+    rows += [(40_000 + k, " ".join(f"q{k}x{j}" for j in range(60)), "en") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    far = {r.doc_id: r.word_js for r in quality_rules.quality_rules(docs).where("doc_id >= 30000").select("doc_id", "word_js").collect()}
+    assert all(far[k] < 0.01 for k in (30000, 30003)) and all(far[40_000 + k] > 0.75 for k in range(3))
+
+
 def test_quality_rules_on_edge_rows(edge, empty):
     bounds = quality_rules.Bounds(reference_words=10)
     got = quality_rules.quality_rules(edge, bounds).select(RULE_COLUMNS).collect()
