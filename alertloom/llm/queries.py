@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import langid, mixing, neardup, packing, pivot_search, quality_model, quality_rules, records, urlfilter, warc
+from alertloom.llm import divergence, langid, mixing, neardup, ngram_lm, packing, pivot_search, quality_model, quality_rules, records, spelling, urlfilter, warc
 from alertloom.llm.wordbpe import default_path
 from alertloom.session import ship_package
 
@@ -170,6 +170,94 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"), default_path())
 
 
+def op11_frequency_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+# CRC-32 by its byte table; words with a letter left open or left out meet their near words.
+OP11_SQL = r"""
+WITH RECURSIVE digits(i, k, c) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM digits WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY i) AS t FROM digits WHERE k = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run
+), coded AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'), lambda x: ('0x' || x)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM counted, crc_table
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM coded
+  ) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), gaps AS (
+  SELECT word, n, substr(word, 1, i) || '_' || substr(word, i + 2) AS hole, substr(word, 1, i) || substr(word, i + 2) AS less FROM words, range(length(word)) r(i)
+), near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM gaps a JOIN gaps b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT DISTINCT a.word, b.word, b.n FROM gaps a JOIN words b ON a.less = b.word
+  UNION SELECT DISTINCT b.word, a.word, a.n FROM gaps a JOIN words b ON a.less = b.word
+), ranked AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS best, max(other_n) AS best_n FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * w.n THEN best END AS form, CASE WHEN best_n >= 5 * w.n THEN best_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word
+), chains(word, here, steps) AS (
+  SELECT word, word, 0 FROM formed
+  UNION ALL SELECT c.word, f.form, c.steps + 1 FROM chains c JOIN formed f ON f.word = c.here WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, (SELECT arg_max(here, steps) FROM chains c WHERE c.word = f.word) AS root, f.n, f.n_near, f.form_n FROM formed f
+"""
+
+
+def op12_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngram_lm.score_texts(table(spark, sf_dir, "documents"), id_remainder(10) != 0)
+    held_out = F.coalesce(id_remainder(10) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), found AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM found GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+), used AS (
+  SELECT lang, source, term, count(*) AS n FROM found SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), spoken AS (
+  SELECT lang, term, sum(n)::BIGINT AS n FROM used GROUP BY lang, term
+), sizes AS (SELECT lang, count(*) AS terms FROM kept GROUP BY lang),
+named AS (SELECT DISTINCT lang, source FROM d),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(u.n, 0) + 1)) // (sum(coalesce(u.n, 0)) OVER (PARTITION BY g.lang, g.source) + s.terms)::HUGEINT AS p
+  FROM named g JOIN kept k USING (lang) JOIN sizes s USING (lang) LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term
+), overall AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + terms)::HUGEINT AS q FROM spoken JOIN sizes USING (lang)
+), valued AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v.value, 0)::BIGINT AS value
+  FROM named a JOIN named b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+  UNION ALL
+  SELECT s.lang, s.source, 'term', s.term, (((p - q) * (p - q)) // q)::BIGINT FROM shares s JOIN overall o ON o.lang = s.lang AND o.term = s.term WHERE s.n > 0 AND p > q
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM valued
+)
+SELECT lang, source, part, item, value, rank FROM placed WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def all_queries() -> dict[str, tuple[Run, str | None]]:
     return {
         "op1_pivot_search": (op1_pivot_search, OP1_SQL),
@@ -182,4 +270,7 @@ def all_queries() -> dict[str, tuple[Run, str | None]]:
         "op8_token_records": (op8_token_records, None),
         "op9_lsh_forest": (op9_lsh_forest, None),
         "op10_vector_packing": (op10_vector_packing, None),
+        "op11_frequency_trie": (op11_frequency_trie, OP11_SQL),
+        "op12_backoff_automaton": (op12_backoff_automaton, None),
+        "op13_source_divergence": (op13_source_divergence, OP13_SQL),
     }

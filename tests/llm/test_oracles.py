@@ -19,6 +19,6 @@ def test_query_equals_its_sql(spark, name):
     assert compare(connect(SF), run(spark, SF), sql) == []
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_each_operator_has_a_query(number):
     assert len([n for n in all_queries() if n.startswith(f"op{number}_")]) == 1
