@@ -36,7 +36,7 @@ from alertloom.llm.bytetext import lower_ascii, mix64, row_slices, span_hashes,
 
 ORDER = 3
 MU = (20.0, 5.0)  # by order, from bigrams on; the last holds for all further ones
-BLOCK_BYTES = 16 << 20  # of texts that are scored together
+BLOCK_BYTES = 8 << 20  # of texts that are scored together
 RANGE_BYTES = 8 << 20  # of text for each range of hashes
 SEGMENT = 4_096  # tokens of a text that are read in one go
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text
@@ -201,8 +201,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]
         held.append(batch)
         size += int(bounds[-1])
         if size >= BLOCK_BYTES:
-            yield close()
+            whole = close()
             number, held, size = number + 1, [], 0
+            yield whole
+            del whole
     if held:
         yield close()
 
