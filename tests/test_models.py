@@ -13,6 +13,7 @@ from alertloom.plans.preprocess import engineer
 from alertloom.schemas import is_categorical_feature, model_input_columns
 from alertloom.storage import scratch_path
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 
@@ -87,6 +88,35 @@ def test_svd_and_pca_match_numpy(points):
     assert np.allclose(np.mean([r.r for r in reduced], axis=0), 0, atol=1e-9)
 
 
+def test_subspace_iteration_of_sparse_rows(spark):
+    """Sparse, empty and dense rows; the energies are the squared singular values."""
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((400, 60)) < 0.1, rng.normal(0, 1, (400, 60)), 0.0) + np.outer(rng.normal(0, 2, 400), np.arange(60) % 3 == 0)
+    x[:5] = 0
+    rows = [(Vectors.dense(r) if i % 2 else Vectors.sparse(60, {int(j): float(r[j]) for j in np.flatnonzero(r)}),) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, ["features"]).repartition(4)
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    v, energy = reduction.svd_with_energy(df, 60, k=1)
+    assert np.allclose(np.abs(v.T @ vt[:1].T), 1, atol=1e-6) and np.allclose(energy, s[:1] ** 2)
+    v, energy = reduction.svd_with_energy(df, 60, k=10, passes=12)
+    assert np.allclose(v.T @ v, np.eye(10), atol=1e-9) and np.allclose(energy, s[:10] ** 2, rtol=1e-3)
+    product = reduction.gram_product(reduction._stored(df, "features"), v)
+    assert np.allclose(product, x.T @ (x @ v))
+
+
+def test_covariance_of_far_off_rows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (500, 5)) * [1, 2, 0, 1e-3, 5] + [1e9, 0, 7, -1e6, 1]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>").repartition(6)
+    matrix, mean, n = reduction.covariance(df, 5)
+    assert n == 500 and np.allclose(mean, x.mean(axis=0)) and np.allclose(matrix, np.cov(x.T, bias=True), rtol=1e-6, atol=1e-7)
+    axes, offset = reduction.reduction_for(df, 5, 2)
+    assert offset is not None and np.allclose(axes, reduction.pca(df, 5, 2)[0])
+    assert reduction.covariance(df.limit(0), 5)[2] == 0
+    sparse = df.withColumn("features", F.array(*[F.lit(0.0)] * 4, F.col("id").cast("double")))
+    assert reduction.reduction_for(sparse, 5, 2)[1] is None
+
+
 def test_two_components_of_four(points):
     df, x = points
     v = reduction.truncated_svd(df.withColumn("features", array_to_vector("features")), 4, k=2)
@@ -102,27 +132,37 @@ def test_select_k_finds_the_two_groups(points):
     assert clustering.kmeans_select_k(vectors.limit(15), 15)[0] == 2
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_density_noise_matches_brute_force(spark, limit):
-    rng = np.random.default_rng(11)
-    x = np.round(np.vstack([rng.normal(0, 0.3, (150, 2)), rng.uniform(-6, 6, (120, 2)), np.tile([[5.0, 5.0]], (6, 1)), [[5.4, 5.2]]]), 2)
-    df = spark.createDataFrame([tuple(map(float, row)) for row in x], "x double, y double")
-    near = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) <= 0.25
-    core = near.sum(axis=1) >= 5
+def noise_of(x, eps=0.5, least=5):
+    near = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) <= eps * eps
+    core = near.sum(axis=1) >= least
     kept = (near & core[None, :]).any(axis=1)
-    want = {tuple(p): (bool(c), float(k)) for p, c, k in zip(x.tolist(), core, kept, strict=True)}
-    got = density.density_noise(df, ["x", "y"], broadcast_rows=limit).collect()
-    assert {(r.x, r.y): (r.core, r.score) for r in got} == want
-    assert sum(r.n for r in got) == len(x) and 0 < sum(1 for r in got if r.score == 0)
-
-
-def test_density_noise_splits_large_cells(spark, monkeypatch):
-    rng = np.random.default_rng(5)
-    x = np.vstack([rng.uniform(0, 0.3, (400, 2)), rng.uniform(-3, 3, (60, 2))])
-    df = spark.createDataFrame([tuple(map(float, row)) for row in x], "x double, y double")
-    whole = sorted((r.x, r.score) for r in density.density_noise(df, ["x", "y"]).collect())
-    monkeypatch.setattr(density, "CELL_POINTS", 10)
-    assert whole == sorted((r.x, r.score) for r in density.density_noise(df, ["x", "y"]).collect())
+    return {tuple(p): (bool(c), float(k)) for p, c, k in zip(x.tolist(), core, kept, strict=True)}
+
+
+@pytest.mark.parametrize("dimensions", [1, 2, 6])
+@pytest.mark.parametrize("sizes", [(2_000, 20_000), (20, 20_000), (3, 7)])
+def test_density_noise_matches_brute_force(spark, monkeypatch, sizes, dimensions):
+    """Few points a ball make both levels of pivots; few points a block split balls and questions."""
+    monkeypatch.setattr(density, "BALL_POINTS", sizes[0])
+    monkeypatch.setattr(density, "BLOCK_POINTS", sizes[1])
+    monkeypatch.setattr(density, "PIVOTS", 256 if sizes[0] > 3 else 6)
+    rng = np.random.default_rng(11)
+    spread = 0.2 + 0.02 * dimensions
+    x = np.round(np.vstack([rng.normal(0, spread, (250, dimensions)), rng.normal(4, 0.02, (40, dimensions)), rng.uniform(-2, 6, (120, dimensions)), np.tile([[5.0] * dimensions], (6, 1)), [[5.2] * dimensions]]), 2)
+    df = spark.createDataFrame([(row.tolist(),) for row in x], "point array<double>").repartition(3)
+    got = density.density_noise(df).collect()
+    assert {tuple(r.point): (r.core, r.score) for r in got} == noise_of(x)
+    assert sum(r.n for r in got) == len(x) and (dimensions == 1 or 0 < sum(1 for r in got if r.score == 0))
+
+
+def test_points_without_a_place_are_noise(spark):
+    rows = [([0.0, 0.1 * k], k) for k in range(5)] + [([None, 1.0], 5), (None, 6), ([float("nan"), 0.0], 7), ([float("inf"), 0.0], 8)] + [([0.0, 9.0], 9)]
+    df = spark.createDataFrame(rows, "at array<double>, id int")
+    got = {r.id: r.score for r in density.density_scores(df, "at").collect()}
+    assert got == {**dict.fromkeys(range(5), 1.0), **dict.fromkeys(range(5, 10), 0.0)}
+    split = {r.id: r.score for r in density.density_scores(df, "at", broadcast_rows=0).collect()}
+    assert split == got
+    assert density.density_noise(df.limit(0), "at").count() == 0
 
 
 def test_gradient_matches_differences():
