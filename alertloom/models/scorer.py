@@ -120,6 +120,8 @@ class ModelSet:
     uses_frequencies: bool = True
     # Frequencies fixed at training time; None: each batch has its own.
     frequencies: DataFrame | None = None
+    # Scores below these are flagged by the model of that name.
+    flag_thresholds: dict[str, float] = field(default_factory=dict)
 
     @property
     def frozen(self) -> bool:

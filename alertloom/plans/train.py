@@ -33,6 +33,14 @@ class Training:
     models: ModelSet
     scored: DataFrame
     reports: dict[str, DataFrame] = field(default_factory=dict)
+    ranges: dict[str, tuple[float, float]] = field(default_factory=dict)
+    frequencies: DataFrame | None = None
+
+    @property
+    def frozen(self) -> ModelSet:
+        """The models with the score ranges and frequencies of the training rows: they
+        score a row alike in any batch, and can start a stream."""
+        return replace(self.models, ranges=self.models.ranges | self.ranges, frequencies=self.frequencies or self.models.frequencies)
 
 
 def training_rows(
@@ -61,7 +69,8 @@ def train_baseline(
 ) -> Training:
     """Encoder, isolation forest, and k-means on the reduced rows."""
     rows = training_rows(alerts, baseline, as_of, days)
-    engineered = materialise(engineer(rows, internal), "engineered")
+    frequencies = frequency_table(rows)
+    engineered = materialise(engineer(rows, internal, frozen=frequencies), "engineered")
     encoder = fit_encoder(engineered)
     encoded = materialise(encoder(engineered), "encoded")
     n = encoded.count()
@@ -69,27 +78,26 @@ def train_baseline(
         raise ValueError("no alerts to train on")
     nodes = forest.fit_forest(encoded, n, trees)
     trees_fitted = forest.forest_from_nodes(nodes, n)
-    projection = reduction.truncated_svd(encoded, encoder.width)
-    reduced = materialise(reduction.add_reduced(encoded.select("id", "features"), projection).select("id", "reduced"), "reduced")
+    projection, offset = reduction.reduction_for(encoded, encoder.width)
+    reduced = materialise(reduction.add_reduced(encoded.select("id", "features"), projection, offset).select("id", "reduced"), "reduced")
     centres = clustering.kmeans_fit(reduced, k) if k else clustering.kmeans_select_k(reduced, n)[1]
-    models = ModelSet(encoder, encoder.width, trees_fitted, Clusters(projection, centres))
+    models = ModelSet(encoder, encoder.width, trees_fitted, Clusters(projection, centres, offset))
     raw = materialise(add_raw_scores(encoded, models).drop("features"), "train-scored")
     ranges = frozen_ranges(raw)
     forest_score = scores.minmax_normalise(F.col("if_raw"), scores.frozen_range(*ranges["if_raw"], rows=n))
     kmeans_score = scores.inverse_minmax(F.col("km_raw"), scores.frozen_range(*ranges["km_raw"], rows=n))
     scored = raw.withColumns({"if_score": forest_score, "km_score": kmeans_score})
     report = model_report(scored, {"isolation_forest": "if_score", "kmeans": "km_score"}, CONTAMINATION, encoder.width)
-    flagged = scored.withColumn("is_anomaly", F.col("if_score") < _threshold(report, "isolation_forest"))
+    report = materialise(report, "model-report")
+    limits = {r["model"]: r["threshold"] for r in report.select("model", "threshold").collect()}
+    models = replace(models, flag_thresholds=limits)
+    flagged = scored.withColumn("is_anomaly", F.col("if_score") < limits["isolation_forest"])
     reports = {
         "models": report,
         "anomalous_categories": agg.top_flagged(flagged, "is_anomaly", "category"),
         "anomalous_event_types": agg.top_flagged(flagged, "is_anomaly", "event_type"),
     }
-    return Training(models, scored, reports)
-
-
-def _threshold(report: DataFrame, model: str) -> float:
-    return report.where(F.col("model") == model).first()["threshold"]
+    return Training(models, scored, reports, ranges, frequencies)
 
 
 def train_zero_day(
@@ -106,7 +114,7 @@ def train_zero_day(
     The error threshold is the 95th percentile of the training errors unless
     one is given.
     """
-    encoded = materialise(models.encode(engineer(scan_baseline(baseline), internal)), "ae-encoded")
+    encoded = materialise(models.encode(engineer(scan_baseline(baseline), internal, frozen=models.frequencies)), "ae-encoded")
     fitted, history = ae.fit_autoencoder(encoded, models.width, encoding_dim, epochs, seed=seed)
     complete = replace(models, autoencoder=fitted)
     scored = materialise(add_raw_scores(encoded, complete).drop("features"), "ae-scored")
@@ -117,25 +125,23 @@ def train_zero_day(
         "losses": baseline.sparkSession.createDataFrame(losses, "epoch int, loss double, val_loss double"),
         "reconstructions": reconstruction_sample(encoded, complete),
     }
-    return Training(complete, scored, reports)
+    return Training(complete, scored, reports, frozen_ranges(scored.select("err")))
 
 
 def run_baseline_training(alerts: DataFrame, baseline: DataFrame | None, path: str, state_path: str, as_of: str, internal: DataFrame | None = None, **options: object) -> Training:
     """Trains the baseline models, stores them fit for streams, and records the run."""
     done = train_baseline(alerts, baseline, internal, as_of, **options)
-    models = replace(done.models, ranges=frozen_ranges(done.scored))
-    save_models(alerts.sparkSession, models, path)
+    save_models(alerts.sparkSession, done.frozen, path)
     log_state(alerts.sparkSession, state_path, "last_baseline_model_update", as_of)
-    return replace(done, models=models)
+    return replace(done, models=done.frozen)
 
 
 def run_zero_day_training(baseline: DataFrame, models: ModelSet, path: str, state_path: str, as_of: str, internal: DataFrame | None = None, **options: object) -> Training:
     """Trains the novelty model, stores the completed set, and records the run."""
     done = train_zero_day(baseline, models, internal, **options)
-    complete = replace(done.models, ranges=models.ranges | frozen_ranges(done.scored.select("err")))
-    save_models(baseline.sparkSession, complete, path)
+    save_models(baseline.sparkSession, done.frozen, path)
     log_state(baseline.sparkSession, state_path, "last_zero_day_model_update", as_of)
-    return replace(done, models=complete)
+    return replace(done, models=done.frozen)
 
 
 def with_frozen_frequencies(models: ModelSet, alerts: DataFrame) -> ModelSet:

@@ -89,12 +89,18 @@ def _freq_sql(round_to: str = "round({x}, 6)") -> str:
     return ", ".join(out)
 
 
-# Engineered frame in the checking engine: filled, then features, then frequencies.
-ENGINEERED_CTES = (
-    f"filled AS (SELECT {_filled()} FROM alerts), "
-    f"feat AS (SELECT *, {TIMES_SQL}, {IPS_SQL}, {PORTS_SQL}, {TRAFFIC_SQL.format(r='round', e=', 6')} FROM filled), "
-    f"engineered AS (SELECT *, cast(src_ip_segment = dst_ip_segment as int) AS same_segment, {_freq_sql()} FROM feat)"
-)
+def engineered_ctes(rounded: bool = True) -> str:
+    """Engineered frame in the checking engine: filled, then features, then frequencies."""
+    traffic_sql = TRAFFIC_SQL.format(r="round", e=", 6") if rounded else TRAFFIC_SQL.format(r="", e="")
+    shares = _freq_sql() if rounded else _freq_sql("{x}")
+    return (
+        f"filled AS (SELECT {_filled()} FROM alerts), "
+        f"feat AS (SELECT *, {TIMES_SQL}, {IPS_SQL}, {PORTS_SQL}, {traffic_sql} FROM filled), "
+        f"engineered AS (SELECT *, cast(src_ip_segment = dst_ip_segment as int) AS same_segment, {shares} FROM feat)"
+    )
+
+
+ENGINEERED_CTES = engineered_ctes()
 
 
 def _rounded(df: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ DUCK_TOKENS = {
     "ADD": "ts + to_minutes(k)",
 }
 
-# How each alert column comes out of an event.
+# How each alert column comes out of an event. Three of the categories are those left out by default.
 ALERT_EXPRESSIONS = {
     "id": "event_id",
     "event_time": "ts",
@@ -34,10 +34,10 @@ ALERT_EXPRESSIONS = {
     "device_name": "concat('Server-', cast(user_id % 10 + 1 as {S}))",
     "device_ip": "concat('10.0.', cast(user_id % 16 as {S}), '.', cast(user_id % 250 + 1 as {S}))",
     "threat_level": "cast((k % 4 + 1) * 10 as int)",
-    "category": "CASE k % 8 WHEN 0 THEN '严重漏洞' WHEN 1 THEN '勒索软件' WHEN 2 THEN '数据泄露' WHEN 3 THEN 'SQL注入' "
-    "WHEN 4 THEN '端口扫描' WHEN 5 THEN '暴力破解' WHEN 6 THEN 'DDoS攻击' ELSE NULL END",
-    "attack_function": "CASE k % 7 WHEN 0 THEN '侦察' WHEN 1 THEN '武器化' WHEN 2 THEN '投递' WHEN 3 THEN '利用' "
-    "WHEN 4 THEN '安装' WHEN 5 THEN '命令控制' ELSE '行动' END",
+    "category": "CASE k % 8 WHEN 0 THEN '严重漏洞' WHEN 1 THEN '勒索软件' WHEN 2 THEN '数据泄露' WHEN 3 THEN 'port sweep' "
+    "WHEN 4 THEN 'credential stuffing' WHEN 5 THEN 'dns tunnel' WHEN 6 THEN 'beaconing' ELSE NULL END",
+    "attack_function": "CASE k % 7 WHEN 0 THEN 'probe' WHEN 1 THEN 'lure' WHEN 2 THEN 'drop' WHEN 3 THEN 'break-in' "
+    "WHEN 4 THEN 'foothold' WHEN 5 THEN 'spread' ELSE 'damage' END",
     "attack_step": "concat('步骤', cast(k % 7 + 1 as {S}))",
     "signature": "concat('SIG-', cast(1000 + k % 40 as {S}))",
     "src_ip": "CASE WHEN event_id % 10 = 0 THEN concat(cast(11 + user_id % 150 as {S}), '.', cast(k as {S}), '.', "

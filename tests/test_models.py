@@ -132,6 +132,38 @@ def test_select_k_finds_the_two_groups(points):
     assert clustering.kmeans_select_k(vectors.limit(15), 15)[0] == 2
 
 
+def test_joint_fits_equal_single_ones(spark):
+    """All numbers of clusters in one pass give what each gives alone; k and silhouettes are those of plain loops."""
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(c, 0.4, (60, 3)) for c in ((0, 0, 0), (4, 0, 0), (0, 5, 1), (3, 4, 5))])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, reduced array<double>").repartition(3)
+    k, centres, tried = clustering.kmeans_select_k(df, len(x))
+    singles = {n: clustering.kmeans_fit(df, n) for n in range(2, 10)}
+    assert k == 4 and np.allclose(centres, singles[4])
+
+    def plain(c):
+        own = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        out = []
+        for i in range(len(x)):
+            mine = (own == own[i]) & (np.arange(len(x)) != i)
+            a = gap[i, mine].mean() if mine.any() else None
+            b = min(gap[i, own == o].mean() for o in set(own.tolist()) - {own[i]})
+            out.append(0.0 if a is None else (b - a) / max(a, b))
+        return np.mean(out)
+
+    assert tried == pytest.approx({n: plain(c) for n, c in singles.items()})
+    own = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert np.allclose(centres, [x[own == j].mean(axis=0) for j in range(4)], atol=1e-3)
+
+
+def test_kmeans_of_few_distinct_rows(spark):
+    df = spark.createDataFrame([(i, [float(i % 2), 0.0]) for i in range(50)], "id long, reduced array<double>")
+    assert sorted(map(tuple, clustering.kmeans_fit(df, 5).tolist())) == [(0.0, 0.0), (1.0, 0.0)]
+    with pytest.raises(ValueError, match="no rows"):
+        clustering.kmeans_fit(df.limit(0), 2)
+
+
 def noise_of(x, eps=0.5, least=5):
     near = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) <= eps * eps
     core = near.sum(axis=1) >= least
@@ -257,11 +289,40 @@ def test_models_survive_storage(spark, views):
     assert np.array_equal(loaded.forest.raw_score(x), fixed.forest.raw_score(x))
     assert np.allclose(loaded.clusters.distance(x), fixed.clusters.distance(x))
     assert np.allclose(loaded.autoencoder.error(x), fixed.autoencoder.error(x))
-    with pytest.raises(store.MissingModel, match="preproc_categories"):
+    with pytest.raises(store.MissingModel, match="published"):
         store.load_models(spark, path + "-nowhere")
+    with pytest.raises(store.MissingModel, match="frequencies"):
+        store.load_models(spark, path, need=("frequencies",))
     store.save_models(spark, replace(models, forest=None), path)
     with pytest.raises(store.MissingModel, match="forest"):
         store.load_models(spark, path)
+    assert store.load_models(spark, path, number=1).forest is not None
+    assert [r.number for r in store.versions(spark, path).orderBy("number").collect()] == [1, 2]
+
+
+def test_a_failed_save_leaves_the_published_set(spark, monkeypatch):
+    """Readers see the old set until the new one is whole."""
+    encoder = fit_encoder(spark.createDataFrame([("a", 1), ("b", 3)], "protocol string, threat_level int"))
+    models = replace(literal.literal_models(0.5), encode=encoder, width=encoder.width, flag_thresholds={"kmeans": 0.25})
+    path = scratch_path(spark, "store")
+    store.save_models(spark, models, path)
+    rows = store._rows
+
+    def broken(m):
+        yield from list(rows(m).items())[:4]
+        raise OSError("disk full")
+
+    class Broken:
+        def items(self):
+            return broken(replace(models, error_threshold=0.9))
+
+    monkeypatch.setattr(store, "_rows", lambda m: Broken())
+    with pytest.raises(OSError, match="disk full"):
+        store.save_models(spark, models, path)
+    loaded = store.load_models(spark, path)
+    assert loaded.error_threshold == 0.5 and loaded.flag_thresholds == {"kmeans": 0.25}
+    with pytest.raises(store.MissingModel, match="no model set 7"):
+        store.published(spark, path, 7)
 
 
 def test_thresholds(spark):
