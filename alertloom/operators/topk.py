@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.operators.filters import created_date_range, history_record
+from alertloom.operators.paging import history_deep_page
+
+# Pages that begin after so many rows are found by rank; sorting all rows before them
+# would gather as many in one task.
+SHALLOW_ROWS = 10_000
 
 
 def history_page(
@@ -16,8 +21,10 @@ def history_page(
     page_size: int = 10,
 ) -> DataFrame:
     """One page of novel attacks, newest first."""
-    rows = created_date_range(zero_day, start, end).orderBy(F.desc("created_at"), F.col("id"))
     skip = (page - 1) * page_size
+    if skip > SHALLOW_ROWS:
+        return history_deep_page(zero_day, start, end, page, page_size)
+    rows = created_date_range(zero_day, start, end).orderBy(F.desc("created_at"), F.col("id"))
     return (rows.offset(skip) if skip else rows).limit(page_size)
 
 

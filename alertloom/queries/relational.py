@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from alertloom.functions import scores, timeparts, traffic
 from alertloom.operators import aggregates as agg
-from alertloom.operators import filters, joins, quantiles, sinks, topk
+from alertloom.operators import filters, joins, paging, quantiles, sinks, topk
 from alertloom.operators.frequency import value_frequency
 from alertloom.plans import dashboards
 from alertloom.queries.registry import Query, checked
@@ -421,12 +421,20 @@ _HISTORY_SQL = (
 )
 
 
+_DEEP = ["id", "created_at", "threat_level", "src_ip"]
+
+
 def _lists() -> dict[str, Query]:
     return {
         "history_page": checked(
             lambda v: topk.history_page(v.zero_day, "2023-12-01", "2024-01-20", page=2, page_size=20),
             f"SELECT {ALL}, zero_day_score FROM zero_day_alerts WHERE cast(created_at as date) BETWEEN DATE '2023-12-01' AND DATE '2024-01-20' ORDER BY created_at DESC, id LIMIT 20 OFFSET 20",
         ),
+        # The rank index is built and used, and stretches are cut down to a few rows.
+        "history_deep_page": checked(
+            lambda v: paging.history_deep_page(v.alerts.select(*_DEEP), page=101, page_size=37, stretch_rows=50),
+            f"SELECT {', '.join(_DEEP)} FROM alerts ORDER BY created_at DESC NULLS LAST, id LIMIT 37 OFFSET 3700",
+        ),
         "history_totals": checked(
             lambda v: topk.history_totals(v.zero_day, "2023-12-01", "2024-01-20", 20),
             "SELECT count(*) AS total, cast(ceil(count(*) / 20e0) as bigint) AS pages FROM zero_day_alerts WHERE cast(created_at as date) BETWEEN DATE '2023-12-01' AND DATE '2024-01-20'",

@@ -63,6 +63,17 @@ def _baseline(v: Views) -> DataFrame:
     return rows.select("id", "category", "protocol", "dst_port").withColumn("last_update", logged)
 
 
+def _late(v: Views) -> DataFrame:
+    """Alerts per day from a stream of eight files, what came in time and what came too late together."""
+    source, (path, progress) = scratch_path(v.spark, "event-files"), _paths(v, "stream-late")
+    v.events.repartition(8, F.xxhash64("event_id")).write.parquet(source)
+    stream = alerts_from_events(jobs.file_stream(v.spark, source, v.events.schema, files_per_batch=1))
+    jobs.follow_windows(stream, path, progress, lateness="3 days")
+    counted = jobs.counted_windows(v.spark, path).select("window_start", "n")
+    late = jobs.late_rows(v.spark, path, stream.schema).groupBy("window_start").agg(F.count(F.lit(1)).alias("n"))
+    return counted.union(late).groupBy(F.to_date("window_start").alias("date")).agg(F.sum("n").alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "stream_detect": checked(_detect, f"SELECT {ALL}, round(zs, 6) AS zero_day_score FROM det WHERE zd", scoring.FIXED),
@@ -70,6 +81,7 @@ def queries() -> dict[str, Query]:
         "stream_daily_counts": checked(
             lambda v: _counts(v, "stream-daily", jobs.daily_counts(_stream(v)), "date"), "SELECT cast(event_time as date) AS date, count(*) AS n FROM alerts GROUP BY 1"
         ),
+        "stream_late_rows": checked(_late, "SELECT cast(event_time as date) AS date, count(*) AS n FROM alerts GROUP BY 1"),
         "stream_sliding_24h": checked(
             lambda v: _counts(v, "stream-sliding", jobs.sliding_counts(_stream(v)), "window_start", "window_end"),
             "SELECT s AS window_start, s + INTERVAL 24 HOUR AS window_end, count(*) AS n FROM (SELECT unnest(list_transform(range(12), lambda i: time_bucket(INTERVAL 2 HOUR, event_time) - to_hours(2 * i))) AS s FROM alerts) GROUP BY s",

@@ -72,17 +72,27 @@ def sliding_counts(stream: DataFrame, length: str = "24 hours", step: str = "2 h
     )
 
 
+# Progress reports kept of a run; the late rows are summed over them.
+_REPORTS = "spark.sql.streaming.numRecentProgressUpdates"
+KEPT_REPORTS = 1_000_000
+
+
 def run_available(writer: DataStreamWriter, checkpoint: str) -> int:
     """Processes what is there now, then stops; a scheduler calls it again.
 
-    Returns the rows that came too late for the watermark and were left out.
+    Returns the rows that came too late for the watermark and were left out, over all
+    micro-batches of the run.
     """
+    spark = SparkSession.active()
+    kept = spark.conf.get(_REPORTS, None)
+    spark.conf.set(_REPORTS, str(KEPT_REPORTS))
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
         return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
     finally:
         query.stop()
+        spark.conf.unset(_REPORTS) if kept is None else spark.conf.set(_REPORTS, kept)
 
 
 def append_files(stream: DataFrame, path: str, checkpoint: str) -> int:
@@ -110,6 +120,60 @@ def current_counts(spark: SparkSession, path: str, schema: T.StructType, keys: l
     return last.select(*keys, "_last.*").select(*schema.fieldNames())
 
 
+def follow_windows(stream: DataFrame, path: str, checkpoint: str, length: str = "1 day", step: str | None = None, lateness: str = LATENESS) -> None:
+    """Counts alerts per window of event time and keeps those that come too late, in one table.
+
+    A micro-batch adds its own counts per window and, as rows of their own, the alerts of
+    windows that had closed before it: those that end at or before the watermark, which is
+    the latest event time of the earlier batches less `lateness`. The watermark is stored
+    with each batch, so a restarted job goes on from it, and a replayed batch overwrites
+    its own partition. Nothing is dropped: counts and late rows together are the batch
+    result (counted_windows, late_rows).
+    """
+    spark = SparkSession.active()
+    last: dict[int, object] = {}
+
+    def seen_before(number: int) -> object:
+        if number - 1 in last or not number:
+            return last.get(number - 1)
+        stored = spark.read.schema(_WINDOW_MARKS).parquet(path).where((F.col("kind") == "mark") & (F.col("batch") < number))
+        return stored.agg(F.max("latest").alias("t")).first()["t"]
+
+    def store(batch: DataFrame, number: int) -> None:
+        timed = batch.withColumn("event_time", F.col("event_time").cast("timestamp"))
+        latest = seen_before(number)
+        alert = F.struct(*batch.columns)
+        spread = timed.select(F.window("event_time", length, step).alias("w"), alert.alias("alert"))
+        closed = F.lit(False) if latest is None else F.col("w.end") <= F.lit(latest) - F.expr(f"INTERVAL {lateness}")
+        none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+        kind = batch.schema.simpleString()
+        span = [F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end")]
+        counts = spread.where(~closed).groupBy("w").agg(F.count(F.lit(1)).alias("n")).select(F.lit("count").alias("kind"), *span, "n", none("latest", "timestamp"), none("alert", kind))
+        late = spread.where(closed).select(F.lit("late").alias("kind"), *span, none("n", "long"), none("latest", "timestamp"), "alert")
+        mark = timed.agg(F.greatest(F.max("event_time"), F.lit(latest).cast("timestamp")).alias("latest"))
+        mark = mark.select(F.lit("mark").alias("kind"), none("window_start", "timestamp"), none("window_end", "timestamp"), none("n", "long"), "latest", none("alert", kind))
+        counts.union(late).union(mark).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last.clear()
+        last[number] = spark.read.schema(_WINDOW_MARKS).parquet(f"{path}/batch={number}").where("kind = 'mark'").select("latest").first()["latest"]
+
+    run_available(stream.writeStream.foreachBatch(store), checkpoint)
+
+
+_WINDOW_MARKS = "kind string, latest timestamp, batch long"
+
+
+def counted_windows(spark: SparkSession, path: str) -> DataFrame:
+    """window_start, window_end, n of what came in time, over all batches that follow_windows has stored."""
+    rows = spark.read.schema("kind string, window_start timestamp, window_end timestamp, n long, batch long").parquet(path)
+    return rows.where("kind = 'count'").groupBy("window_start", "window_end").agg(F.sum("n").alias("n"))
+
+
+def late_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The alerts that came after their window had closed, with that window and the batch."""
+    fields = [T.StructField("kind", T.StringType()), T.StructField("window_start", T.TimestampType()), T.StructField("window_end", T.TimestampType()), T.StructField("alert", schema), T.StructField("batch", T.LongType())]
+    return spark.read.schema(T.StructType(fields)).parquet(path).where("kind = 'late'").select("window_start", "window_end", "batch", "alert.*")
+
+
 def each_batch(stream: DataFrame, work: Callable[[DataFrame], None], checkpoint: str) -> None:
     def handle(batch: DataFrame, _: int) -> None:
         # Written once: the work has several actions, each of which would read the source again.

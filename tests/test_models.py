@@ -232,7 +232,7 @@ def test_autoencoder_learns_and_stops(spark):
     x = z @ rng.normal(size=(2, 6))
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, features array<double>")
     df = df.withColumn("features", array_to_vector("features")).repartition(3)
-    model, history = ae.fit_autoencoder(df, 6, encoding_dim=4, epochs=8, workers=3)
+    model, history = ae.fit_autoencoder(df, 6, encoding_dim=4, epochs=8, shard_rows=400)
     assert [h["epoch"] for h in history] == list(range(len(history)))
     assert history[-1]["val_loss"] < history[0]["val_loss"] < 1.2
     best = min(h["val_loss"] for h in history)
@@ -241,9 +241,29 @@ def test_autoencoder_learns_and_stops(spark):
     assert model.encode(x[:3]).shape == (3, 4)
 
 
+def test_weights_do_not_depend_on_the_tasks(spark, monkeypatch):
+    """One task that reads all shards gives the weights of a task per shard, also with several rounds of averaging."""
+    monkeypatch.setattr(ae, "FAN_IN", 3)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 2)) @ rng.normal(size=(2, 5))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>").withColumn("features", array_to_vector("features"))
+
+    def fitted(partitions, open_cost):
+        spark.conf.set("spark.sql.files.openCostInBytes", open_cost)
+        try:
+            return ae.fit_autoencoder(df.repartition(partitions), 5, encoding_dim=3, epochs=3, batch=16, shard_rows=80)
+        finally:
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+    one, history = fitted(1, "0")
+    many, again = fitted(5, "200000000")
+    assert history == again
+    assert all(np.array_equal(a, b) for x, y in zip(one.layers, many.layers, strict=True) for a, b in zip(x, y, strict=True))
+
+
 def test_training_stops_without_improvement(spark):
     df = spark.range(60).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("features")).withColumn("features", array_to_vector("features"))
-    _, history = ae.fit_autoencoder(df, 2, encoding_dim=2, epochs=8, patience=1, workers=2)
+    _, history = ae.fit_autoencoder(df, 2, encoding_dim=2, epochs=8, patience=1, shard_rows=30)
     assert [h["val_loss"] for h in history] == [0.0, 0.0]
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from alertloom.functions import scores
 from alertloom.operators import aggregates as agg
-from alertloom.operators import filters, joins, sinks, topk
+from alertloom.operators import filters, joins, paging, sinks, topk
 from alertloom.operators.quantiles import approx_quantiles, exact_quantiles, kth_smallest, order_statistics
 from alertloom.plans import dashboards
 from alertloom.schemas import ALERT_COLUMNS, BASELINE_SCHEMA
@@ -255,3 +255,39 @@ def test_scratch_copies_go_when_a_job_ends(spark):
         folder = Path(kept.inputFiles()[0].removeprefix("file://")).parent
         assert folder.exists()
     assert not folder.exists()
+
+
+@pytest.fixture(scope="module")
+def dated(spark):
+    """Rows of uneven days, with one moment that very many rows share, and rows without a time."""
+    moment = F.when(F.col("id") % 3 == 0, F.lit("2024-03-05 10:00:07").cast("timestamp_ntz")).when(F.col("id") % 50 == 1, None)
+    other = F.timestamp_add("SECOND", (F.col("id") * 7919 % 400_000).cast("int"), F.lit("2024-03-03 00:00:00").cast("timestamp_ntz"))
+    return spark.range(3_000).select("id", F.coalesce(moment, F.when(F.col("id") % 50 != 1, other)).alias("created_at")).repartition(4)
+
+
+@pytest.mark.parametrize("stretch", [20_000, 100, 1])
+@pytest.mark.parametrize("skip", [0, 5, 990, 1_500, 1_983, 2_930, 2_995, 5_000])
+def test_deep_pages_equal_sorted_slices(dated, skip, stretch):
+    want = [r.id for r in dated.orderBy(F.desc("created_at"), "id").collect()][skip : skip + 25]
+    assert [r.id for r in paging.deep_page(dated, skip, 25, stretch_rows=stretch).collect()] == want
+
+
+def test_a_deep_page_opens_its_days_only(spark, dated):
+    """Page of a stored history: one day in the scan, with the stored index and with bounds."""
+    path, index = scratch_path(spark, "history"), scratch_path(spark, "history-index")
+    paging.write_history(dated, path, index)
+    stored, counts = spark.read.parquet(path), spark.read.parquet(index)
+    page = paging.deep_page(stored, 2_000, 10, counts)
+    plan = page._jdf.queryExecution().toString()
+    days = {str(r.created_at.date()) for r in page.collect()}
+    assert len(days) == 1 and f"created_date#" in plan and plan.count(f"IN ({days.copy().pop()})") + plan.count(f"= {days.copy().pop()}") > 0
+    bounded = paging.history_deep_page(stored, "2024-03-04", "2024-03-05", page=40, page_size=10, index=counts)
+    want = dated.where("created_at >= '2024-03-04' and created_at < '2024-03-06'").orderBy(F.desc("created_at"), "id").collect()[390:400]
+    assert [r.id for r in bounded.collect()] == [r.id for r in want]
+
+
+def test_history_turns_to_ranks_for_deep_pages(dated, monkeypatch):
+    monkeypatch.setattr(topk, "SHALLOW_ROWS", 100)
+    want = [r.id for r in dated.where("created_at is not null").orderBy(F.desc("created_at"), "id").collect()]
+    got = topk.history_page(dated.where("created_at is not null"), page=21, page_size=10).collect()
+    assert [r.id for r in got] == want[200:210]

@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+import os
+import random
+from datetime import datetime, timedelta
+from pathlib import Path
+
 import pytest
-from alertloom.models import literal
-from alertloom.plans import detect
+from alertloom.models import literal, store
+from alertloom.plans import detect, train
 from alertloom.plans.preprocess import engineer, frequency_table
 from alertloom.plans.train import with_frozen_ranges
 from alertloom.queries import scoring
@@ -10,6 +15,7 @@ from alertloom.schemas import ZERO_DAY_SCHEMA
 from alertloom.sources.views import alerts_from_events
 from alertloom.storage import scratch_path
 from alertloom.streaming import jobs
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +110,49 @@ def test_baseline_update_logs_its_state(spark, views, folder, models):
     stored = spark.read.parquet(path)
     assert stored.count() == stored.select("id").distinct().count() > 0
     assert {r.config_key for r in spark.read.parquet(state).collect()} == {"last_baseline_data_update"}
+
+
+def test_late_rows_of_many_batches_are_kept(spark):
+    """150 micro-batches, over the 100 reports that a query keeps by itself: counts and late
+    rows equal the batch result, by the watermark rule worked out in plain code."""
+    source, path = scratch_path(spark, "many"), scratch_path(spark, "windows")
+    start = datetime(2024, 3, 1)
+    draw = random.Random(4)
+    rows = [(i, start + timedelta(minutes=20 * (i // 4) - (draw.randint(0, 4_000) if draw.random() < 0.3 else 0)), i // 4) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, event_time timestamp_ntz, file int")
+    df.repartitionById(150, F.col("file")).write.parquet(source)
+    # Files come in the order of their times of writing: here that of their numbers.
+    for path_of, number in ((Path(f), int(f.name.split("-")[1])) for f in Path(source).glob("part-*.parquet")):
+        os.utime(path_of, (1_700_000_000 + number, 1_700_000_000 + number))
+    schema = df.schema
+    jobs.follow_windows(jobs.file_stream(spark, source, schema, files_per_batch=1), path, scratch_path(spark, "progress"), lateness="12 hours")
+    late = {r.id: r.batch for r in jobs.late_rows(spark, path, schema).collect()}
+    counted = {r.window_start.date(): r.n for r in jobs.counted_windows(spark, path).collect()}
+    order = {r.batch: r.file for r in spark.read.parquet(path).where("kind = 'late'").select("batch", "alert.file").distinct().collect()}
+    assert spark.read.parquet(path).select("batch").distinct().count() == 150
+    assert all(batch == file for batch, file in order.items())
+    want_late, want, latest = set(), {}, None
+    for file in range(150):
+        own = [r for r in rows if r[2] == file]
+        for i, t, _ in own:
+            end = datetime(t.year, t.month, t.day) + timedelta(days=1)
+            if latest is not None and end <= latest - timedelta(hours=12):
+                want_late.add(i)
+            else:
+                want[t.date()] = want.get(t.date(), 0) + 1
+        latest = max([r[1] for r in own] + ([latest] if latest else []))
+    assert set(late) == want_late and len(late) > 20 and counted == want
+
+
+def test_stored_training_starts_a_stream(spark, folder, views):
+    """Train, store, load, stream: what the stream saves is what one batch gives."""
+    path, state = scratch_path(spark, "models"), scratch_path(spark, "state")
+    first = train.run_baseline_training(views.alerts, None, path, state, views.as_of_event, k=3, trees=10)
+    train.run_zero_day_training(views.baseline, first.models, path, state, views.as_of_event, epochs=2)
+    loaded = store.load_models(spark, path, need=("encoder", "forest", "clusters", "autoencoder", "frequencies"))
+    assert [r.number for r in store.versions(spark, path).orderBy("number").collect()] == [1, 2] and set(loaded.flag_thresholds) == {"isolation_forest", "kmeans"}
+    out = scratch_path(spark, "out")
+    jobs.stream_detect(stream(spark, views, folder, files=2), loaded, out, scratch_path(spark, "progress"))
+    got = {r.id: round(r.zero_day_score, 6) for r in spark.read.schema(ZERO_DAY_SCHEMA).parquet(out).collect()}
+    batch = detect.detect_zero_day(views.alerts, loaded).where("is_zero_day")
+    assert got == {r.id: round(r.zero_day_score, 6) for r in batch.collect()} and got
