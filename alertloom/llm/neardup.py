@@ -283,19 +283,19 @@ def candidate_pairs(classes: DataFrame, most: int | None = 0) -> DataFrame:
         for batch in (b.slice(at, WALK_ROWS) for b in batches for at in range(0, b.num_rows, WALK_ROWS)):
             rows = Region.of(batch)
             if first:
-                yield from _wide(None, part, True, rows.part(slice(0, REGION // 2)))
+                yield from _wide(None, part, True, rows.part(slice(0, REGION)))
                 first = False
             held = rows if held is None else Region.join([held, rows])
             cuts = np.flatnonzero(held.prefixes() < MIN_DEPTH)
             if cuts[-1] > 0:  # what stands before the last cut is whole
                 yield from _wide(_pair_batch(held.part(slice(0, int(cuts[-1]))), most), part, False, None)
                 held = held.part(slice(int(cuts[-1]), len(held)))
-            elif len(held) > WALK_ROWS:  # one region throughout: it goes on from a window's overlap
+            elif len(held) > WALK_ROWS:  # one region throughout: it goes on from the rows that may still be compared
                 yield from _wide(_pair_batch(held, most), part, False, None)
-                held = held.part(slice(len(held) - REGION // 2, len(held)))
+                held = held.part(slice(len(held) - REGION, len(held)))
         if held is not None:
             yield from _wide(_pair_batch(held, most), part, False, None)
-            yield from _wide(None, part, False, held.part(slice(max(0, len(held) - REGION // 2), len(held))))
+            yield from _wide(None, part, False, held.part(slice(max(0, len(held) - REGION), len(held))))
 
     ordered = forest_rows(classes).repartitionByRange("tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id")
     walked = materialise(ordered.mapInArrow(walk, PAIRS), "forest-walk")
