@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from alertloom.llm.bytetext import mix64, ragged, row_slices, sub_batches, text_bytes
+from alertloom.llm.textstats import free_name
 from alertloom.storage import materialise
 
 UNKNOWN = "und"
@@ -91,9 +92,10 @@ class LanguageFilters:
             found.append(np.bincount(rows * 256 + sets, minlength=(len(bounds) - 1) * 256).reshape(-1, 256) @ every)
         return np.concatenate(found, axis=1)[:, : len(self.languages)], np.diff(before)
 
-    def decide(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of the best language of each text, and its share of all corrected hits."""
-        best, share = [], []
+    def decide(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the best language of each text, its share of all corrected hits, and
+        the share of the text's n-grams that those of the best language are."""
+        best, share, covered = [], [], []
         chance = self.chance()
         for a, b in row_slices(bounds):
             edges = bounds[a : b + 1]
@@ -105,8 +107,9 @@ class LanguageFilters:
             best.append(hits.argmax(axis=1))
             sums = hits.sum(axis=1)
             share.append(np.divide(hits.max(axis=1), sums, out=np.zeros(len(sums)), where=sums > 0))
-        none = np.zeros(0, np.int64)
-        return (np.concatenate(best) if best else none), (np.concatenate(share) if share else np.zeros(0))
+            covered.append(np.divide(hits.max(axis=1), total, out=np.zeros(len(sums)), where=total > 0))
+        none = np.zeros(0)
+        return tuple(np.concatenate(x) if x else none.astype(kind) for x, kind in ((best, np.int64), (share, float), (covered, float)))
 
     def _long(self, data: np.ndarray, start: int, end: int, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
         """One long text in parts; the few n-grams across a cut see a space there."""
@@ -164,17 +167,24 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     return LanguageFilters(languages, planes)
 
 
-def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
+def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score", coverage_col: str | None = None) -> DataFrame:
     """docs with a language and a score; columns of those two names are replaced.
 
+    coverage_col, if given, gets the share of the text's n-grams that are of the language
+    beyond the chance rate: near 0 in a language that was not learned.
+
     `und` with score 0: the text is null or has no letter, or nothing was learned.
     A text none of whose n-grams is known gets the most frequent language, score 0.
+    Texts of any length are read whole; repeated rows are judged each; other columns keep
+    their values, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    cover = coverage_col or free_name("coverage_", [*docs.columns, pred_col, score_col])
+    mark = free_name("has_letter_", [*docs.columns, pred_col, score_col, cover])
     shared = spark.sparkContext.broadcast(filters)
-    kept = [f for f in docs.schema.fields if f.name not in (pred_col, score_col)]
+    kept = [f for f in docs.schema.fields if f.name not in (pred_col, score_col, coverage_col)]
     names = [f.name for f in kept]
-    schema = StructType([*kept, StructField(pred_col, StringType()), StructField(score_col, DoubleType()), StructField("has_letter_", BooleanType())])
+    schema = StructType([*kept, StructField(pred_col, StringType()), StructField(score_col, DoubleType()), StructField(cover, DoubleType()), StructField(mark, BooleanType())])
     place = names.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,11 +193,13 @@ def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text",
         for batch in sub_batches(batches, place):
             letters = batch.column(len(names))
             data, bounds = text_bytes(batch.column(place))
-            best, share = model.decide(data, bounds) if model.languages else (np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows))
+            nothing = np.zeros(batch.num_rows)
+            best, share, covered = model.decide(data, bounds) if model.languages else (nothing.astype(np.int64), nothing, nothing)
             void = ~letters.to_numpy(zero_copy_only=False).astype(bool)
             best, share = np.where(void, len(model.languages), best), np.where(void, 0.0, share)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], known.take(pa.array(best)), pa.array(share), letters], [*names, pred_col, score_col, "has_letter_"])
+            covered = np.where(void, 0.0, covered)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], known.take(pa.array(best)), pa.array(share), pa.array(covered), letters], [*names, pred_col, score_col, cover, mark])
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*names, letter.alias("has_letter_")).mapInArrow(judge, schema).drop("has_letter_")
+    return docs.select(*names, letter.alias(mark)).mapInArrow(judge, schema).drop(mark, *([] if coverage_col else [cover]))
 

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertloom.llm.textstats import words_of
+from alertloom.llm.textstats import free_name, words_of
 from alertloom.storage import materialise
 
 FINE_ROWS = 500  # documents of a fine bucket, about
@@ -159,8 +159,9 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     """
     if mix.max_repeats > 1:
         raise ValueError("documents would repeat")
-    chosen = mix_sources(docs, mix).groupBy(F.col("doc_id").alias("chosen_id")).agg(F.min("block").alias("chosen_block"), F.min("order_key").alias("chosen_key"))
+    names = [free_name(n, docs.columns) for n in ("chosen_id", "chosen_block", "chosen_key")]
+    chosen = mix_sources(docs, mix).groupBy(F.col("doc_id").alias(names[0])).agg(F.min("block").alias(names[1]), F.min("order_key").alias(names[2]))
     chosen = materialise(chosen, "chosen")
-    joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen_id"]))
-    ordered = joined.repartitionByRange("chosen_block", "chosen_key").sortWithinPartitions("chosen_block", "chosen_key")
+    joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen[names[0]]))
+    ordered = joined.repartitionByRange(*names[1:]).sortWithinPartitions(*names[1:])
     return ordered.select(*docs.columns)

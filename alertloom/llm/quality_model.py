@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.textstats import CLASSES, add_classes, add_lines, add_words
+from alertloom.llm.textstats import CLASSES, add_classes, add_lines, add_words, free_name
 from alertloom.storage import materialise
 
 TRAIN_ROWS = 20_000  # labelled rows that are learned from, about
@@ -124,17 +124,24 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> RuleMod
     """A model from labels (doc_id, quality) of docs (doc_id, text).
 
     About `rows` labelled ids are drawn by hash, so the side that is broadcast is
-    bounded. Labels other than 0 and 1 and null ids are left out; a document that is
-    labelled twice counts twice.
+    bounded. Labels other than 0 and 1 and null ids are left out; equal labels of an id
+    count once, so a document counts twice at most. Empty tables give a constant model.
     """
-    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").alias("label"))
+    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").alias("label")).distinct()
     share = min(1.0, rows / max(1, usable.count()))
     drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < share)
     known = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    return fit(materialise(add_features(known).select("label", "stats").coalesce(4), "labelled-stats"))
+    # Written as the scan comes; only the few rows that were drawn are brought together.
+    return fit(materialise(add_features(known).select("label", "stats"), "labelled-stats").repartition(4))
 
 
 def score_quality(docs: DataFrame, model: RuleModel, text: str = "text", score_col: str = "quality_score") -> DataFrame:
-    """docs with a score (0 to 1, higher is better); a column of that name is replaced."""
+    """docs with a score (0 to 1, higher is better); a column of that name is replaced.
+
+    Null and empty texts are scored by their statistics, which are 0; texts of any length
+    are read whole; repeated rows are scored each; other columns keep their values,
+    whatever their names; an empty table gives no rows.
+    """
     kept = docs.drop(score_col)
-    return add_features(kept, text, "stats_").withColumn(score_col, model.score("stats_")).drop("stats_")
+    stats = free_name("stats_", [*docs.columns, score_col])
+    return add_features(kept, text, stats).withColumn(score_col, model.score(stats)).drop(stats)

@@ -17,6 +17,14 @@ WINDOW = 8
 CLASSES = ["lower", "space", "beyond", "upper", "digit", "other"]
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, made longer until no column has it."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value computed once per row.
 

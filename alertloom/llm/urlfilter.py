@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertloom.llm.textstats import free_name
 from alertloom.storage import fits, materialise
 
 BLOCK_WORDS = 8  # 64-bit words of a block
@@ -116,6 +117,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     exact = hits.join(F.broadcast(listed) if fits(listed) else listed, ["key_host", "key_path"])
     rule = F.concat("key_host", "key_path")
     best = exact.groupBy("url").agg(F.max(F.struct(F.length(rule), rule.alias("rule"), F.col("listed_verdict").alias("verdict"))).alias("best"))
-    judged = materialise(best.select(F.col("url").alias("judged_url"), "best.rule", "best.verdict"), "judged-urls")
-    joined = out.join(judged, out[url_col] == judged["judged_url"], "left").drop("judged_url")
+    key = free_name("judged_url", out.columns)
+    judged = materialise(best.select(F.col("url").alias(key), "best.rule", "best.verdict"), "judged-urls")
+    joined = out.join(judged, out[url_col] == judged[key], "left").drop(key)
     return joined.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
