@@ -25,4 +25,4 @@ EDGE = [
     (9, ("lorem ipsum dolor sit amet " * 3000) + "end", "a", "x"),
 ]
 EDGE_SCHEMA = "doc_id long, text string, lang string, source string"
-CLASHING = ["words", "stats", "component", "path", "host", "rule", "start", "set_key", "n_tokens", "block", "score", "key"]
+CLASHING = ["words", "stats", "component", "path", "host", "rule", "start", "set_key", "n_tokens", "block", "score", "key", "has_letter_", "coverage_", "stats_", "chosen_block", "chosen_key", "judged_url", "language", "quality_score", "others", "pin"]

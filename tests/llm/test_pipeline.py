@@ -97,3 +97,32 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where(F.lit(False)), SF).count() == 0
+
+
+def test_stages_keep_edge_rows_whole(spark, edge):
+    """Null, blank and repeated rows, a null id, and columns named as the stages' own."""
+    source = {(r.doc_id, r.text): r for r in edge.collect()}
+    docs = edge
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == edge.columns
+        rows = docs.collect()
+        assert all(r == source[r.doc_id, r.text] for r in rows)
+        if name == "language_id":
+            assert all(any(c.isalpha() for c in r.text) for r in rows) and rows
+        docs = spark.createDataFrame(rows, edge.schema)
+
+
+def test_unlearned_language_is_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = ["qzxv kjwq zzpf wwkx vvqj pqzk " * 20, "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki"]
+    planted = spark.createDataFrame([(-1 - k, t, None, "x", len(t)) for k, t in enumerate(odd)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.union(planted), SF).select("doc_id").collect()}
+    assert not kept & {-1, -2} and len(kept) >= 0.98 * docs.count()
+
+
+def test_the_quality_filter_works_out_statistics_once(spark):
+    """The filter stays above the statistics, and the drawn labels do not narrow the scan."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = corpus_pipeline.quality(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace") <= 12 and "Coalesce" not in plan
