@@ -42,15 +42,25 @@ def order_statistics(df: DataFrame, column: str, ranks: list[int]) -> dict[int,
     return _find(df, column, lambda n: ranks)[1]
 
 
-def _find(df: DataFrame, column: str, ranks_of: Any) -> tuple[int, dict[int, Any]]:
-    """Number of non-null values, and the values at the ranks that `ranks_of` asks of it."""
+def _around(fraction: float) -> list[float]:
+    return [min(1.0, max(0.0, fraction + d / ACCURACY)) for d in (-2, 0, 2)]
+
+
+def _find(df: DataFrame, column: str, ranks_of: Any, near: list[float] | None = None) -> tuple[int, dict[int, Any]]:
+    """Number of non-null values, and the values at the ranks that `ranks_of` asks of it.
+
+    near: shares of the rows that the ranks lie at; the pass that counts the rows then
+    names the first values around them, too.
+    """
     data = df.select(F.col(column).alias("x")).where(F.col("x").isNotNull())
     x, inf = F.col("x"), float("inf")
     if isinstance(data.schema["x"].dataType, T.FractionalType) and not isinstance(data.schema["x"].dataType, T.DecimalType):
         counts = [F.count_if(x == F.lit(v)) for v in (-inf, inf, float("nan"))]
     else:
         counts = [F.lit(0)] * 3
-    n, least, most, odd = data.agg(F.count("x"), *counts).first()
+    first = [F.percentile_approx("x", [v for f in near for v in _around(f)], ACCURACY)] if near else []
+    n, least, most, odd, *named = data.agg(F.count("x"), *counts, *first).first()
+    pivots = sorted(set(named[0])) if named and n and not least + most + odd else None
     finite = data if not least + most + odd else data.where((x > F.lit(-inf)) & (x < F.lit(inf)))
     inside = n - least - most - odd
     found, open_ranks = {}, []
@@ -63,11 +73,11 @@ def _find(df: DataFrame, column: str, ranks_of: Any) -> tuple[int, dict[int, Any
             open_ranks.append(rank)
         else:
             found[rank] = inf if rank < least + inside + most else float("nan")
-    found |= {r + least: v for r, v in _narrow(finite, [r - least for r in open_ranks], inside).items()}
+    found |= {r + least: v for r, v in _narrow(finite, [r - least for r in open_ranks], inside, pivots).items()}
     return n, found
 
 
-def _narrow(data: DataFrame, ranks: list[int], n: int) -> dict[int, Any]:
+def _narrow(data: DataFrame, ranks: list[int], n: int, first: list | None = None) -> dict[int, Any]:
     spans = dict.fromkeys(ranks, _Span(None, None, 0, n))
     found: dict[int, Any] = {}
     while len(found) < len(spans):
@@ -76,9 +86,9 @@ def _narrow(data: DataFrame, ranks: list[int], n: int) -> dict[int, Any]:
         for k, rank in enumerate(wanted):
             span = spans[rank]
             at = (rank - span.below + 1) / span.rows
-            fractions = [min(1.0, max(0.0, at + d / ACCURACY)) for d in (-2, 0, 2)]
-            named.append(F.percentile_approx(F.when(span.holds(x), x), fractions, ACCURACY).alias(f"p{k}"))
-        pivots = [sorted(set(values)) for values in data.agg(*named).first()]
+            named.append(F.percentile_approx(F.when(span.holds(x), x), _around(at), ACCURACY).alias(f"p{k}"))
+        pivots = [first] * len(wanted) if first else [sorted(set(values)) for values in data.agg(*named).first()]
+        first = None
         tallies = [F.count_if(spans[rank].holds(x) & test).alias(f"n{k}_{i}_{j}") for k, rank in enumerate(wanted) for i, p in enumerate(pivots[k]) for j, test in enumerate((x < F.lit(p), x == F.lit(p)))]
         counted = data.agg(*tallies).first()
         for k, rank in enumerate(wanted):
@@ -103,7 +113,7 @@ def exact_quantiles(df: DataFrame, column: str, fractions: list[float]) -> dict[
     def ranks(n: int) -> list[int]:
         return sorted({r for f in fractions for r in (math.floor(f * (n - 1)), math.ceil(f * (n - 1)))}) if n else []
 
-    n, at = _find(df, column, ranks)
+    n, at = _find(df, column, ranks, fractions)
     if n == 0:
         return dict.fromkeys(fractions)
     out: dict[float, float | None] = {}
@@ -116,7 +126,7 @@ def exact_quantiles(df: DataFrame, column: str, fractions: list[float]) -> dict[
 
 def kth_smallest(df: DataFrame, column: str, fraction: float) -> Any:
     """Value at rank int(n * fraction), counted from 0."""
-    _, found = _find(df, column, lambda n: [min(int(n * fraction), n - 1)] if n else [])
+    _, found = _find(df, column, lambda n: [min(int(n * fraction), n - 1)] if n else [], [min(1.0, max(0.0, fraction))])
     return next(iter(found.values()), None)
 
 

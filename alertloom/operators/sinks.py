@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -66,18 +66,21 @@ def zero_day_rows(detected: DataFrame) -> DataFrame:
     return rows.select(*stored.columns, F.col("zero_day_score").cast("double"))
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table at `path`, or an empty frame of its schema before the first write."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
-    if not exists:
+    if not table_exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
 def _stored_ids(spark: SparkSession, path: str, days: DataFrame, schema: T.StructType) -> DataFrame:
     """Ids in the day partitions that `days` (event_date) names."""
-    if read_or_empty(spark, path, schema).isEmpty():
+    if not table_exists(spark, path):
         return spark.createDataFrame([], "id long")
     dated = spark.read.schema(T.StructType([schema["id"], T.StructField("event_date", T.DateType())])).parquet(path)
     # A batch has few days; the join prunes the partitions of all others.
@@ -97,9 +100,10 @@ def append_new(path: str, candidates: DataFrame, schema: T.StructType) -> DataFr
     rows = new_rows(existing, candidates)
     stored = [F.col(f.name) if f.name in rows.columns else F.lit(None) for f in schema.fields]
     rows = rows.select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(stored, schema.fields, strict=True)])
-    # Decided once and written down: counting and storing see the same rows.
-    rows = materialise(rows, "insert")
-    inserted = rows.count()
+    # Decided once and written down, and counted as they are written.
+    seen = Observation()
+    rows = materialise(rows.observe(seen, F.count(F.lit(1)).alias("n")), "insert")
+    inserted = seen.get["n"]
     if inserted:
         write_by_day(rows, path)
     return spark.createDataFrame([(inserted,)], "inserted long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.functions import scores
@@ -96,7 +96,10 @@ def save_zero_day(detected: DataFrame, path: str) -> DataFrame:
 def detection_summary(detected: DataFrame, stored: DataFrame) -> DataFrame:
     """Total, abnormal, novel and newly saved rows of one run."""
     novel = detected.where("is_zero_day")
-    saved = sinks.new_rows(stored.select("id"), novel.select("id")).agg(F.count(F.lit(1))).scalar()
+    return _summary(detected, sinks.new_rows(stored.select("id"), novel.select("id")).agg(F.count(F.lit(1))).scalar())
+
+
+def _summary(detected: DataFrame, saved: Column) -> DataFrame:
     return detected.agg(
         F.count(F.lit(1)).alias("total_alerts"),
         F.count_if("is_baseline_anomaly").alias("anomaly_count"),
@@ -117,8 +120,7 @@ def run_detection(
     twice.
     """
     spark = alerts.sparkSession
-    stored = materialise(sinks.read_or_empty(spark, path, ZERO_DAY_SCHEMA).select("id"), "stored-ids")
-    detected = materialise(detect_zero_day(detection_window(alerts, hours, as_of), models, internal), "detected")
-    save_zero_day(detected, path)
+    detected = detect_zero_day(detection_window(alerts, hours, as_of), models, internal)
+    saved = save_zero_day(detected, path).first()["inserted"]
     sinks.log_state(spark, state_path, "last_zero_day_detection_update", as_of)
-    return detection_summary(detected, stored), detection_details(detected)
+    return _summary(detected, F.lit(saved).cast("long")), detection_details(detected)

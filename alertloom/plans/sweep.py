@@ -12,7 +12,7 @@ from alertloom.models.scorer import ModelSet
 from alertloom.models.thresholds import SCORE_DIGITS, above, below
 from alertloom.operators.quantiles import exact_quantiles
 from alertloom.plans.classify import batch_ranges
-from alertloom.schemas import DETECTION_THRESHOLD
+from alertloom.schemas import BASELINE_MIN_SCORE, DETECTION_THRESHOLD
 
 
 @dataclass(frozen=True)
@@ -22,14 +22,16 @@ class Preset:
     min_score: float
     external_is_zero_day: bool
     baseline_required: bool
+    # Scores from here on are normal for the baseline update.
+    threshold_score: float = BASELINE_MIN_SCORE
 
 
 # The four presets.
 PRESETS = [
     Preset("当前设置", 98, 0.8, False, True),
-    Preset("高精度低召回", 99, 0.9, False, True),
-    Preset("中等精度中等召回", 97, 0.7, False, True),
-    Preset("低精度高召回", 95, 0.6, True, False),
+    Preset("高精度低召回", 99, 0.9, False, True, 0.8),
+    Preset("中等精度中等召回", 97, 0.7, False, True, 0.7),
+    Preset("低精度高召回", 95, 0.6, True, False, 0.6),
 ]
 REASONABLE = (1.0, 5.0)
 
@@ -91,6 +93,22 @@ def sensitivity_sweep(
     )
 
 
+def preset_baselines(scored: DataFrame, models: ModelSet, presets: list[Preset] | None = None) -> DataFrame:
+    """How many alerts the baseline update would take as normal under each preset, in one pass."""
+    r = batch_ranges(scored, models)
+    forest = scores.minmax_normalise(F.col("if_raw"), r["if_raw"])
+    kmeans = scores.inverse_minmax(F.col("km_raw"), r["km_raw"])
+    chosen = PRESETS if presets is None else presets
+
+    def row(order: int, preset: Preset) -> Column:
+        t = preset.threshold_score
+        normal = F.count_if(~(below(F.col("forest"), t) | below(F.col("kmeans"), t)))
+        return F.struct(F.lit(order).alias("preset_order"), F.lit(preset.name).alias("config_name"), F.lit(t).alias("threshold_score"), F.count(F.lit(1)).alias("total_alerts"), normal.alias("normal_count"))
+
+    groups = F.array(*[row(i, p) for i, p in enumerate(chosen)])
+    return scored.select(forest.alias("forest"), kmeans.alias("kmeans")).agg(groups.alias("g")).select(F.explode("g").alias("r")).select("r.*")
+
+
 def reasonable_configs(sweep: DataFrame) -> DataFrame:
     """Presets that flag between 1 and 5 percent of the alerts."""
     return sweep.where(F.col("zero_day_rate").between(*REASONABLE))

@@ -432,8 +432,8 @@ def _lists() -> dict[str, Query]:
         ),
         # The rank index is built and used, and stretches are cut down to a few rows.
         "history_deep_page": checked(
-            lambda v: paging.history_deep_page(v.alerts.select(*_DEEP), page=101, page_size=37, stretch_rows=50),
-            f"SELECT {', '.join(_DEEP)} FROM alerts ORDER BY created_at DESC NULLS LAST, id LIMIT 37 OFFSET 3700",
+            lambda v: paging.history_deep_page(v.alerts.select(*_DEEP), page=21, page_size=37, stretch_rows=50),
+            f"SELECT {', '.join(_DEEP)} FROM alerts ORDER BY created_at DESC NULLS LAST, id LIMIT 37 OFFSET 740",
         ),
         "history_totals": checked(
             lambda v: topk.history_totals(v.zero_day, "2023-12-01", "2024-01-20", 20),

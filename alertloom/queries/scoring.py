@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.functions import scores
-from alertloom.models import literal, thresholds
+from alertloom.models import thresholds
 from alertloom.models.scorer import ModelSet, add_raw_scores
 from alertloom.operators import aggregates as agg
 from alertloom.operators import filters, sinks, topk
 from alertloom.plans import baseline, classify, detect, sweep
+from alertloom.queries import literal
 from alertloom.queries.features import internal_sql
 from alertloom.queries.registry import Query, checked
 from alertloom.queries.relational import ALL, DETAIL_SQL
@@ -73,7 +74,7 @@ def _errors(v: Views) -> DataFrame:
 
 
 def _normalised(v: Views, *keep: str) -> DataFrame:
-    raw = _raw(v, *keep)
+    raw = materialise(_raw(v, *keep), "raw")
     forest = scores.minmax_normalise(F.col("if_raw"), scores.batch_range(raw, "if_raw"))
     kmeans = scores.inverse_minmax(F.col("km_raw"), scores.batch_range(raw, "km_raw"))
     return raw.withColumns({"if_score": forest, "km_score": kmeans})
@@ -434,6 +435,12 @@ def _detect_queries() -> dict[str, Query]:
             lambda v: _sweep(v).select("config_name", "total_alerts", "zero_day_count"), "SELECT config_name, total_alerts, zero_day_count FROM swept", swept
         ),
         "sensitivity_sweep": checked(_sweep, "SELECT * FROM swept", swept),
+        "preset_baselines": checked(
+            lambda v: sweep.preset_baselines(materialise(_raw(v).select("if_raw", "km_raw"), "raw"), fixed_models()),
+            "SELECT o AS preset_order, n AS config_name, t AS threshold_score, count(*) AS total_alerts, count(*) FILTER (WHERE NOT (round(if_score, 6) < t OR round(km_score, 6) < t)) AS normal_count "
+            f"FROM sc, (VALUES {', '.join(f"({i}, '{p.name}', {p.threshold_score}e0)" for i, p in enumerate(sweep.PRESETS))}) AS x(o, n, t) GROUP BY o, n, t",
+            FIXED,
+        ),
         "sweep_metrics": checked(
             lambda v: _sweep(v).select("config_name", "anomaly_rate", "zero_day_rate", "zero_day_of_anomaly_rate", "avg_zero_day_score"),
             "SELECT config_name, anomaly_rate, zero_day_rate, zero_day_of_anomaly_rate, avg_zero_day_score FROM swept",

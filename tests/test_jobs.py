@@ -1,10 +1,10 @@
 from __future__ import annotations
 
 import pytest
-from alertloom.models import literal, thresholds
+from alertloom.models import thresholds
 from alertloom.models.scorer import add_raw_scores
 from alertloom.plans import baseline, classify, detect, sweep, train
-from alertloom.queries import scoring
+from alertloom.queries import literal, scoring
 from alertloom.schemas import BASELINE_SCHEMA
 from alertloom.storage import materialise, scratch_path
 from pyspark.sql import functions as F

@@ -5,11 +5,12 @@ from dataclasses import replace
 import numpy as np
 import pytest
 from alertloom.models import autoencoder as ae
-from alertloom.models import clustering, density, forest, literal, reduction, store, thresholds
+from alertloom.models import clustering, density, forest, reduction, store, thresholds
 from alertloom.models.encoding import fit_encoder
 from alertloom.models.scorer import as_vectors, ModelSet, add_raw_scores, average_path, dense_rows
 from alertloom.operators.frequency import FREQUENCY_COLUMNS
 from alertloom.plans.preprocess import engineer
+from alertloom.queries import literal
 from alertloom.schemas import is_categorical_feature, model_input_columns
 from alertloom.storage import scratch_path
 from pyspark.ml.functions import array_to_vector, vector_to_array

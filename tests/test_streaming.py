@@ -6,11 +6,11 @@ from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
-from alertloom.models import literal, store
+from alertloom.models import store
 from alertloom.plans import detect, train
 from alertloom.plans.preprocess import engineer, frequency_table
 from alertloom.plans.train import with_frozen_ranges
-from alertloom.queries import scoring
+from alertloom.queries import literal, scoring
 from alertloom.schemas import ZERO_DAY_SCHEMA
 from alertloom.sources.views import alerts_from_events
 from alertloom.storage import scratch_path
