@@ -388,3 +388,46 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(50)}, 201: 201, 203: 201, 205: 201}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_language_results_equal_plain_look_ups(spark):
+    """op2 as a whole: every n-gram of every text looked up in each language's own filter."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    filters = langid.train(docs.where(remainder != 2))
+    bits = [np.unpackbits(plane[:, None], axis=1, bitorder="little") for plane in filters.planes]
+    passes = {k: {s for s in range(langid.SLOTS) if bits[k // 8][s, k % 8]} for k in range(len(filters.languages))}
+    chance = [(len(passes[k]) / langid.SLOTS) ** langid.PROBES for k in passes]
+    got = {r.doc_id: r for r in all_queries()["op2_language_filters"][0](spark, SMALL).collect()}
+    for row in docs.orderBy("doc_id").collect():
+        if not row.text or not any(c.isalpha() for c in row.text):
+            assert (got[row.doc_id].lang_pred, got[row.doc_id].score) == ("und", 0.0)
+            continue
+        grams, _ = langid.ngrams(*text_bytes(pa.array([row.text])))
+        slots = langid._slots(grams).T.tolist()
+        hits = [max(0.0, (sum(all(s in passes[k] for s in three) for three in slots) - len(slots) * chance[k]) / (1 - chance[k])) for k in passes]
+        best = max(range(len(hits)), key=lambda k: (hits[k], -k))
+        assert got[row.doc_id].lang_pred == filters.languages[best]
+        assert got[row.doc_id].score == pytest.approx(hits[best] / sum(hits) if sum(hits) else 0.0)
+
+
+def test_rule_statistics_equal_plain_ones(spark, edge):
+    """op6: the statistics that rules test, from plain Python over whole texts."""
+
+    def stats(text):
+        text = text or ""
+        w, n = words(text), len(text)
+        lines = [x for x in text.split("\n") if words(x)]
+        over = lambda a, b: a / b if b else 0.0
+        space, beyond = sum(c in " \t\n\v\f\r" for c in text), sum(ord(c) > 127 for c in text)
+        lower, upper, digit = (sum(a <= c <= b for c in text) for a, b in ("az", "AZ", "09"))
+        classes = {"lower": lower, "space": space, "beyond": beyond, "upper": upper, "digit": digit, "other": n - lower - space - beyond - upper - digit}
+        chars = sum(map(len, w))
+        named = {"words_log": math.log1p(len(w)), "mean_word": over(chars, len(w)), "distinct_words": over(len(set(w)), len(w)), "dup_lines": over(len(lines) - len(set(lines)), len(lines))}
+        named |= {"words_per_line": over(len(w), len(lines)), "symbols": over(sum(c in "#*$%&|<>" for c in text), chars)}
+        return named | {f"share_{c}": over(v, n) for c, v in classes.items()}
+
+    small = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    for r in quality_model.add_features(small.union(edge.select("doc_id", "text")), stats_col="figures").collect():
+        want = stats(r.text)
+        assert r.figures.asDict() == pytest.approx({name: want[name] for name in quality_model.FEATURES})
