@@ -107,15 +107,24 @@ def _narrow(data: DataFrame, ranks: list[int], n: int, first: list | None = None
     return found
 
 
+def _ranks(n: int, fractions: list[float]) -> list[int]:
+    return sorted({r for f in fractions for r in (math.floor(f * (n - 1)), math.ceil(f * (n - 1)))}) if n else []
+
+
 def exact_quantiles(df: DataFrame, column: str, fractions: list[float]) -> dict[float, float | None]:
     """Quantiles with linear interpolation between neighbouring values."""
+    n, at = _find(df, column, lambda n: _ranks(n, fractions), fractions)
+    return _between(n, at, fractions) if n else dict.fromkeys(fractions)
+
+
+def quantiles_within(df: DataFrame, column: str, fractions: list[float], n: int, pivots: list[float]) -> dict[float, float | None]:
+    """Exact quantiles of n finite non-null values, where values are known that lie close
+    around them: one counting pass, then a search among the rows between those."""
+    data = df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
+    return _between(n, _narrow(data, _ranks(n, fractions), n, pivots), fractions)
 
-    def ranks(n: int) -> list[int]:
-        return sorted({r for f in fractions for r in (math.floor(f * (n - 1)), math.ceil(f * (n - 1)))}) if n else []
 
-    n, at = _find(df, column, ranks, fractions)
-    if n == 0:
-        return dict.fromkeys(fractions)
+def _between(n: int, at: dict[int, Any], fractions: list[float]) -> dict[float, float | None]:
     out: dict[float, float | None] = {}
     for f in fractions:
         place = f * (n - 1)

@@ -8,18 +8,27 @@ from pyspark.sql import types as T
 
 from alertloom.functions import scores, timeparts, traffic
 from alertloom.operators import aggregates as agg
-from alertloom.operators import filters, joins, paging, quantiles, sinks, topk
+from alertloom.operators import filters, joins, paging, profiles, quantiles, sinks, topk
 from alertloom.operators.frequency import value_frequency
 from alertloom.plans import dashboards
 from alertloom.queries.registry import Query, checked
 from alertloom.schemas import ALERT_COLUMNS, BASELINE_SCHEMA, CHART_DAYS, DETECTION_HOURS, ZERO_DAY_SCHEMA
 from alertloom.sources import scans
 from alertloom.sources.views import Views
-from alertloom.storage import scratch_path
+from alertloom.storage import materialise, scratch_path
 
 ALL = ", ".join(ALERT_COLUMNS)
 
 
+def _window_profile(v: Views) -> DataFrame:
+    """Rows of a window, and whether the distinct values that the day sketches give are within 5 % of those counted."""
+    sketches = materialise(profiles.daily_sketches(v.alerts), "day-sketches")
+    about = profiles.window_profile(sketches, "2024-01-05", "2024-01-19")
+    window = v.alerts.where("event_time >= DATE '2024-01-05' AND event_time < DATE '2024-01-20'")
+    exact = agg.distinct_profile(window).first()
+    return about.select("rows", *[(F.abs(F.col(c) - exact[c]) <= F.lit(0.05 * exact[c])).alias(c) for c in agg.PROFILE_COLUMNS])
+
+
 def _scans() -> dict[str, Query]:
     recent = f"SELECT {ALL} FROM alerts, p WHERE event_time >= as_of_event - INTERVAL 7 DAY"
     texts = (
@@ -379,6 +388,16 @@ def _aggregates() -> dict[str, Query]:
             "SELECT (SELECT count(*) FROM (SELECT DISTINCT category FROM zero_day_alerts)) AS n_categories, (SELECT least(10, count(*)) FROM (SELECT DISTINCT src_ip FROM zero_day_alerts)) AS n_top_ips, "
             "(SELECT count(*) FROM baseline_alerts) AS baseline_count, (SELECT count(*) FROM zero_day_alerts) AS zero_day_count",
         ),
+        # Days are sketched once; exact quantiles of a window come from them and a counting pass.
+        "window_quantiles": checked(
+            lambda v: profiles.window_error_quantiles(v.events, materialise(profiles.daily_sketches(v.events, "ts", [], ["value"]), "day-sketches"), "value", "2024-01-05", "2024-01-19", "ts"),
+            "SELECT min(value) AS min_value, max(value) AS max_value, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75, quantile_cont(value, 0.95) AS q95 "
+            "FROM events WHERE ts >= DATE '2024-01-05' AND ts < DATE '2024-01-20'",
+        ),
+        "window_profile": checked(
+            _window_profile,
+            "SELECT count(*) AS rows, " + ", ".join(f"true AS {c}" for c in agg.PROFILE_COLUMNS) + " FROM alerts WHERE event_time >= DATE '2024-01-05' AND event_time < DATE '2024-01-20'",
+        ),
         "error_quantiles": checked(
             lambda v: quantiles.error_quantiles(v.events, "value").select(*[F.round(c, 6).alias(c) for c in ("min_value", "max_value", "q25", "q50", "q75", "q95")]),
             "SELECT round(min(value), 6) AS min_value, round(max(value), 6) AS max_value, "

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from alertloom.functions import scores
 from alertloom.operators import aggregates as agg
-from alertloom.operators import filters, joins, paging, sinks, topk
+from alertloom.operators import filters, joins, paging, profiles, sinks, topk
 from alertloom.operators.quantiles import approx_quantiles, exact_quantiles, kth_smallest, order_statistics
 from alertloom.plans import dashboards
 from alertloom.schemas import ALERT_COLUMNS, BASELINE_SCHEMA
@@ -291,3 +291,27 @@ def test_history_turns_to_ranks_for_deep_pages(dated, monkeypatch):
     want = [r.id for r in dated.where("created_at is not null").orderBy(F.desc("created_at"), "id").collect()]
     got = topk.history_page(dated.where("created_at is not null"), page=21, page_size=10).collect()
     assert [r.id for r in got] == want[200:210]
+
+
+def test_window_profiles_from_day_sketches(spark):
+    """Any run of days from stored sketches: exact quantiles, near distinct counts; null, odd and absent days."""
+    rng = np.random.default_rng(2)
+    start = datetime(2024, 5, 1)
+    x = np.round(rng.lognormal(0, 2, 6_000), 3)
+    made = [(start + timedelta(hours=int(i % 240)), float(v), f"s{int(v * 10) % 700}" if i % 9 else None) for i, v in enumerate(x)] + [(None, 1.0, "z"), (start, None, None)]
+    df = spark.createDataFrame(made, "event_time timestamp_ntz, v double, src_ip string")
+    path = scratch_path(spark, "sketches")
+    profiles.daily_sketches(df, numbers=["v"]).write.parquet(path)
+    stored = spark.read.parquet(path)
+    for first, last in (("2024-05-02", "2024-05-04"), ("2024-05-01", "2024-05-31"), ("2024-05-10", "2024-05-10")):
+        own = [r for r in made if r[0] is not None and first <= str(r[0].date()) <= last]
+        values = [r[1] for r in own if r[1] is not None]
+        got = profiles.window_quantiles(df, stored, "v", [0.0, 0.25, 0.5, 0.95, 1.0], first, last)
+        assert got == pytest.approx({f: np.quantile(values, f) for f in got})
+        row = profiles.window_profile(stored, first, last).first()
+        distinct = len({r[2] for r in own})
+        assert row["rows"] == len(own) and abs(row["src_ip"] - distinct) <= 0.05 * distinct + 1
+    assert profiles.window_quantiles(df, stored, "v", [0.5], "2023-01-01", "2023-02-01") == {0.5: None}
+    odd = df.union(spark.createDataFrame([(start, float("nan"), "n")], df.schema))
+    sketches = profiles.daily_sketches(odd, numbers=["v"])
+    assert profiles.window_quantiles(odd, sketches, "v", [0.5], "2024-05-01", "2024-05-01")[0.5] == pytest.approx(float(exact_quantiles(odd.where("event_time < DATE '2024-05-02'"), "v", [0.5])[0.5]))
