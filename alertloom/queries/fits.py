@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from alertloom.functions import scores
 from alertloom.functions.traffic import fill_missing
 from alertloom.models import autoencoder as ae
-from alertloom.models import clustering, density, forest, reduction, scorer, store
+from alertloom.models import clustering, density, forest, grid_density, reduction, scorer, store
 from alertloom.models.encoding import Encoder, fit_encoder, scaler_stats, standardise
 from alertloom.models.scorer import ModelSet, add_raw_scores
 from alertloom.plans import detect, train
@@ -336,6 +336,27 @@ _DENSITY_CTES = (
 )
 
 
+_POINT = "cast(bytes_to_server as double) / 1000 AS x1, cast(packets_to_server as double) / 100 AS x2"
+
+
+def _grid(v: Views) -> DataFrame:
+    """Noise by two figures: so few dimensions take the grid."""
+    rows = v.alerts.select(
+        "id",
+        (F.col("bytes_to_server").cast("double") / 1000).alias("x1"),
+        (F.col("packets_to_server").cast("double") / 100).alias("x2"),
+    )
+    return grid_density.density_scores(rows, ["x1", "x2"]).select("id", "score")
+
+
+_GRID_CTES = (
+    f"pt AS (SELECT x1, x2, count(*) AS n FROM (SELECT {_POINT} FROM alerts) GROUP BY x1, x2), "
+    "near AS (SELECT a.x1, a.x2, b.x1 AS y1, b.x2 AS y2, b.n FROM pt a JOIN pt b ON b.x1 BETWEEN a.x1 - 0.5 AND a.x1 + 0.5 AND (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2) <= 0.25), "
+    "core AS (SELECT x1, x2 FROM near GROUP BY x1, x2 HAVING sum(n) >= 5), "
+    "kept AS (SELECT DISTINCT near.x1, near.x2 FROM near JOIN core ON core.x1 = y1 AND core.x2 = y2)"
+)
+
+
 def _density_reduced(v: Views) -> DataFrame:
     """Noise among the reduced rows: rows scored, and scores that are none or differ between equal rows."""
     reduced = _reduced(v).select("id", vector_to_array("reduced").alias("point"))
@@ -361,7 +382,12 @@ def queries() -> dict[str, Query]:
         ),
         "kmeans_fit": checked(_kmeans, "SELECT 5 AS clusters, count(*) AS rows, true AS centres_are_means FROM alerts"),
         "kmeans_select_k": checked(_select_k, "SELECT cast(range as int) AS k, true AS silhouette_in_range, true AS best_is_chosen FROM range(2, 10)"),
-        "dbscan": checked(_density, "SELECT id, CASE WHEN k.x IS NULL THEN 0e0 ELSE 1e0 END AS score FROM spots a LEFT JOIN kept k ON k.x = a.x", _DENSITY_CTES),
+        "dbscan": checked(
+            _grid,
+            "SELECT id, CASE WHEN k.x1 IS NULL THEN 0e0 ELSE 1e0 END AS score FROM (SELECT id, " + _POINT + " FROM alerts) a LEFT JOIN kept k ON k.x1 = a.x1 AND k.x2 = a.x2",
+            _GRID_CTES,
+        ),
+        "dbscan_numbers": checked(_density, "SELECT id, CASE WHEN k.x IS NULL THEN 0e0 ELSE 1e0 END AS score FROM spots a LEFT JOIN kept k ON k.x = a.x", _DENSITY_CTES),
         "dbscan_reduced": checked(_density_reduced, "SELECT count(*) AS n, 0::BIGINT AS unscored, 0::BIGINT AS unequal_copies FROM alerts"),
         "autoencoder_fit": checked(_autoencoder, "SELECT true AS epochs_within, true AS held_out_falls, true AS finite, true AS stops_in_time"),
         "encode_features": checked(_codes, f"SELECT id, {ae.ENCODING_DIM} AS code_size, true AS sound FROM alerts"),

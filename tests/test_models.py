@@ -5,7 +5,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 from alertloom.models import autoencoder as ae
-from alertloom.models import clustering, density, forest, reduction, store, thresholds
+from alertloom.models import clustering, density, forest, grid_density, reduction, store, thresholds
 from alertloom.models.encoding import fit_encoder
 from alertloom.models.scorer import as_vectors, ModelSet, add_raw_scores, average_path, dense_rows
 from alertloom.operators.frequency import FREQUENCY_COLUMNS
@@ -198,6 +198,29 @@ def test_points_without_a_place_are_noise(spark):
     assert density.density_noise(df.limit(0), "at").count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_grid_noise_matches_brute_force(spark, limit):
+    rng = np.random.default_rng(11)
+    x = np.round(np.vstack([rng.normal(0, 0.3, (150, 2)), rng.uniform(-6, 6, (120, 2)), np.tile([[5.0, 5.0]], (6, 1)), [[5.4, 5.2]]]), 2)
+    df = spark.createDataFrame([tuple(map(float, row)) for row in x], "x double, y double")
+    near = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) <= 0.25
+    core = near.sum(axis=1) >= 5
+    kept = (near & core[None, :]).any(axis=1)
+    want = {tuple(p): (bool(c), float(k)) for p, c, k in zip(x.tolist(), core, kept, strict=True)}
+    got = grid_density.density_noise(df, ["x", "y"], broadcast_rows=limit).collect()
+    assert {(r.x, r.y): (r.core, r.score) for r in got} == want
+    assert sum(r.n for r in got) == len(x) and 0 < sum(1 for r in got if r.score == 0)
+
+
+def test_grid_noise_splits_large_cells(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.uniform(0, 0.3, (400, 2)), rng.uniform(-3, 3, (60, 2))])
+    df = spark.createDataFrame([tuple(map(float, row)) for row in x], "x double, y double")
+    whole = sorted((r.x, r.score) for r in grid_density.density_noise(df, ["x", "y"]).collect())
+    monkeypatch.setattr(grid_density, "CELL_POINTS", 10)
+    assert whole == sorted((r.x, r.score) for r in grid_density.density_noise(df, ["x", "y"]).collect())
+
+
 def test_gradient_matches_differences():
     shapes = ae.layer_shapes(5, 2)
     flat = ae.initial_weights(shapes, 1)
