@@ -432,7 +432,6 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
 def between_parts(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose ends lie in different components (node, component)."""
-    parts = materialise(parts, "parts")
     of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}"))
     both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     return both.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
@@ -463,27 +462,29 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_
     second = materialise(confirm(materialise(rest, "other-pairs"), rows, shingle_words), "checked-others")
     checked = first.union(second)
 
-    def labelled(some: DataFrame) -> DataFrame:
-        known = components(checked.where("linked")).select(F.col("node").alias("doc_id"), F.col("component").alias("known"))
+    def labelled(some: DataFrame, parts: DataFrame) -> DataFrame:
+        known = parts.select(F.col("node").alias("doc_id"), F.col("component").alias("known"))
         return materialise(some.drop("component").join(known, "doc_id", "left").withColumn("component", F.coalesce("known", "doc_id")).drop("known"), "open-classes")
 
     def with_more(found: DataFrame) -> DataFrame:
         more = materialise(found.select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more-pairs")
         return checked.union(materialise(confirm(more, rows, shingle_words), "checked-again"))
 
-    checked = with_more(crowded_pairs(labelled(nodes), 0))
+    checked = with_more(crowded_pairs(labelled(nodes, components(checked.where("linked"))), 0))
     for most in ROUNDS:
         # Groups that a failed pair held together are searched again, between their parts.
-        failed = materialise(between_parts(checked.where("not linked"), components(checked.where("linked"))), "failed")
+        parts = components(checked.where("linked"))
+        failed = materialise(between_parts(checked.where("not linked"), parts), "failed")
         if not failed.limit(1).count():
             break
-        held = materialise(components(checked), "held-together")
-        broken = failed.select(F.col("a").alias("node")).join(held, "node").select("component").distinct()
-        again = held.join(broken, "component", "left_semi").select(F.col("node").alias("doc_id"))
-        open_nodes = labelled(nodes.join(again, "doc_id", "left_semi"))
+        held = components(checked)
+        broken = materialise(failed.select(F.col("a").alias("node")).join(held, "node").select("component").distinct(), "broken")
+        # Held groups are of any size: only the few names of the broken ones travel.
+        again = held.join(F.broadcast(broken) if fits(broken) else broken, "component", "left_semi").select(F.col("node").alias("doc_id"))
+        open_nodes = labelled(nodes.join(again, "doc_id", "left_semi"), parts)
         checked = with_more(crowded_pairs(open_nodes, most).union(candidate_pairs(open_nodes, most).select("a", "b")))
     linked = checked.where("linked").select("a", "b")
-    joined = materialise(components(linked.union(members)), "components")
+    joined = components(linked.union(members))
     out = signed.select("doc_id", "n_shingles").join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

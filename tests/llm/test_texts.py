@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from alertloom.llm import components as component_module
 from alertloom.llm import langid, mixing, neardup, quality_model, quality_rules
 from alertloom.llm.bytetext import text_bytes
 from alertloom.llm.components import components
@@ -383,13 +384,29 @@ def test_spanning_forest_is_maximal():
     assert len(set(kept.tolist())) == len(kept) == count and weight[kept].sum() == best
 
 
-def test_components_of_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("task_edges", [1_000_000, 7])
+def test_components_of_chains_stars_and_loops(spark, monkeypatch, task_edges):
+    """In one task, and over many with star rounds between them."""
+    monkeypatch.setattr(component_module, "TASK_EDGES", task_edges)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(205, 203), (203, 201), (201, 205), (300, 300), (7, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(50)}, 201: 201, 203: 201, 205: 201}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_task_contracts_what_it_read_in_turn(spark, monkeypatch):
+    """One task with more edges than are contracted at a time: the stars made so far stay joined."""
+    monkeypatch.setattr(component_module, "TASK_EDGES", 10)
+    order = np.random.default_rng(5).permutation(300)
+    pairs = [(int(k) + 1, int(k)) for k in order if k != 150]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    try:
+        got = component_module.contract(spark.createDataFrame(pairs, "a long, b long").coalesce(1), roots=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == [(k, 0 if k <= 150 else 151) for k in range(301)]
+
+
 def test_language_results_equal_plain_look_ups(spark):
     """op2 as a whole: every n-gram of every text looked up in each language's own filter."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
