@@ -13,13 +13,15 @@
    they put at MAYBE or more only a maximum spanning forest is kept. So a group of
    n near copies gives fewer than n pairs, the likeliest ones, not n squared.
 4. The pairs kept are confirmed on the full sets: first the likeliest of each class,
-   then those between parts that these do not link. Where one fails, the groups
-   that the forest held together are searched again: then the likeliest 8 pairs of
-   any two parts that are not linked yet are confirmed, and at last all of them.
+   then those between parts that these do not link.
 5. A cell is all rows of a tree with the same MIN_DEPTH values. In cells of more than
    REGION rows, the rows of different parts are then compared throughout, at whatever
    depth they left each other.
-6. Confirmed pairs and class members are joined into components.
+6. Where a pair fails, the groups that the forest held together are searched again:
+   in all their cells, all pairs between parts that the sketches put at MAYBE or more
+   are confirmed by the task that compares them, which has the full sets. Only the
+   links leave it, fewer than it has rows.
+7. Confirmed pairs and class members are joined into components.
 """
 
 from __future__ import annotations
@@ -30,11 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.bytetext import lower_ascii, mix64, row_slices, span_hashes, sub_batches, text_bytes, word_spans
-from alertloom.llm.components import components
+from alertloom.llm.bytetext import lower_ascii, mix64, ragged, row_slices, span_hashes, sub_batches, text_bytes, word_spans
+from alertloom.llm.components import components, least_reachable
 from alertloom.storage import fits, materialise
 
 HASHES = 128
@@ -45,7 +47,9 @@ REGION = 500
 MAYBE = 0.68  # sketch similarity (its standard error at 0.8 is 0.037) from which pairs are taken
 WALK_ROWS = 2_000  # rows that a task compares at a time
 BLOCK = 2_000  # rows of a crowded cell that are compared with as many others at a time
-ROUNDS = (8, None)  # pairs of two parts that are confirmed where the likeliest ones fail, in turn; None: all
+BLOCK_SHINGLES = 1_000_000  # of a block whose rows bring their full sets
+MARK_BITS = 1 << 28  # at most, of the marks that say which texts are asked for
+MARK_CHUNK = 1 << 16  # bits of the marks that a task packs together
 SHARE = (80, 100)  # linked: 100 * intersection >= 80 * union
 ID_BYTES = 5  # of each shingle hash in the sets that are compared
 
@@ -342,8 +346,9 @@ def likeliest_between(x: np.ndarray, y: np.ndarray, same: np.ndarray, most: int
     return order[place < most]
 
 
-def _across(group: pa.Table, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids and likeness of the pairs to confirm between two blocks, or within one."""
+def _alike_across(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and parts of the rows; row numbers and likeness of the pairs of MAYBE or more
+    between parts, between two blocks or within one."""
     number = lambda name: group.column(name).to_numpy()
     ids, sizes, part, block = number("doc_id"), number("n_shingles"), number("component"), number("block")
     sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u8").reshape(len(ids), -1)
@@ -361,38 +366,151 @@ def _across(group: pa.Table, most: int | None) -> tuple[np.ndarray, np.ndarray,
         small, large = np.minimum.outer(sizes[some], sizes[with_]), np.maximum.outer(sizes[some], sizes[with_])
         i, j = np.nonzero((same >= least) & (part[some][:, None] != part[with_]) & (SHARE[1] * small >= SHARE[0] * large))
         found.append(np.stack([some[i], with_[j], same[i, j].astype(np.int64)]))
-    a, b, same = np.concatenate(found, axis=1)
-    keep = likeliest_between(part[a], part[b], same, most)
-    return ids[a[keep]], ids[b[keep]], same[keep]
+    return ids, part, *np.concatenate(found, axis=1)
 
 
-def crowded_pairs(classes: DataFrame, most: int | None) -> DataFrame:
-    """Distinct pairs (a < b) between different components within crowded cells.
+def met_blocks(classes: DataFrame, more_than: int, sets: DataFrame | None = None) -> DataFrame:
+    """Rows of the cells that hold more than that many rows, and different components,
+    once for every two blocks (x, y) that are to be compared, or one with itself.
 
     The rows of a cell are dealt into blocks, those of its largest component apart
-    from the others. Every two blocks are compared in a task of their own, save two
-    of the largest component: so a large group of near copies costs its size times
-    the rows around it.
+    from the others. Two blocks of the largest component do not meet: so a large group
+    of near copies costs its size times the rows around it. Columns of sets (doc_id, ...)
+    come with the rows, and blocks are smaller where these are large.
     """
     rows = forest_rows(classes).withColumn("cell", F.substring("label", 1, 2 * MIN_DEPTH)).drop("label")
-    sizes = rows.groupBy("tree", "cell", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("tree", "cell").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"))
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    crowded = sizes.where((F.col("n") > REGION) & (F.col("n") > F.col("top.n")))
-    crowded = materialise(crowded.select("tree", "cell", F.col("top.component").alias("top"), blocks(F.col("n") - F.col("top.n")).alias("others"), blocks(F.col("top.n")).alias("tops")), "crowded-cells")
+    weight = F.count(F.lit(1)) / BLOCK if sets is None else F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)
+    parts = rows.groupBy("tree", "cell", "component").agg(F.count(F.lit(1)).alias("n"), weight.alias("blocks"))
+    sizes = parts.groupBy("tree", "cell").agg(F.sum("n").alias("n"), F.sum("blocks").alias("blocks"), F.max(F.struct("n", "component", "blocks")).alias("top"))
+    whole = lambda blocks: F.greatest(F.lit(1), F.ceil(F.round(blocks, 6))).cast("int")
+    crowded = sizes.where((F.col("n") > more_than) & (F.col("n") > F.col("top.n")))
+    crowded = materialise(crowded.select("tree", "cell", F.col("top.component").alias("top"), whole(F.col("blocks") - F.col("top.blocks")).alias("others"), whole(F.col("top.blocks")).alias("tops")), "crowded-cells")
     placed = rows.join(F.broadcast(crowded) if fits(crowded) else crowded, ["tree", "cell"])
     by_hash = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     placed = placed.withColumn("block", F.when(F.col("component") == F.col("top"), F.col("others") + by_hash("tops")).otherwise(by_hash("others")))
+    if sets is not None:
+        placed = placed.join(sets, "doc_id")
     meets = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     block, none = F.col("block"), F.array().cast("array<struct<x:int,y:int>>")
     first = F.when(block < F.col("others"), F.transform(F.sequence(block, F.col("others") + F.col("tops") - 1), lambda y: meets(block, y))).otherwise(none)
     second = F.when(block > 0, F.transform(F.sequence(F.lit(0), F.least(block, F.col("others")) - 1), lambda x: meets(x, block))).otherwise(none)
-    dealt = placed.select("tree", "cell", "block", "doc_id", "n_shingles", "sketch", "component", F.inline(F.concat(first, second)).alias("x", "y"))
+    brought = [] if sets is None else [c for c in sets.columns if c != "doc_id"]
+    return placed.select("tree", "cell", "block", "doc_id", "n_shingles", "sketch", "component", *brought, F.inline(F.concat(first, second)).alias("x", "y"))
+
+
+def _edges(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def crowded_pairs(classes: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) to confirm between different components within crowded
+    cells: a spanning forest of the components of any two blocks."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, part, a, b, same = _alike_across(group)
+        keep = likeliest_between(part[a], part[b], same, 0)
+        return _edges(ids, a[keep], b[keep])
+
+    return met_blocks(classes, REGION).groupBy("tree", "cell", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+
+
+def linked_rows(elements: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sets of the rows a and b (row numbers, pair by pair) are similar enough."""
+    flat = np.frombuffer(b"".join(elements), np.uint8).reshape(-1, ID_BYTES)
+    wide = np.zeros((len(flat), 8), np.uint8)
+    wide[:, :ID_BYTES] = flat
+    names, number = np.unique(wide.view("<u8").ravel(), return_inverse=True)
+    sizes = np.array([len(e) // ID_BYTES for e in elements])
+    starts = np.cumsum(sizes) - sizes
+    linked, order = np.zeros(len(a), bool), np.argsort(a, kind="stable")
+    mark = np.zeros(len(names), bool)
+    for own in np.split(order, np.flatnonzero(np.diff(a[order])) + 1) if len(a) else ():
+        row = a[own[0]]
+        mine = number[starts[row] : starts[row] + sizes[row]]
+        mark[mine] = True
+        step = max(1, BLOCK_SHINGLES // int(sizes[b[own]].max()))
+        for some in (own[k : k + step] for k in range(0, len(own), step)):
+            size = sizes[b[some]]
+            shared = np.add.reduceat(mark[number[ragged(starts[b[some]], size)]], np.cumsum(size) - size, dtype=np.int64)
+            linked[some] = SHARE[1] * shared >= SHARE[0] * (sizes[row] + size - shared)
+        mark[mine] = False
+    return linked
+
+
+def links_between_parts(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Links (a < b) that join what is linked between different components in all cells.
+
+    All pairs of MAYBE or more are confirmed where they are found, the likeliest first;
+    a pair that meets in several trees counts in the first of them.
+    """
 
     def compare(group: pa.Table) -> pa.Table:
-        a, b, same = _across(group, most)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        ids, part, a, b, same = _alike_across(group)
+        cells = np.frombuffer(b"".join(group.column("cells").to_pylist()), np.uint16).reshape(len(ids), TREES, MIN_DEPTH)
+        tree = group.column("tree")[0].as_py()
+        met = np.zeros(len(a), bool)
+        for earlier in range(tree):
+            met |= (cells[a, earlier] == cells[b, earlier]).all(axis=1)
+        a, b, same = a[~met], b[~met], same[~met]
+        elements = group.column("elements").to_pylist()
+        tried = likeliest_between(part[a], part[b], same, 0)
+        links = tried[linked_rows(elements, a[tried], b[tried])]
+        now = part
+        if len(links):
+            names, least = least_reachable(part[a[links]], part[b[links]])
+            at = np.minimum(np.searchsorted(names, part), len(names) - 1)
+            now = np.where(names[at] == part, least[at], part)
+        open_ = np.setdiff1d(np.flatnonzero(now[a] != now[b]), tried)
+        links = np.concatenate([links, open_[linked_rows(elements, a[open_], b[open_])]])
+        keep = links[likeliest_between(part[a[links]], part[b[links]], same[links], 0)]
+        return _edges(ids, a[keep], b[keep])
+
+    full = shingle_sets_of(classes.select("doc_id"), docs, size).where(F.length("elements") > 0)
+    own = classes.select("doc_id", F.substring("signature", 1, 2 * TREES * MIN_DEPTH).alias("cells")).join(full.withColumnRenamed("id", "doc_id"), "doc_id")
+    return met_blocks(classes, 1, materialise(own, "open-sets")).groupBy("tree", "cell", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+
+
+def id_marks(ids: DataFrame) -> np.ndarray:
+    """Packed bits, a power of two of them: those at the hashes of the ids are set.
+
+    About 32 bits or more for each row of ids, at most MARK_BITS; that is also what the driver gets.
+    """
+    bits = min(MARK_BITS, max(MARK_CHUNK, 1 << (32 * ids.count()).bit_length()))
+    slot = _slot(F.col("doc_id"), bits)
+    places = ids.select(slot.alias("slot")).distinct().select(F.floor(F.col("slot") / MARK_CHUNK).alias("chunk"), (F.col("slot") % MARK_CHUNK).alias("place"))
+
+    def pack(group: pa.Table) -> pa.Table:
+        on = np.zeros(MARK_CHUNK, bool)
+        on[group.column("place").to_numpy()] = True
+        return pa.table({"chunk": group.column("chunk").slice(0, 1), "marks": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+
+    marks = np.zeros(bits // 8, np.uint8)
+    for row in places.groupBy("chunk").applyInArrow(pack, "chunk long, marks binary").toLocalIterator():
+        at = row["chunk"] * MARK_CHUNK // 8
+        marks[at : at + MARK_CHUNK // 8] = np.frombuffer(row["marks"], np.uint8)
+    return marks
 
-    return dealt.groupBy("tree", "cell", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+
+def _slot(column: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(bits).cast("long"))
+
+
+def shingle_sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """id, elements (its packed set): of every row of docs with one of the ids (doc_id), and
+    of a few others, which joins drop. Texts do not travel: the marks go to them."""
+    marks = id_marks(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            slot = whole.column(2).to_numpy()
+            asked = whole.filter(pa.array((shared.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
+            for batch in sub_batches(iter([asked]), 1, 2 << 20):
+                packed = [np.ascontiguousarray((s >> np.uint64(64 - 8 * ID_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ID_BYTES]).tobytes() for s in shingle_sets(batch.column(1), size)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "elements"])
+
+    marked = docs.select("doc_id", "text", _slot(F.col("doc_id"), 8 * len(marks)).alias("slot"))
+    return materialise(marked.mapInArrow(sets, "id long, elements binary"), "shingle-sets")
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -407,11 +525,6 @@ def _shared(a: bytes, b: bytes) -> int:
 def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """pairs with `linked`: whether the full sets are similar enough."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, 1):
-            packed = [np.ascontiguousarray((s >> np.uint64(64 - 8 * ID_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ID_BYTES]).tobytes() for s in shingle_sets(batch.column(1), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "elements"])
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
@@ -421,8 +534,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                 linked.append(SHARE[1] * both >= SHARE[0] * ((len(a) + len(b)) // ID_BYTES - both))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    elements = materialise(docs.join(asked, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, elements binary"), "shingle-sets")
+    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+    elements = shingle_sets_of(asked, docs, size)
     first = pairs.join(elements.select(F.col("id").alias("a"), F.col("elements").alias("left")), "a")
     both = first.join(elements.select(F.col("id").alias("b"), F.col("elements").alias("right")), "b")
     checked = both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long, linked boolean")
@@ -470,20 +583,18 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_
         more = materialise(found.select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more-pairs")
         return checked.union(materialise(confirm(more, rows, shingle_words), "checked-again"))
 
-    checked = with_more(crowded_pairs(labelled(nodes, components(checked.where("linked"))), 0))
-    for most in ROUNDS:
-        # Groups that a failed pair held together are searched again, between their parts.
-        parts = components(checked.where("linked"))
-        failed = materialise(between_parts(checked.where("not linked"), parts), "failed")
-        if not failed.limit(1).count():
-            break
+    checked = with_more(crowded_pairs(labelled(nodes, components(checked.where("linked")))))
+    linked = checked.where("linked").select("a", "b")
+    # Groups that a failed pair held together are searched again, between their parts.
+    parts = components(linked)
+    failed = materialise(between_parts(checked.where("not linked"), parts), "failed")
+    if failed.limit(1).count():
         held = components(checked)
         broken = materialise(failed.select(F.col("a").alias("node")).join(held, "node").select("component").distinct(), "broken")
         # Held groups are of any size: only the few names of the broken ones travel.
         again = held.join(F.broadcast(broken) if fits(broken) else broken, "component", "left_semi").select(F.col("node").alias("doc_id"))
         open_nodes = labelled(nodes.join(again, "doc_id", "left_semi"), parts)
-        checked = with_more(crowded_pairs(open_nodes, most).union(candidate_pairs(open_nodes, most).select("a", "b")))
-    linked = checked.where("linked").select("a", "b")
+        linked = linked.union(materialise(links_between_parts(open_nodes, rows, shingle_words), "links-between-parts"))
     joined = components(linked.union(members))
     out = signed.select("doc_id", "n_shingles").join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")

@@ -363,6 +363,37 @@ def test_a_failed_edge_is_searched_again(spark, documents, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == brute_components(rows, 2)
 
 
+def test_a_group_of_unlinked_neighbours_is_not_confirmed_pair_by_pair(spark, monkeypatch):
+    common = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join([*common, *(f"u{i}x{k}" for k in range(6))])) for i in range(150)]  # 39 of 51 shingles shared
+    rows += [(1000 + i, f"{text} v{i}") for i, text in rows[:10]]
+    asked, real = [], neardup.confirm
+    monkeypatch.setattr(neardup, "confirm", lambda pairs, docs, size: asked.append(pairs.count()) or real(pairs, docs, size))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 1000 for i, _ in rows}
+    assert sum(asked) <= neardup.TREES * len(rows)  # of 12,720 pairs
+
+
+def test_pairs_confirmed_in_a_task_equal_plain_sets(monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 50)
+    rng = np.random.default_rng(3)
+    sets = [set(rng.choice(30, rng.integers(1, 30), replace=False).tolist()) for _ in range(40)]
+    packed = [b"".join((v * 0x123456789).to_bytes(8, "little")[: neardup.ID_BYTES] for v in sorted(s)) for s in sets]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(40)))
+    want = [100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]) for x, y in zip(a, b, strict=True)]
+    assert neardup.linked_rows(packed, a, b).tolist() == want
+    assert 40 < sum(want) < 1600
+
+
+def test_sets_are_taken_where_the_texts_are(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b c{i}") for i in range(3000)], "doc_id long, text string").repartition(3)
+    plans, real = [], neardup.materialise
+    monkeypatch.setattr(neardup, "materialise", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, label))
+    got = {r.id for r in neardup.shingle_sets_of(docs.where("doc_id % 100 = 0").select("doc_id"), docs, 2).collect()}
+    assert {*range(0, 3000, 100)} <= got and len(got) < 300
+    assert "Join" not in plans[-1] and "Aggregate" not in plans[-1]
+
+
 def test_spanning_forest_is_maximal():
     draw = np.random.default_rng(4)
     a, b = draw.integers(0, 60, (2, 400))
