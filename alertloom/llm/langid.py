@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from alertloom.llm.bytetext import mix64, ragged, row_slices, sub_batches, text_bytes
+from alertloom.llm.bytetext import SLICE_BYTES, mix64, ragged, row_slices, sub_batches, text_bytes
 from alertloom.llm.textstats import free_name
 from alertloom.storage import materialise
 
@@ -32,6 +32,7 @@ PROBES = 3
 NGRAMS = 20_000  # n-grams kept per language
 DOMINANCE = 0.5
 MIN_COUNT = 3
+HELD_GRAMS = 1 << 17  # n-grams of all languages that a task counts before it hands them on
 TRAIN_DOCS = 5_000  # expected documents per language that are learned from
 
 # Letters keep their lower-case form, other ASCII becomes a space, all else stays.
@@ -117,6 +118,38 @@ class LanguageFilters:
         return sum(p[0] for p in parts), sum(p[1] for p in parts)
 
 
+def _gram_counts(batch: pa.RecordBatch, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of each language, as language number << 32 | n-gram, and how often each occurs."""
+    names = batch.column(0).cast(pa.string()).to_pylist()
+    data, bounds = text_bytes(batch.column(1))
+    grams, before = ngrams(data, bounds)
+    owner = np.array([number.setdefault(n, len(number)) for n in names], np.uint64)
+    return np.unique(np.repeat(owner << np.uint64(32), np.diff(before)) | grams, return_counts=True)
+
+
+def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n) of the texts in batches of (lang, text); a pair may come several times."""
+    number: dict[str, int] = {}
+    pairs, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def counted() -> pa.RecordBatch:
+        which = (pairs >> np.uint64(32)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()).take(pa.array(which)), pa.array((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
+
+    # A slice at a time: arrays for all n-grams of a slice are many times its size.
+    for batch in sub_batches(batches, 1, SLICE_BYTES):
+        own, more = _gram_counts(batch, number)
+        pairs, place = np.unique(np.concatenate([pairs, own]), return_inverse=True)
+        added = np.zeros(len(pairs), np.int64)
+        np.add.at(added, place, np.concatenate([counts, more]))
+        counts = added
+        if len(pairs) > HELD_GRAMS:
+            yield counted()
+            pairs, counts = pairs[:0], counts[:0]
+    if len(pairs):
+        yield counted()
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS) -> LanguageFilters:
     """Filters from a sample of about train_docs texts per language, chosen by id hash.
 
@@ -134,18 +167,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = rows.where(drawn < F.element_at(share, F.col("lang"))).select("lang", "text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, 1):
-            names = batch.column(0).cast(pa.string()).to_pylist()
-            data, bounds = text_bytes(batch.column(1))
-            grams, before = ngrams(data, bounds)
-            number = {name: k for k, name in enumerate(dict.fromkeys(names))}
-            owner = np.repeat(np.array([number[n] for n in names], np.uint64), np.diff(before))
-            pairs, counts = np.unique(owner << np.uint64(32) | grams, return_counts=True)
-            which, order = (pairs >> np.uint64(32)).astype(np.int64), list(number)
-            yield pa.RecordBatch.from_arrays([pa.array(order, pa.string()).take(pa.array(which)), pa.array((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
-
-    counts = materialise(sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ngram-counts")
+    counts = materialise(sample.mapInArrow(gram_rows, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ngram-counts")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     sums = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(float(totals.get(name, 1))))])
     rated = counts.withColumn("rate", F.col("n") / F.element_at(sums, F.col("lang")))

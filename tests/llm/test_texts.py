@@ -45,6 +45,25 @@ def test_bitmask_look_up_equals_single_filters(spark):
         assert total[k] == before[k + 1] - before[k]
 
 
+def test_counting_works_on_small_slices(monkeypatch):
+    """Arrays for all n-grams of a slice are many times its size, so no slice is a whole batch of texts."""
+    rows = [("ab"[i % 2], " ".join(f"w{i % 5}{chr(97 + (i * k) % 26)}{k % 50}" for k in range(300))) for i in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows]) for k in (0, 1)], ["lang", "text"])
+    seen, real = [], langid.ngrams
+    monkeypatch.setattr(langid, "ngrams", lambda data, bounds: seen.append(len(data)) or real(data, bounds))
+    monkeypatch.setattr(langid, "HELD_GRAMS", 1000)
+    got: Counter = Counter()
+    for part in langid.gram_rows(iter([batch])):
+        for lang, gram, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            got[lang, gram] += n
+    want: Counter = Counter()
+    for lang in "ab":
+        data, bounds = text_bytes(pa.array([t for own, t in rows if own == lang]))
+        want.update((lang, int(g)) for g in real(data, bounds)[0])
+    assert got == want
+    assert sum(seen) > 2 * langid.SLICE_BYTES >= 2 * max(seen)
+
+
 def test_more_than_eight_languages(spark):
     names = [f"l{k:02d}" for k in range(20)]
     rows = [(i, f"word{chr(97 + i % 20) * 5} tail{chr(97 + i % 20) * 6}", names[i % 20]) for i in range(200)]
